@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import format_copies, frequent
+from . import encode, format_copies, frequent, packing
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,6 +26,14 @@ def p4_top(spark: SparkSession, d: str) -> DataFrame:
     return frequent.top_values(table(spark, d, "csv_records"), "seq", 100).select(F.col("value").alias("seq"), "n")
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode(table(spark, d, "documents"))
+
+
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_texts(table(spark, d, "documents"))
+
+
 CANON = r"""
 keyed AS (
   SELECT rec_no, regexp_replace(upper(seq), '[^\p{L}]', '', 'g') AS letters,
@@ -38,7 +46,7 @@ canon AS (
 firsts AS (SELECT rec_no, min(rec_no) OVER (PARTITION BY letters, heading, fields) AS first_rec_no FROM canon)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_top": p4_top}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_top": p4_top, "p6_ids": p6_ids, "p7_pack": p7_pack}
 
 SQL = {
     "p1_found": f"WITH {CANON} SELECT first_rec_no, rec_no FROM firsts WHERE first_rec_no <> rec_no",
