@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encode, format_copies, frequent, packing
+from . import encode, format_copies, frequent, near_copies, packing
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,6 +18,14 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups.select(F.col("first_no").alias("first_rec_no"), "copies")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_copies.near_pairs(table(spark, d, "amplicons"), "amp_no", "seq")
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    return near_copies.near_classes(table(spark, d, "amplicons"), "amp_no", "seq")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return frequent.frequent_values(table(spark, d, "csv_records"), "seq", 0.004).select(F.col("value").alias("seq"))
 
@@ -46,7 +54,7 @@ canon AS (
 firsts AS (SELECT rec_no, min(rec_no) OVER (PARTITION BY letters, heading, fields) AS first_rec_no FROM canon)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_top": p4_top, "p6_ids": p6_ids, "p7_pack": p7_pack}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_top": p4_top, "p6_ids": p6_ids, "p7_pack": p7_pack}
 
 SQL = {
     "p1_found": f"WITH {CANON} SELECT first_rec_no, rec_no FROM firsts WHERE first_rec_no <> rec_no",
