@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encode, format_copies, frequent, near_copies, packing
+from . import encode, format_copies, frequent, near_copies, packing, pii
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -42,6 +42,16 @@ def p7_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(table(spark, d, "documents"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    spans = pii.find_pii(table(spark, d, "documents"), table(spark, d, "name_parts"))
+    return spans.select("doc_id", "pii_type", "pii_text").distinct()
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return pii.redact(docs, pii.find_pii(docs, table(spark, d, "name_parts")))
+
+
 CANON = r"""
 keyed AS (
   SELECT rec_no, regexp_replace(upper(seq), '[^\p{L}]', '', 'g') AS letters,
@@ -54,7 +64,7 @@ canon AS (
 firsts AS (SELECT rec_no, min(rec_no) OVER (PARTITION BY letters, heading, fields) AS first_rec_no FROM canon)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_top": p4_top, "p6_ids": p6_ids, "p7_pack": p7_pack}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_top": p4_top, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 SQL = {
     "p1_found": f"WITH {CANON} SELECT first_rec_no, rec_no FROM firsts WHERE first_rec_no <> rec_no",
