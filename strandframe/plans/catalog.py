@@ -1,6 +1,6 @@
 """All queries of the core library and their SQL."""
 
-from . import problems
+from . import problems, record_queries
 
-QUERIES: dict = {**problems.QUERIES}
-SQL: dict = {**problems.SQL}
+QUERIES: dict = {**record_queries.QUERIES, **problems.QUERIES}
+SQL: dict = {**record_queries.SQL, **problems.SQL}
