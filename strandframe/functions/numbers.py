@@ -47,7 +47,9 @@ def format_double(x: Column) -> Column:
 
 
 def bin_start(x: Column, width: Column) -> Column:
-    return F.floor(x / width) * width
+    """The start of the bin of x; NaN and infinities stay what they are."""
+    q = x / width
+    return F.when(F.isnan(q) | (F.abs(q) >= float(1 << 53)), x).otherwise(F.floor(q) * width)
 
 
 def format_bin(start: Column, width: Column) -> Column:

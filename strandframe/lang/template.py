@@ -31,6 +31,24 @@ def split_list(text: str, sep: str = ",") -> list[str]:
     return [*out, text[at:]]
 
 
+def as_call(ctx: Context, text: str) -> re.Match | None:
+    """The match of a single call of a known function: its first bracket closes at the end."""
+    m = CALL.fullmatch(text)
+    if not m or not ctx.known(m.group(1)):
+        return None
+    depth, quote = 0, ""
+    for i, c in enumerate(t := text.rstrip()):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'":
+            quote = c
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+            if not depth and i < len(t) - 1:
+                return None
+    return m
+
+
 def _argument(ctx: Context, text: str) -> Value:
     """A literal, a known variable or function, or bare text, which is a string."""
     t = text.strip()
@@ -44,8 +62,7 @@ def _argument(ctx: Context, text: str) -> Value:
         return lit(t == "true")
     if ctx.known(t):
         return ctx.call(t, [])
-    m = CALL.fullmatch(t)
-    if m and ctx.known(m.group(1)):
+    if m := as_call(ctx, t):
         return call(ctx, m)
     return lit(t) if re.fullmatch(r"[\w .|:-]*", t) else compile_js(ctx, t)
 
@@ -59,15 +76,12 @@ def part(ctx: Context, text: str) -> Value:
     t = text.strip()
     if ctx.known(t):
         return ctx.call(t, [])
-    m = CALL.fullmatch(t)
-    if m and ctx.known(m.group(1)):
-        closed = split_list(m.group(1) + "(" + m.group(2) + ")", ")")
-        if len(closed) <= 2:
-            try:
-                return call(ctx, m)
-            except ExpressionError:
-                if not re.search(r"[-+*/<>=!?&|'\"(]", m.group(2)):
-                    raise
+    if m := as_call(ctx, t):
+        try:
+            return call(ctx, m)
+        except ExpressionError:
+            if not re.search(r"[-+*/<>=!?&|'\"(]", m.group(2)):
+                raise
     return compile_js(ctx, t)
 
 
@@ -104,8 +118,7 @@ def compile_template(ctx: Context, text: str, raw: bool = False) -> Value:
     """A template of one part keeps its type, others are text. ``raw``: a bare variable or call needs no braces."""
     if raw and "{" not in text:
         t = text.strip()
-        m = CALL.fullmatch(t)
-        if ctx.known(t) or m and ctx.known(m.group(1)):
+        if ctx.known(t) or as_call(ctx, t):
             return part(ctx, t)
         return lit(text)
     ps = pieces(text)
