@@ -29,4 +29,4 @@ def frequent_values(df: DataFrame, col: str, share: float) -> DataFrame:
     counts = value_counts(df, col)
     total = df.agg(F.count(F.col(col)).alias("total"))
     top = counts.orderBy(F.desc("n"), "value").limit(int(1 / share) + 1)
-    return top.join(F.broadcast(total), F.col("n") >= F.lit(share) * F.col("total")).select("value", "n")
+    return top.where(F.col("n") >= F.lit(share) * total.scalar())
