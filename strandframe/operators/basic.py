@@ -63,10 +63,11 @@ def count_by(df: DataFrame, keys: str | list[str], ctx: Context | None = None, l
     names = names or [f"key{i + 1}" if len(vs) > 1 else "key" for i in range(len(vs))]
     order = [F.min(c).alias(f"_o{i}_{j}") for i, v in enumerate(vs) for j, c in enumerate(v.sort_columns())]
     counts = df.groupBy(*(v.printed().alias(n) for v, n in zip(vs, names))).agg(F.count(F.lit(1)).alias("n"), *order)
-    checked = counts.limit(limit + 1).agg(F.count(F.lit(1)).alias("_c")) if limit else None
-    if checked is not None:
-        too_many = F.when(F.col("_c") > limit, F.raise_error(F.lit(f"more than {limit} categories")).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-        counts = counts.join(F.broadcast(checked.select(too_many.alias("_zero"))), F.col("n") > F.col("_zero")).drop("_zero")
+    if limit:
+        # the counts are reused, the subquery reads at most one row more than allowed
+        n = counts.limit(limit + 1).agg(F.count(F.lit(1)).alias("_c"))
+        too_many = n.select(F.when(F.col("_c") > limit, F.raise_error(F.lit(f"more than {limit} categories")).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+        counts = counts.where(F.col("n") > too_many.scalar())
     return counts.orderBy(*(F.asc_nulls_last(c) for c in counts.columns if c.startswith("_o"))).select(*names, "n")
 
 
