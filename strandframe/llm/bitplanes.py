@@ -50,14 +50,15 @@ def within(rows: np.ndarray, cols: np.ndarray, wanted: np.ndarray, radius: np.nd
     qi, wi = np.nonzero(alive)
     if not len(qi):
         return qi, wi
-    depth = 1 + max(2, int(radius.max(initial=0)).bit_length())
-    start = np.clip((1 << depth) - 1 - radius, 0, None)
-    counters = [pack((start >> k & 1).astype(bool))[qi, wi] for k in range(depth)]
+    # start values are only made for the words that are compared
+    lanes = radius[qi[:, None], np.minimum(wi[:, None] * 64 + np.arange(64), m - 1)]
+    depth = 1 + max(2, int(lanes.max(initial=0)).bit_length())
+    start = np.clip((1 << depth) - 1 - lanes, 0, None)
+    counters = [np.packbits((start >> k & 1).astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel() for k in range(depth)]
     beyond = ~alive[qi, wi]
-    planes = vertical(cols)
-    masks = (rows.T.astype(np.uint64) * ALL).astype(np.uint64)
+    planes, bits = vertical(cols), np.ascontiguousarray(rows.T)
     for j in range(0, PLANES, 4):
-        x = [planes[j + i][wi] ^ masks[j + i][qi] for i in range(4)]
+        x = [planes[j + i][wi] ^ (bits[j + i][qi] * ALL) for i in range(4)]
         counters[0], a = _add(counters[0], x[0], x[1])
         counters[0], b = _add(counters[0], x[2], x[3])
         counters[1], carry = _add(counters[1], a, b)

@@ -48,6 +48,17 @@ def _hash32(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint32(16))
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x if len(x) < 2 else x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
 def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cp = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
     n = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -97,7 +108,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             slots.append(SKETCH - SKETCH * len(own) // max(1, m - LONG_K + 1))
             if len(own) > SKETCH + SPARE:
                 own = np.partition(own, SKETCH + SPARE)[: SKETCH + SPARE]
-            tokens.append(np.unique(own)[:SKETCH].astype(np.int64))
+            tokens.append(_distinct(own)[:SKETCH].astype(np.int64))
         lens = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
         yield pa.RecordBatch.from_arrays([ids, b.column(1), pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(np.concatenate(tokens), pa.int64())), pa.array(slots, pa.int32())], names=["id", "text", "tokens", "common"])
 
@@ -111,12 +122,10 @@ def _bands(k: int):
             ids, tokens = [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 cp, _, n = _code_points([text])
-                codes = np.unique(_windows(cp, k)[: n[0] - k + 1])
+                codes = _mix(_distinct(_windows(cp, k)[: n[0] - k + 1]))
                 least = np.full(BANDS * ROWS, ALL_ONES, np.uint64)
                 for at in range(0, len(codes), 512):
-                    x = codes[at : at + 512, None] * mult[None, :]
-                    x ^= x >> np.uint64(32)
-                    least = np.minimum(least, (x * np.uint64(0x9E3779B97F4A7C15)).min(axis=0))
+                    least = np.minimum(least, (codes[at : at + 512, None] * mult[None, :]).min(axis=0))
                 band = np.zeros(BANDS, np.uint64)
                 for r in range(ROWS):
                     band = (band ^ least[r::ROWS]) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -196,22 +205,15 @@ def _compare(k: int, threshold: float):
     def flush(comp: list, i: list, j: list, own: list, ids: list, texts: list) -> pa.RecordBatch | None:
         n = len(ids)
         cp, first, size = _code_points(texts)
-        codes = _windows(cp, k)
-        owner = np.repeat(np.arange(n), size)
-        inside = np.arange(len(cp)) < (first + size - k + 1)[owner]
-        codes, owner = codes[inside], owner[inside]
-        order = np.lexsort((codes, owner))
-        codes, owner = codes[order], owner[order]
-        new = np.concatenate([[True], (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])]) if len(codes) else np.zeros(0, bool)
-        codes, owner = codes[new], owner[new]
-        count = np.bincount(owner, minlength=n)
-        bits = parities(codes, owner, n)
+        windows = _windows(cp, k)
+        own_codes = [_distinct(windows[a : a + m - k + 1]) for a, m in zip(first, size)]
+        count = np.fromiter(map(len, own_codes), np.int64, n)
+        bits = parities(np.concatenate(own_codes), np.repeat(np.arange(n), count), n)
         group = np.unique(np.stack([np.array(comp), np.array(i), np.array(j)]), axis=1, return_inverse=True)[1].ravel()
         half, cross = np.array(own), np.array(i) != np.array(j)
         number = np.array(ids)
-        starts = np.cumsum(count) - count
         sets: dict[int, set] = {}
-        of = lambda x: sets.get(x) or sets.setdefault(x, set(codes[starts[x] : starts[x] + count[x]].tolist()))
+        of = lambda x: sets.get(x) or sets.setdefault(x, set(own_codes[x].tolist()))
         out_a, out_b = [], []
         for r in range(0, n, BLOCK):
             rows = slice(r, min(n, r + BLOCK))
