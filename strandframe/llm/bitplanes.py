@@ -18,10 +18,13 @@ PLANES = 1024
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def parities(codes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """[n, PLANES] bits from distinct (owner, code) pairs."""
-    h = (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)
-    return (np.bincount(owner * PLANES + h.astype(np.int64), minlength=n * PLANES) & 1).astype(np.uint8).reshape(n, PLANES)
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """[n, PLANES] bits of sets of distinct codes."""
+    out = np.empty((len(sets), PLANES), np.uint8)
+    for i, codes in enumerate(sets):
+        h = (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)
+        out[i] = np.bincount(h.view(np.int64), minlength=PLANES) & 1
+    return out
 
 
 def vertical(bits: np.ndarray) -> np.ndarray:
@@ -37,10 +40,11 @@ def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.nd
     return u ^ c, (a & b) | (u & c)
 
 
-def within(rows: np.ndarray, cols: np.ndarray, wanted: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def within(rows: np.ndarray, cols: np.ndarray, wanted: np.ndarray, row_size: np.ndarray, col_size: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (row, col) that are wanted and may be within their radius.
 
-    ``rows`` and ``cols`` are bits [n, PLANES] and [m, PLANES]; ``wanted`` and ``radius`` are [n, m].
+    ``rows`` and ``cols`` are bits [n, PLANES] and [m, PLANES]; ``wanted`` is [n, m]. The radius of a pair is
+    ``share`` of the sum of its sizes.
     """
     n, m = wanted.shape
     width = -(-m // 64)
@@ -51,7 +55,7 @@ def within(rows: np.ndarray, cols: np.ndarray, wanted: np.ndarray, radius: np.nd
     if not len(qi):
         return qi, wi
     # start values are only made for the words that are compared
-    lanes = radius[qi[:, None], np.minimum(wi[:, None] * 64 + np.arange(64), m - 1)]
+    lanes = np.floor((row_size[qi][:, None] + col_size[np.minimum(wi[:, None] * 64 + np.arange(64), m - 1)]) * share + 1e-9).astype(np.int64)
     depth = 1 + max(2, int(lanes.max(initial=0)).bit_length())
     start = np.clip((1 << depth) - 1 - lanes, 0, None)
     counters = [np.packbits((start >> k & 1).astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel() for k in range(depth)]

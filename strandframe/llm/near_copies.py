@@ -208,7 +208,7 @@ def _compare(k: int, threshold: float):
         windows = _windows(cp, k)
         own_codes = [_distinct(windows[a : a + m - k + 1]) for a, m in zip(first, size)]
         count = np.fromiter(map(len, own_codes), np.int64, n)
-        bits = parities(np.concatenate(own_codes), np.repeat(np.arange(n), count), n)
+        bits = parities(own_codes)
         group = np.unique(np.stack([np.array(comp), np.array(i), np.array(j)]), axis=1, return_inverse=True)[1].ravel()
         half, cross = np.array(own), np.array(i) != np.array(j)
         number = np.array(ids)
@@ -220,9 +220,7 @@ def _compare(k: int, threshold: float):
             cols = slice(r, min(n, int(np.searchsorted(group, group[rows.stop - 1], "right"))))
             wanted = (group[rows, None] == group[None, cols]) & (np.arange(rows.start, rows.stop)[:, None] < np.arange(cols.start, cols.stop)[None, :])
             wanted &= ~cross[rows, None] | (half[rows, None] != half[None, cols])
-            both = count[rows, None] + count[None, cols]
-            radius = np.floor(both * ((1 - threshold) / (1 + threshold)) + 1e-9).astype(np.int64)
-            for x, y in zip(*within(bits[rows], bits[cols], wanted, radius)):
+            for x, y in zip(*within(bits[rows], bits[cols], wanted, count[rows], count[cols], (1 - threshold) / (1 + threshold))):
                 x, y = int(x) + r, int(y) + r
                 if y >= n:
                     continue
@@ -265,8 +263,8 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, k: int = 8, threshold
     classes = digests.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "rep")
     copies = stage(digests.join(classes, "digest").where("id <> rep").select("id", "rep"), "copies")
     reps = sketched.join(copies.select("id"), "id", "left_anti")
-    stars = stage(_star_edges(reps.select("id", F.explode("tokens").alias("token"))).groupBy("center", "id").agg(F.count(F.lit(1)).alias("n")), "stars")
-    often = stars.where("center = -1").select("id", F.col("n").alias("common_total"))
+    stars = stage(_star_edges(reps.select("id", F.explode("tokens").alias("token"))), "stars")
+    often = stars.where("center = -1").groupBy("id").agg(F.count(F.lit(1)).alias("common_total"))
     banded = reps.select("id", "text", "common").join(often, "id", "left").where((F.length("text") - (k - 1) < SHORT) | (F.col("common") + F.coalesce("common_total", F.lit(0)) >= COMMON_SLOTS)).select("id", "text")
     band_edges = _star_edges(banded.mapInArrow(_bands(k), "token bigint, id bigint"))
     edges = stars.where("center <> -1").select(F.col("center").alias("a"), F.col("id").alias("b")).union(band_edges.select(F.col("center").alias("a"), F.col("id").alias("b")))
@@ -283,13 +281,10 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, k: int = 8, threshold
 def near_pairs(df: DataFrame, id_col: str, text_col: str, k: int = 8, threshold: float = 0.6) -> DataFrame:
     """(<id>_a, <id>_b) of all linked rows, exact copies included."""
     links, copies = near_copies(df, id_col, text_col, k, threshold)
-    links = stage(links, "links")
-    # every class with all its members; links go from class to class
-    ends = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).distinct()
-    member = copies.select("rep", "id").union(copies.select("rep", F.col("rep").alias("id")).distinct()).union(ends.join(copies.select("rep").distinct(), "rep", "left_anti").select("rep", F.col("rep").alias("id")))
-    m = stage(member, "members")
+    m = stage(copies.select("rep", "id").union(copies.select("rep", F.col("rep").alias("id")).distinct()), "members")
     left, right = m.select(F.col("rep").alias("a"), F.col("id").alias("x")), m.select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    between = links.join(left, "a").join(right, "b").select("x", "y")
+    # links go from class to class; a text without copies is its own only member
+    between = links.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
     same = m.select("rep", F.col("id").alias("x")).join(m.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y")
     return between.union(same).select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b"))
 
