@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 
-PLANES = 1024
+PLANES = 512
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -22,7 +22,7 @@ def parities(sets: list[np.ndarray]) -> np.ndarray:
     """[n, PLANES] bits of sets of distinct codes."""
     out = np.empty((len(sets), PLANES), np.uint8)
     for i, codes in enumerate(sets):
-        h = (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)
+        h = (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(55)
         out[i] = np.bincount(h.view(np.int64), minlength=PLANES) & 1
     return out
 

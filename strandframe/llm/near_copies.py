@@ -143,7 +143,7 @@ ALL_ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(center, id) of runs of one token, sorted by token and id; center -1 where the token is too common."""
+    """(center, id) of runs of one token, sorted by token; the center is the smallest id, or -1 where the token is too common."""
     token, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
     streamed = None  # a token already known to be too common
 
@@ -151,7 +151,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.concatenate([[True], t[1:] != t[:-1]])
         start = np.flatnonzero(new)
         n = np.diff(np.append(start, len(t)))
-        center, size = np.repeat(i[start], n), np.repeat(n, n)
+        center, size = np.repeat(np.minimum.reduceat(i, start), n), np.repeat(n, n)
         hot = (size > COMMON_TOTAL) & (t >= 0) | (t == streamed if streamed is not None else False)
         center = np.where(hot, -1, center)
         keep = center != i
@@ -168,16 +168,16 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 streamed = token[0]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), -1)), pa.array(ids)], names=["center", "id"])
                 token, ids = token[:0], ids[:0]
-            else:  # a band keeps its first id as the center
+            else:  # a band goes on with its center
                 if out := close(token, ids):
                     yield out
-                token, ids = token[:1], ids[:1]
+                token, ids = token[:1], ids.min(keepdims=True)
     if len(token) and (out := close(token, ids)):
         yield out
 
 
 def _star_edges(tokens: DataFrame) -> DataFrame:
-    return tokens.select("token", "id").repartition("token").sortWithinPartitions("token", "id").mapInArrow(_stars, "center bigint, id bigint")
+    return tokens.select("token", "id").repartition("token").sortWithinPartitions("token").mapInArrow(_stars, "center bigint, id bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
