@@ -202,16 +202,16 @@ def components(edges: DataFrame) -> DataFrame:
 def _compare(k: int, threshold: float):
     """Rows come sorted by (component, i, j); small components share blocks."""
 
-    def flush(comp: list, i: list, j: list, own: list, ids: list, texts: list) -> pa.RecordBatch | None:
-        n = len(ids)
+    def flush(keys: np.ndarray, texts: list[str]) -> pa.RecordBatch | None:
+        n = len(texts)
+        half, number = keys[3], keys[4]
+        cross = keys[1] != keys[2]
         cp, first, size = _code_points(texts)
         windows = _windows(cp, k)
         own_codes = [_distinct(windows[a : a + m - k + 1]) for a, m in zip(first, size)]
         count = np.fromiter(map(len, own_codes), np.int64, n)
         bits = parities(own_codes)
-        group = np.unique(np.stack([np.array(comp), np.array(i), np.array(j)]), axis=1, return_inverse=True)[1].ravel()
-        half, cross = np.array(own), np.array(i) != np.array(j)
-        number = np.array(ids)
+        group = np.concatenate([[0], np.cumsum((keys[:3, 1:] != keys[:3, :-1]).any(axis=0))])
         sets: dict[int, set] = {}
         of = lambda x: sets.get(x) or sets.setdefault(x, set(own_codes[x].tolist()))
         out_a, out_b = [], []
@@ -231,20 +231,18 @@ def _compare(k: int, threshold: float):
         return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"]) if out_a else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], [], [], []]
+        keys, texts = np.zeros((5, 0), np.int64), []
         for b in batches:
-            for c in range(6):
-                held[c].extend(b.column(c).to_pylist())
-            if len(held[0]) >= 4 * BLOCK:
-                key = (held[0][-1], held[1][-1], held[2][-1])
-                cut = len(held[0])
-                while cut and (held[0][cut - 1], held[1][cut - 1], held[2][cut - 1]) == key:
-                    cut -= 1
+            keys = np.concatenate([keys, np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(5)])], axis=1)
+            texts += b.column(5).to_pylist()
+            if len(texts) >= 4 * BLOCK:
+                # all rows but those of the last group, which may go on in the next batch
+                cut = int(np.flatnonzero((keys[:3] != keys[:3, -1:]).any(axis=0)).max(initial=-1)) + 1
                 if cut:
-                    if out := flush(*(h[:cut] for h in held)):
+                    if out := flush(keys[:, :cut], texts[:cut]):
                         yield out
-                    held = [h[cut:] for h in held]
-        if held[0] and (out := flush(*held)):
+                    keys, texts = keys[:, cut:], texts[cut:]
+        if texts and (out := flush(keys, texts)):
             yield out
 
     return run
