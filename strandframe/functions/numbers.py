@@ -48,12 +48,11 @@ def format_double(x: Column) -> Column:
 
 def bin_start(x: Column, width: Column) -> Column:
     """The start of the bin of x; NaN and infinities stay what they are."""
-    q = x / width
-    return F.when(F.isnan(q) | (F.abs(q) >= float(1 << 53)), x).otherwise(F.floor(q) * width)
+    return let(x / width, lambda q: F.when(F.isnan(q) | (F.abs(q) >= float(1 << 53)), q * width).otherwise(F.floor(q) * width))
 
 
 def format_bin(start: Column, width: Column) -> Column:
-    return F.concat(F.lit("("), format_double(start), F.lit(", "), format_double(start + width), F.lit("]"))
+    return let(start, lambda c: F.concat(F.lit("("), format_double(c), F.lit(", "), format_double(c + width), F.lit("]")))
 
 
 def parse_number(text: Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.numbers import format_double
+from ..functions.numbers import format_bin, format_double
 
 TEXT, INT, NUM, BOOL, BIN = "text", "int", "num", "bool", "bin"
 UNDEFINED = "undefined"
@@ -35,7 +35,7 @@ class Value:
         if self.kind == INT:
             return self.col.cast("string")
         if self.kind == BIN:
-            return F.concat(F.lit("("), format_double(self.col), F.lit(", "), format_double(self.col + self.width), F.lit("]"))
+            return format_bin(self.col, self.width)
         return format_double(self.col)
 
     def printed(self) -> Column:

@@ -107,12 +107,16 @@ def fastq_records(f: io.BufferedIOBase, start: int, end: int | None) -> Iterator
         f.seek(start - 1)
         at = start - 1 + len(f.readline())
         window = [f.readline() for _ in range(8)]
-        skip = 0
+        skip = None
         for k in range(4):
             a, b, c, d = (x.rstrip(b"\r\n") for x in window[k : k + 4])
             if a.startswith(b"@") and c.startswith(b"+") and len(b) == len(d):
                 skip = k
                 break
+        if skip is None:
+            if all(window[:7]):
+                raise ValueError(f"no FASTQ record near byte {start}")
+            return  # what is left belongs to a record that begins before
         at += sum(len(x) for x in window[:skip])
         f.seek(at)
     while end is None or at < end:
