@@ -264,44 +264,42 @@ def opt_meta(s, d):
     return v.select(F.col("id").cast("bigint").alias("ord"), "qual_fmt", "device")
 
 
-CMP = f"WITH {A}, l AS (SELECT * FROM a WHERE ord % 3 <> 0), m AS (SELECT * FROM a WHERE ord % 2 = 0), j AS (SELECT l.id AS id1, m.id AS id2, CASE WHEN m.ord IS NULL THEN 'unique1' WHEN l.ord IS NULL THEN 'unique2' ELSE 'common' END AS category FROM l FULL JOIN m ON l.id = m.id AND l.seq = m.seq)"
+CMP = f"WITH {R}, {A}, j AS (SELECT r.id AS id1, a.id AS id2, CASE WHEN a.ord IS NULL THEN 'unique1' WHEN r.ord IS NULL THEN 'unique2' ELSE 'common' END AS category FROM r FULL JOIN a ON r.id = a.id)"
 
 
 def two(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Two collections that share records: a comparison needs two inputs, and together they hold whole tables."""
-    a = amplicons(s, d)
-    return a.where("_ord % 3 <> 0"), a.where("_ord % 2 = 0")
+    """Two whole collections whose ids overlap."""
+    return reads(s, d), amplicons(s, d)
 
 
-@query(CMP + " SELECT category, count(*) AS n FROM j GROUP BY 1")
+@query(CMP + " SELECT c.category, count(j.category) AS n FROM (VALUES ('common'), ('unique1'), ('unique2')) AS c(category) LEFT JOIN j USING (category) GROUP BY 1")
 def cmp_stats(s, d):
-    return keyed.compare_stats(*two(s, d))
+    return keyed.compare_stats(*two(s, d), "id")
 
 
 @query(CMP + " SELECT id1, id2, category FROM j")
 def cmp_category(s, d):
-    return keyed.compare(*two(s, d)).select("id1", "id2", "category")
+    return keyed.compare(*two(s, d), "id").select("id1", "id2", "category")
 
 
 @query(CMP + " SELECT id1 AS id FROM j WHERE category = 'common'")
 def cmp_common(s, d):
-    return keyed.intersect(*two(s, d)).select("id")
+    return keyed.intersect(*two(s, d), "id").select("id")
 
 
 @query(CMP + " SELECT id1 AS id FROM j WHERE category = 'unique1'")
 def cmp_unique1(s, d):
-    return keyed.difference(*two(s, d)).select("id")
+    return keyed.difference(*two(s, d), "id").select("id")
 
 
 @query(CMP + " SELECT id2 AS id FROM j WHERE category = 'unique2'")
 def cmp_unique2(s, d):
-    return keyed.difference(*reversed(two(s, d))).select("id")
+    return keyed.difference(*reversed(two(s, d)), "id").select("id")
 
 
-@query(f"WITH {R}, k AS (SELECT seq, ord, row_number() OVER (PARTITION BY seq, ord % 2 ORDER BY ord) AS i FROM r), l AS (SELECT * FROM k WHERE ord % 2 = 0), m AS (SELECT * FROM k WHERE ord % 2 = 1) SELECT CASE WHEN m.ord IS NULL THEN 'u1' WHEN l.ord IS NULL THEN 'u2' ELSE 'c' END AS category_short, count(*) AS n FROM l FULL JOIN m ON l.seq = m.seq AND l.i = m.i GROUP BY 1")
+@query(f"WITH {R}, {A}, l AS (SELECT seq, ord, row_number() OVER (PARTITION BY seq ORDER BY ord) AS i FROM r), m AS (SELECT seq, ord, row_number() OVER (PARTITION BY seq ORDER BY ord) AS i FROM a) SELECT CASE WHEN m.ord IS NULL THEN 'u1' WHEN l.ord IS NULL THEN 'u2' ELSE 'c' END AS category_short, count(*) AS n FROM l FULL JOIN m ON l.seq = m.seq AND l.i = m.i GROUP BY 1")
 def cmp_repeated(s, d):
-    r = reads(s, d)
-    return keyed.compare(r.where("_ord % 2 = 0"), r.where("_ord % 2 = 1"), "seq", unordered_duplicates=True).groupBy("category_short").agg(F.count(F.lit(1)).alias("n"))
+    return keyed.compare(*two(s, d), "seq", unordered_duplicates=True).groupBy("category_short").agg(F.count(F.lit(1)).alias("n"))
 
 
 ZIP = f"WITH {A}, z AS (SELECT *, row_number() OVER (ORDER BY ord) AS p FROM a)"
@@ -476,11 +474,11 @@ def quality_scores(s, d):
     return reads(s, d).where("qual <> ''").select("id", sequence.phred_list(F.col("qual")).alias("scores"))
 
 
-@query(f"WITH {R} SELECT '>' || id || coalesce(' ' || \"desc\", '') || chr(10) || regexp_replace(seq, '(.{{20}})', '\\1' || chr(10), 'g') AS value FROM r WHERE length(seq) % 20 <> 0 AND NOT contains(seq, chr(10))")
+@query(f"WITH {R} SELECT '>' || id || coalesce(' ' || \"desc\", '') || chr(10) || rtrim(regexp_replace(replace(seq, chr(10), ''), '(.{{20}})', '\\1' || chr(10), 'gs'), chr(10)) AS value FROM r")
 def fasta_text(s, d):
     from ..sources.files import as_fasta
 
-    return as_fasta(reads(s, d).where((F.length("seq") % 20 != 0) & ~F.contains("seq", F.lit("\n"))), wrap=20)
+    return as_fasta(basic.replace(reads(s, d), "\n", ""), wrap=20)
 
 
 @query(f"WITH {R} SELECT id || chr(9) || coalesce(CAST(length(seq) AS VARCHAR), '') || chr(9) || coalesce({TILE}, 'undefined') AS value FROM r")

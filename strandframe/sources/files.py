@@ -248,7 +248,7 @@ def read_delimited(spark: SparkSession, files: list[str], delim: str, fields: st
 def as_fasta(df: DataFrame, wrap: int | None = None) -> DataFrame:
     """One text column, a record a row; a null desc leaves no blank behind the id."""
     head = F.concat(F.lit(">"), F.col("id"), F.coalesce(F.concat(F.lit(" "), F.col("desc")), F.lit("")))
-    seq = F.regexp_replace("seq", f"(.{{{wrap}}})(?=.)", "$1\n") if wrap else F.col("seq")
+    seq = F.regexp_replace("seq", f"(?s)(.{{{wrap}}})(?=.)", "$1\n") if wrap else F.col("seq")
     return df.select(F.concat(head, F.lit("\n"), seq).alias("value"))
 
 
