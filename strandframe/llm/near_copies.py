@@ -4,10 +4,10 @@ Two records are linked if the distinct substrings of ``k`` characters common to
 ``threshold`` of the distinct ones in either. The steps:
 
 1. Exact copies become one class with one representative.
-2. Each representative gets a sketch: the ``SKETCH`` smallest hashes of its substrings of ``LONG_K``
-   characters, without windows that hold a substring of ``PART_K`` characters common in their batch (shared ends and
-   the like).
-   Records that are short, or whose sketch is largely common substrings, also get
+2. Each representative gets a sketch: the ``SKETCH`` or more smallest hashes of its substrings of ``LONG_K``
+   characters, without windows that hold a substring of ``PART_K`` characters common in the whole table (shared ends and
+   the like). The more windows are left out, the larger the sketch (see ``sketch_size``).
+   Records that are short, or that would need more than ``SKETCH_MOST`` values, also get
    ``BANDS`` min-hash bands of ``ROWS`` values each of the substrings of ``k`` characters.
 3. Records with a sketch value in common are joined to the smallest id among them, never in all
    pairs; connected components of these stars are candidates for each other.
@@ -20,6 +20,7 @@ in common with a probability of about 1e-4, far less above it (measured recall:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .bitplanes import parities, within
 
-SKETCH, SPARE, LONG_K, PART_K = 24, 16, 16, 8
+SKETCH, SKETCH_MOST, SPARE, LONG_K, PART_K = 24, 42, 16, 16, 8
+MISS = 1e-4
 BANDS, ROWS = 64, 4
 SHORT = 96
 COMMON_SHARE, COMMON_LEAST, COMMON_SLOTS = 0.02, 100, 6
@@ -38,7 +40,8 @@ COMMON_SHARE, COMMON_LEAST, COMMON_SLOTS = 0.02, 100, 6
 COMMON_TOTAL = 2000
 BLOCK = 1024
 
-SKETCHED = "id bigint, text string, tokens array<bigint>, common int"
+SKETCHED = "id bigint, text string, tokens array<bigint>, banded boolean"
+PARTS = 1 << 20
 
 
 def _hash32(x: np.ndarray) -> np.ndarray:
@@ -89,28 +92,72 @@ def _long_hashes(cp: np.ndarray) -> np.ndarray:
     return _hash32(c)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(cp: np.ndarray) -> np.ndarray:
+    """A number below PARTS of each window of PART_K characters."""
+    return ((_windows(cp, PART_K) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+
+def _count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, n) of all texts of a task; part -1 counts the texts."""
+    n, texts = np.zeros(PARTS, np.int64), 0
     for b in batches:
-        ids, texts = b.column(0), b.column(1).to_pylist()
-        if not texts:
-            continue
-        cp, first, n = _code_points(texts)
-        h = _long_hashes(cp)
-        # windows that hold a substring common in this batch tell nothing
-        part = ((_windows(cp, PART_K) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        frequent = np.bincount(part, minlength=1 << 20) > max(COMMON_LEAST, COMMON_SHARE * len(texts))
-        seen = np.concatenate([[0], np.cumsum(frequent[part]), np.zeros(LONG_K, np.int64)])
-        common = seen[LONG_K - PART_K + 1 : len(cp) + LONG_K - PART_K + 1] > seen[: len(cp)]
-        tokens, slots = [], []
-        for a, m in zip(first, n):
-            windows = slice(a, a + max(0, m - LONG_K + 1))
-            own = h[windows][~common[windows]]
-            slots.append(SKETCH - SKETCH * len(own) // max(1, m - LONG_K + 1))
-            if len(own) > SKETCH + SPARE:
-                own = np.partition(own, SKETCH + SPARE)[: SKETCH + SPARE]
-            tokens.append(_distinct(own)[:SKETCH].astype(np.int64))
-        lens = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
-        yield pa.RecordBatch.from_arrays([ids, b.column(1), pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(np.concatenate(tokens), pa.int64())), pa.array(slots, pa.int32())], names=["id", "text", "tokens", "common"])
+        cp, _, size = _code_points(b.column(1).to_pylist())
+        n += np.bincount(_parts(cp), minlength=PARTS)
+        texts += len(size)
+    part = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(part, -1), pa.int32()), pa.array(np.append(n[part], texts), pa.int64())], names=["part", "n"])
+
+
+def common_parts(rows: DataFrame) -> np.ndarray:
+    """Bits of the parts that are common in all ``rows``. At most PARTS numbers reach the driver, whatever the input."""
+    counts = stage(rows.mapInArrow(_count_parts, "part int, n bigint").groupBy("part").agg(F.sum("n").alias("n")), "parts")
+    texts = (counts.where("part = -1").head() or (-1, 0))[1]
+    common = np.zeros(PARTS, bool)
+    common[[r["part"] for r in counts.where((F.col("part") >= 0) & (F.col("n") > max(COMMON_LEAST, COMMON_SHARE * texts))).select("part").collect()]] = True
+    return np.packbits(common)
+
+
+def sketch_size(excluded: float, k: int, threshold: float) -> int:
+    """The sketch values a record needs so that it shares one with a linked record but for a chance of MISS; more than SKETCH_MOST where no sketch does.
+
+    The worst case: all of the excluded share is common to both, and edits are spread evenly over the rest.
+    """
+    kept = (2 * threshold / (1 + threshold) - excluded) / max(1 - excluded, 1e-9)
+    both = min(1 - (1 - kept) * LONG_K / k, 1.0)
+    if both <= 0:
+        return SKETCH_MOST + 1
+    similar = both / (2 - both)
+    return SKETCH if similar > 0.99 else min(max(SKETCH, math.ceil(math.log(MISS) / math.log(1 - similar))), SKETCH_MOST + 1)
+
+
+def _sketch(common_bits: np.ndarray, k: int, threshold: float):
+    sizes = [sketch_size(x / 100, k, threshold) for x in range(101)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = np.unpackbits(common_bits)
+        for b in batches:
+            ids, texts = b.column(0), b.column(1).to_pylist()
+            if not texts:
+                continue
+            cp, first, n = _code_points(texts)
+            h = _long_hashes(cp)
+            # windows that hold a common substring tell nothing
+            seen = np.concatenate([[0], np.cumsum(frequent[_parts(cp)], dtype=np.int64), np.zeros(LONG_K, np.int64)])
+            common = seen[LONG_K - PART_K + 1 : len(cp) + LONG_K - PART_K + 1] > seen[: len(cp)]
+            tokens, banded = [], []
+            for a, m in zip(first, n):
+                windows = slice(a, a + max(0, m - LONG_K + 1))
+                own = h[windows][~common[windows]]
+                size = sizes[100 - 100 * len(own) // max(1, m - LONG_K + 1)]
+                banded.append(size > SKETCH_MOST)
+                size = min(size, SKETCH_MOST)
+                if len(own) > size + SPARE:
+                    own = np.partition(own, size + SPARE)[: size + SPARE]
+                tokens.append(_distinct(own)[:size].astype(np.int64))
+            lens = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
+            yield pa.RecordBatch.from_arrays([ids, b.column(1), pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(np.concatenate(tokens), pa.int64())), pa.array(banded)], names=["id", "text", "tokens", "banded"])
+
+    return run
 
 
 def _bands(k: int):
@@ -256,14 +303,14 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, k: int = 8, threshold
     """
     text = F.upper(F.col(text_col))
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), text.alias("text")).where(F.length("text") >= k)
-    sketched = stage(rows.mapInArrow(_sketch, SKETCHED), "sketches")
+    sketched = stage(rows.mapInArrow(_sketch(common_parts(rows), k, threshold), SKETCHED), "sketches")
     digests = sketched.select("id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest"))
     classes = digests.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "rep")
     copies = stage(digests.join(classes, "digest").where("id <> rep").select("id", "rep"), "copies")
     reps = sketched.join(copies.select("id"), "id", "left_anti")
     stars = stage(_star_edges(reps.select("id", F.explode("tokens").alias("token"))), "stars")
     often = stars.where("center = -1").groupBy("id").agg(F.count(F.lit(1)).alias("common_total"))
-    banded = reps.select("id", "text", "common").join(often, "id", "left").where((F.length("text") - (k - 1) < SHORT) | (F.col("common") + F.coalesce("common_total", F.lit(0)) >= COMMON_SLOTS)).select("id", "text")
+    banded = reps.select("id", "text", "banded").join(often, "id", "left").where((F.length("text") - (k - 1) < SHORT) | F.col("banded") | (F.coalesce("common_total", F.lit(0)) >= COMMON_SLOTS)).select("id", "text")
     band_edges = _star_edges(banded.mapInArrow(_bands(k), "token bigint, id bigint"))
     edges = stars.where("center <> -1").select(F.col("center").alias("a"), F.col("id").alias("b")).union(band_edges.select(F.col("center").alias("a"), F.col("id").alias("b")))
     member = components(edges)

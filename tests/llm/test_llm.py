@@ -65,6 +65,24 @@ def test_near_copies(spark):
     assert near_copies.near_pairs(df.limit(0), "amp_no", "seq").collect() == []
 
 
+def test_common_windows_are_those_of_the_whole_table(spark):
+    rng = random.Random(9)
+    dna = lambda n: "".join(rng.choices("ACGT", k=n))
+    base, rows = dna(290), []
+    for i in range(210):
+        s = list(base)
+        for at in rng.sample(range(290), rng.choice([2, 4])):
+            s[at] = rng.choice("ACGT")
+        rows.append((i, "".join(s)))
+    rows += [(i, dna(290)) for i in range(210, 630)]
+    # the family is common in the first partition, rare in the second
+    parts = [rows[:180] + rows[210:570], rows[180:210] + rows[570:]]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(parts, 2).flatMap(lambda x: x), "amp_no bigint, seq string")
+    got = {tuple(r) for r in near_copies.near_pairs(df, "amp_no", "seq").collect()}
+    want = brute(rows[:210], 8, 0.6)
+    assert (len(got & want), len(got - want)) == (len(want), 0)
+
+
 def test_large_components_are_cut_into_blocks(spark, monkeypatch):
     rng = random.Random(7)
     base = "".join(rng.choices("ACGT", k=150))
