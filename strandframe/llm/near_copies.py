@@ -7,7 +7,7 @@ Two records are linked if the distinct substrings of ``k`` characters common to
 2. Each representative gets a sketch: the ``SKETCH`` or more smallest hashes of its substrings of ``LONG_K``
    characters, without windows that hold a substring of ``PART_K`` characters common in the whole table (shared ends and
    the like). The more windows are left out, the larger the sketch (see ``sketch_size``).
-   Records that are short, or that would need more than ``SKETCH_MOST`` values, also get
+   Records that are short, have fewer distinct windows than that, or would need more than ``SKETCH_MOST`` values, also get
    ``BANDS`` min-hash bands of ``ROWS`` values each of the substrings of ``k`` characters.
 3. Records with a sketch value in common are joined to the smallest id among them, never in all
    pairs; connected components of these stars are candidates for each other.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .bitplanes import parities, within
 
-SKETCH, SKETCH_MOST, SPARE, LONG_K, PART_K = 24, 42, 16, 16, 8
+SKETCH, SKETCH_MOST, LONG_K, PART_K = 24, 42, 16, 8
 MISS = 1e-4
 BANDS, ROWS = 64, 4
 SHORT = 96
@@ -45,7 +45,7 @@ PARTS = 1 << 20
 
 
 def _hash32(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint32)
+    x = x.astype(np.uint32) ^ np.uint32(0x9E3779B9)  # else a run of A would have the least hash
     x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
     x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
     return x ^ (x >> np.uint32(16))
@@ -148,12 +148,12 @@ def _sketch(common_bits: np.ndarray, k: int, threshold: float):
             for a, m in zip(first, n):
                 windows = slice(a, a + max(0, m - LONG_K + 1))
                 own = h[windows][~common[windows]]
-                size = sizes[100 - 100 * len(own) // max(1, m - LONG_K + 1)]
-                banded.append(size > SKETCH_MOST)
-                size = min(size, SKETCH_MOST)
-                if len(own) > size + SPARE:
-                    own = np.partition(own, size + SPARE)[: size + SPARE]
-                tokens.append(_distinct(own)[:size].astype(np.int64))
+                excluded = max(0, m - LONG_K + 1) - len(own)
+                own = _distinct(own)
+                # repeats count once, so they don't hide how much is left out
+                size = sizes[-(-100 * excluded // max(1, excluded + len(own)))]
+                banded.append(size > SKETCH_MOST or len(own) < size)
+                tokens.append(own[: min(size, SKETCH_MOST)].astype(np.int64))
             lens = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
             yield pa.RecordBatch.from_arrays([ids, b.column(1), pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(np.concatenate(tokens), pa.int64())), pa.array(banded)], names=["id", "text", "tokens", "banded"])
 

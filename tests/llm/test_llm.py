@@ -3,6 +3,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -83,6 +84,17 @@ def test_common_windows_are_those_of_the_whole_table(spark):
     assert (len(got & want), len(got - want)) == (len(want), 0)
 
 
+def test_sketches_of_repeats():
+    rng = random.Random(3)
+    tail = "".join(rng.choices("ACGT", k=230))
+    texts = ["A" * 60 + tail, tail, "ACG" * 100]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], names=["id", "text"])
+    (out,) = near_copies._sketch(np.packbits(np.zeros(near_copies.PARTS, bool)), 8, 0.6)([batch])
+    a, b, c = map(set, out.column(2).to_pylist())
+    assert len(a) == len(b) == near_copies.SKETCH and len(a & b) > 15 and len(c) == 3
+    assert out.column(3).to_pylist() == [False, False, True]
+
+
 def test_large_components_are_cut_into_blocks(spark, monkeypatch):
     rng = random.Random(7)
     base = "".join(rng.choices("ACGT", k=150))
