@@ -35,8 +35,8 @@ SKETCH, SKETCH_MOST, LONG_K, PART_K = 24, 42, 16, 8
 MISS = 1e-4
 BANDS, ROWS = 64, 4
 SHORT = 96
-COMMON_SHARE, COMMON_LEAST, COMMON_SLOTS = 0.02, 100, 6
-#: A sketch value of more records than this joins none of them; records with several such values get bands.
+COMMON_SHARE, COMMON_LEAST = 0.02, 100
+#: A sketch value of more records than this joins none of them; all its records get bands.
 COMMON_TOTAL = 2000
 BLOCK = 1024
 
@@ -189,42 +189,46 @@ def _bands(k: int):
 ALL_ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stars(most: int):
     """(center, id) of runs of one token, sorted by token; the center is the smallest id, or -1 where the token is too common."""
-    token, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    streamed = None  # a token already known to be too common
-
-    def close(t: np.ndarray, i: np.ndarray) -> pa.RecordBatch | None:
-        new = np.concatenate([[True], t[1:] != t[:-1]])
-        start = np.flatnonzero(new)
-        n = np.diff(np.append(start, len(t)))
-        center, size = np.repeat(np.minimum.reduceat(i, start), n), np.repeat(n, n)
-        hot = (size > COMMON_TOTAL) & (t >= 0) | (t == streamed if streamed is not None else False)
-        center = np.where(hot, -1, center)
-        keep = center != i
-        return pa.RecordBatch.from_arrays([pa.array(center[keep]), pa.array(i[keep])], names=["center", "id"]) if keep.any() else None
 
-    for b in batches:
-        token, ids = np.concatenate([token, b.column(0).to_numpy()]), np.concatenate([ids, b.column(1).to_numpy()])
-        cut = int(np.searchsorted(token, token[-1])) if len(token) else 0
-        if cut and (out := close(token[:cut], ids[:cut])):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        streamed = None  # a token already known to be too common
+
+        def close(t: np.ndarray, i: np.ndarray) -> pa.RecordBatch | None:
+            new = np.concatenate([[True], t[1:] != t[:-1]])
+            start = np.flatnonzero(new)
+            n = np.diff(np.append(start, len(t)))
+            center, size = np.repeat(np.minimum.reduceat(i, start), n), np.repeat(n, n)
+            hot = (size > most) & (t >= 0) | (t == streamed if streamed is not None else False)
+            center = np.where(hot, -1, center)
+            keep = center != i
+            return pa.RecordBatch.from_arrays([pa.array(center[keep]), pa.array(i[keep])], names=["center", "id"]) if keep.any() else None
+
+        for b in batches:
+            token, ids = np.concatenate([token, b.column(0).to_numpy()]), np.concatenate([ids, b.column(1).to_numpy()])
+            cut = int(np.searchsorted(token, token[-1])) if len(token) else 0
+            if cut and (out := close(token[:cut], ids[:cut])):
+                yield out
+            token, ids = token[cut:], ids[cut:]
+            if len(token) > most:
+                if token[0] >= 0:
+                    streamed = token[0]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), -1)), pa.array(ids)], names=["center", "id"])
+                    token, ids = token[:0], ids[:0]
+                else:  # a band goes on with its center
+                    if out := close(token, ids):
+                        yield out
+                    token, ids = token[:1], ids.min(keepdims=True)
+        if len(token) and (out := close(token, ids)):
             yield out
-        token, ids = token[cut:], ids[cut:]
-        if len(token) > COMMON_TOTAL:
-            if token[0] >= 0:
-                streamed = token[0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), -1)), pa.array(ids)], names=["center", "id"])
-                token, ids = token[:0], ids[:0]
-            else:  # a band goes on with its center
-                if out := close(token, ids):
-                    yield out
-                token, ids = token[:1], ids.min(keepdims=True)
-    if len(token) and (out := close(token, ids)):
-        yield out
+
+    return run
 
 
 def _star_edges(tokens: DataFrame) -> DataFrame:
-    return tokens.select("token", "id").repartition("token").sortWithinPartitions("token").mapInArrow(_stars, "center bigint, id bigint")
+    return tokens.select("token", "id").repartition("token").sortWithinPartitions("token").mapInArrow(_stars(COMMON_TOTAL), "center bigint, id bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -309,8 +313,9 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, k: int = 8, threshold
     copies = stage(digests.join(classes, "digest").where("id <> rep").select("id", "rep"), "copies")
     reps = sketched.join(copies.select("id"), "id", "left_anti")
     stars = stage(_star_edges(reps.select("id", F.explode("tokens").alias("token"))), "stars")
-    often = stars.where("center = -1").groupBy("id").agg(F.count(F.lit(1)).alias("common_total"))
-    banded = reps.select("id", "text", "banded").join(often, "id", "left").where((F.length("text") - (k - 1) < SHORT) | F.col("banded") | (F.coalesce("common_total", F.lit(0)) >= COMMON_SLOTS)).select("id", "text")
+    # two records that share a value too common for a star both hold it, so both get bands
+    often = stars.where("center = -1").select("id", F.lit(True).alias("often")).distinct()
+    banded = reps.select("id", "text", "banded").join(often, "id", "left").where((F.length("text") - (k - 1) < SHORT) | F.col("banded") | F.col("often").isNotNull()).select("id", "text")
     band_edges = _star_edges(banded.mapInArrow(_bands(k), "token bigint, id bigint"))
     edges = stars.where("center <> -1").select(F.col("center").alias("a"), F.col("id").alias("b")).union(band_edges.select(F.col("center").alias("a"), F.col("id").alias("b")))
     member = components(edges)

@@ -95,6 +95,22 @@ def test_sketches_of_repeats():
     assert out.column(3).to_pylist() == [False, False, True]
 
 
+def test_links_by_values_too_common_for_a_star(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "COMMON_TOTAL", 1)
+    rng = random.Random(4)
+    rows, want = [], set()
+    for g in range(0, 1600, 2):
+        base = "".join(rng.choices("ACGT", k=290))
+        for i in range(2):
+            s = list(base)
+            for at in range(28 + 32 * i, 290, 64):
+                s[at] = "ACGT"["TGCA".index(s[at])]
+            rows.append((g + i, "".join(s)))
+        want |= brute(rows[-2:], 8, 0.6)
+    got = {tuple(r) for r in near_copies.near_pairs(spark.createDataFrame(rows, "amp_no bigint, seq string"), "amp_no", "seq").collect()}
+    assert (len(got & want), len(got - want)) == (len(want), 0)
+
+
 def test_large_components_are_cut_into_blocks(spark, monkeypatch):
     rng = random.Random(7)
     base = "".join(rng.choices("ACGT", k=150))
