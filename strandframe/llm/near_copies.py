@@ -69,16 +69,22 @@ def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _windows(cp: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit code of each window; equal windows have equal codes. Exact for 8 letters of ASCII."""
-    if width == 8 and (not len(cp) or cp.max() < 256):
+    """A 64-bit code of each window; equal windows have equal codes, whatever stands around them. Exact for 8 characters below 256."""
+    exact = None
+    if width == 8:
         b = np.concatenate([cp.astype(np.uint8), np.zeros(8, np.uint8)])
-        return np.lib.stride_tricks.sliding_window_view(b, 8)[: len(cp)].copy().view(np.uint64).ravel()
+        exact = np.lib.stride_tricks.sliding_window_view(b, 8)[: len(cp)].copy().view(np.uint64).ravel()
+        if not len(cp) or cp.max() < 256:
+            return exact
     h = np.zeros(len(cp), np.uint64)
     padded = np.concatenate([cp.astype(np.uint64), np.zeros(width, np.uint64)])
     for i in range(width):
         h = (h ^ padded[i : i + len(cp)]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    return h
+    if exact is None:
+        return h
+    high = np.concatenate([[0], np.cumsum(cp > 255), np.full(width, np.count_nonzero(cp > 255))])
+    return np.where(high[width : width + len(cp)] > high[: len(cp)], h, exact)
 
 
 def _long_hashes(cp: np.ndarray) -> np.ndarray:

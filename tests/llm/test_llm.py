@@ -111,6 +111,17 @@ def test_links_by_values_too_common_for_a_star(spark, monkeypatch):
     assert (len(got & want), len(got - want)) == (len(want), 0)
 
 
+def test_links_of_short_texts_with_other_characters(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(0, 40, 2):
+        text = "".join(rng.choices("ACGT", k=14))
+        rows += [(i, text), (i + 1, text + "\u2013")]
+    got = {tuple(r) for r in near_copies.near_pairs(spark.createDataFrame(rows, "amp_no bigint, seq string"), "amp_no", "seq").collect()}
+    want = brute(rows, 8, 0.6)
+    assert (len(got & want), len(got - want)) == (len(want), 0) and len(want) >= 20
+
+
 def test_large_components_are_cut_into_blocks(spark, monkeypatch):
     rng = random.Random(7)
     base = "".join(rng.choices("ACGT", k=150))
