@@ -1,9 +1,10 @@
 """Quality scores written in four formats, brought to Phred.
 
 The format of a row is what its label, its remark or its run names; Catalyst expressions read
-these names and convert. The history of each run is also segmented by an exact penalised
+these names and convert. The whole history of each run is also segmented by an exact penalised
 changepoint search on log levels (``level_segments``): a shift between segments that matches a
-known offset marks where the coding of a run changed, and so checks the names.
+known offset may mark where the coding of a run changed. It is a report of its own: formats are not read
+from it and no scores are changed by it.
 """
 
 from __future__ import annotations
@@ -93,16 +94,39 @@ def phred_sums(sets: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def segment(x: np.ndarray, w: np.ndarray, penalty: float) -> list[int]:
-    """Starts of the segments of least weighted squared deviation plus ``penalty`` a segment; exact, by dynamic programming with pruning."""
+    """Starts of the segments of least weighted squared deviation plus ``penalty`` a segment; exact.
+
+    Dynamic programming over the level of the open segment: each start is kept only with the levels for which it is the best one so
+    far, so long histories without a change have few starts to compare.
+    """
     n = len(x)
+    if not n:
+        return []
+    x = x - np.average(x, weights=w)
     cw, cx, cxx = (np.concatenate([[0.0], np.cumsum(v)]) for v in (w, w * x, w * x * x))
-    best, last, live = np.full(n + 1, np.inf), np.zeros(n + 1, int), np.array([0])
+    best, last = np.full(n + 1, np.inf), np.zeros(n + 1, int)
     best[0] = -penalty
+    least, most = float(x.min()), float(x.max())
+    start, lo, hi = np.array([0]), np.array([least]), np.array([most])
     for j in range(1, n + 1):
-        cost = best[live] + (cxx[j] - cxx[live]) - (cx[j] - cx[live]) ** 2 / np.maximum(cw[j] - cw[live], 1e-12)
-        k = int(np.argmin(cost))
-        best[j], last[j] = cost[k] + penalty, live[k]
-        live = np.append(live[cost <= best[j]], j)
+        weight, total = cw[j] - cw[start], cx[j] - cx[start]
+        level = total / weight
+        cost = best[start] + (cxx[j] - cxx[start]) - total * level
+        k = int(cost.argmin())
+        best[j], last[j] = cost[k] + penalty, start[k]
+        # a new start at j costs best[j] + penalty at any level
+        radius = np.sqrt(np.maximum(best[j] - cost, 0) / weight)
+        low, high = np.maximum(lo, level - radius), np.minimum(hi, level + radius)
+        keep = (low <= high) & (cost <= best[j])
+        start, low, high = start[keep], low[keep], high[keep]
+        after, before = np.append(least, high), np.append(low, most)
+        gap = after < before
+        if gap.any():
+            start, lo, hi = np.append(start, np.full(np.count_nonzero(gap), j)), np.append(low, after[gap]), np.append(high, before[gap])
+            order = lo.argsort(kind="stable")
+            start, lo, hi = start[order], lo[order], hi[order]
+        else:
+            lo, hi = low, high
     cuts, j = [], n
     while j > 0:
         cuts.append(int(last[j]))
@@ -113,37 +137,41 @@ def segment(x: np.ndarray, w: np.ndarray, penalty: float) -> list[int]:
 SEGMENTS = "run_id string, segment int, first_at timestamp, last_at timestamp, n_sets bigint, level double, shift double, matched string"
 
 
-def level_segments(sets: DataFrame, bins: int = 256, penalty: float = 8.0, tolerance: float = 0.08) -> DataFrame:
-    """Segments of each run's history of raw code levels.
+NUMBERS = r"^[\s\[({]*-?[0-9]{1,3}(?:[\s,;|]+-?[0-9]{1,3})*[\s\])}]*$"
+
+
+def level_segments(sets: DataFrame, penalty: float = 8.0, tolerance: float = 0.08) -> DataFrame:
+    """Segments of each run's history of levels: the mean of a row's codes, or of its numbers if they are written out.
 
-    A run's history is first reduced to at most ``bins`` spans of equal time, by aggregation with
-    map-side combining, so a run with a third of all rows is no larger task than any other. ``matched`` names
-    the offset change whose log ratio the shift fits. Rows without run, time or scores take no part.
+    The history is whole: one weighted mean for each time stamp, aggregated with map-side combining, so rows of one time are
+    no larger task than one row. ``matched`` names the offset change (0 are numbers) whose log ratio the shift fits best. The noise that
+    deviations are measured by is that of rows of one time and of neighbours in time. Rows without run, time or scores take no part.
     """
-    codes = F.filter(F.split(F.col("scores"), ""), lambda c: c != "")
-    level = F.aggregate(codes, F.lit(0.0), lambda a, c: a + F.ascii(c)) / F.size(codes)
-    rows = sets.where((F.col("scores") != "") & F.col("run_id").isNotNull() & F.col("measured_at").isNotNull() & ~F.col("scores").rlike(r"^[0-9,\s-]+$")).select("run_id", F.unix_timestamp(F.col("measured_at").cast("timestamp")).alias("at"), F.log(level).alias("x"))
-    span = rows.groupBy("run_id").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    binned = rows.join(span, "run_id").withColumn("bin", F.least(F.lit(bins - 1), F.floor((F.col("at") - F.col("lo")) * bins / F.greatest(F.lit(1), F.col("hi") - F.col("lo"))).cast("int")))
-    history = binned.groupBy("run_id", "bin").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.var_pop("x").alias("v"))
+    codes = F.transform(F.filter(F.split(F.col("scores"), ""), lambda c: c != ""), F.ascii)
+    numbers = F.transform(F.regexp_extract_all(F.col("scores"), F.lit(r"-?[0-9]+"), F.lit(0)), lambda x: x.cast("int"))
+    values = F.when(F.col("scores").rlike(NUMBERS), numbers).otherwise(codes)
+    # numbers may be zero or less, which have no log
+    level = F.greatest(F.lit(1.0), F.aggregate("values", F.lit(0.0), lambda a, c: a + c) / F.size("values"))
+    rows = sets.where((F.col("scores") != "") & F.col("run_id").isNotNull() & F.col("measured_at").isNotNull()).select("run_id", F.unix_micros(F.col("measured_at").cast("timestamp")).alias("at"), values.alias("values")).select("run_id", "at", F.log(level).alias("x"))
+    history = rows.groupBy("run_id", "at").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.var_pop("x").alias("v"))
 
     def of_run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin")
-        x, w = pdf["x"].to_numpy(), pdf["n"].to_numpy(float)
-        noise = max(float(np.average(pdf["v"].to_numpy(), weights=w)), 1e-6)
-        cuts = [*segment(x, w / noise, penalty), len(x)]
+        pdf = pdf.sort_values("at")
+        at, x, n, v = pdf["at"].to_numpy(), pdf["x"].to_numpy(), pdf["n"].to_numpy(float), pdf["v"].to_numpy()
+        spread = float((n * v).sum() + (np.diff(x) ** 2 / (1 / n[1:] + 1 / n[:-1])).sum())
+        noise = max(spread / max(n.sum() - 1, 1), 1e-6)
+        cuts = [*segment(x, n / noise, penalty), len(x)]
         out, before = [], None
         for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            part = pdf.iloc[a:b]
-            mean = float(np.average(part["x"], weights=part["n"]))
+            mean = float(np.average(x[a:b], weights=n[a:b]))
             shift = None if before is None else mean - before
             found = None
             if shift is not None:
                 up = math.exp(before)
-                for p, q in ((33, 64), (64, 33)):
-                    if abs(shift - math.log(max(up - p + q, 1) / up)) < tolerance:
-                        found = f"{p}->{q}"
-            out.append((pdf["run_id"].iloc[0], k, pd.Timestamp(int(part["first_at"].min()), unit="s"), pd.Timestamp(int(part["last_at"].max()), unit="s"), int(part["n"].sum()), math.exp(mean), shift, found))
+                off = {f"{p}->{q}": abs(shift - math.log((up - p + q) / up)) for p in (0, 33, 64) for q in (0, 33, 64) if p != q and up - p + q >= 1}
+                nearest = min(off, key=off.get, default=None)
+                found = nearest if nearest and off[nearest] < tolerance else None
+            out.append((pdf["run_id"].iloc[0], k, pd.Timestamp(int(at[a]), unit="us"), pd.Timestamp(int(at[b - 1]), unit="us"), int(n[a:b].sum()), math.exp(mean), shift, found))
             before = mean
         return pd.DataFrame(out, columns=["run_id", "segment", "first_at", "last_at", "n_sets", "level", "shift", "matched"])
 

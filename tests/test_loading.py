@@ -1,4 +1,7 @@
+from datetime import datetime, timedelta
+
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -87,3 +90,34 @@ def test_segments_are_exact():
 
     best = min(([0, *c] for k in range(4) for c in combinations(range(1, 16), k)), key=cost)
     assert units.segment(x, w, 0.5) == best == [0, 9]
+
+
+def test_segments_of_long_histories():
+    rng = np.random.default_rng(5)
+
+    def cost_of_best(x, w, penalty):
+        cw, cx, cxx = (np.concatenate([[0.0], np.cumsum(v)]) for v in (w, w * x, w * x * x))
+        best = np.zeros(len(x) + 1)
+        best[0] = -penalty
+        for j in range(1, len(x) + 1):
+            best[j] = (best[:j] + cxx[j] - cxx[:j] - (cx[j] - cx[:j]) ** 2 / (cw[j] - cw[:j])).min() + penalty
+        return best[-1]
+
+    for trial in range(40):
+        n = int(rng.integers(1, 300))
+        x = np.repeat(rng.normal(0, 2, n), rng.integers(1, 30, n))[:n] + rng.normal(0, trial % 3, n)
+        w = rng.integers(1, 4, n).astype(float)
+        cuts = [*units.segment(x, w, 4.0), n]
+        got = -4.0 + sum(4.0 + float((w[a:b] * (x[a:b] - np.average(x[a:b], weights=w[a:b])) ** 2).sum()) for a, b in zip(cuts, cuts[1:]))
+        assert got == pytest.approx(cost_of_best(x, w, 4.0), abs=1e-6)
+
+
+def test_segments_shorter_than_a_span(spark):
+    """A change of units over 6 of 3,000 rows of a run, and one to numbers."""
+    begin = datetime(2024, 1, 1)
+    text = lambda i: chr(64 + 30 + i % 2) * 8 if 1500 <= i < 1506 else "30 31 30" if i >= 2900 else chr(33 + 30 + i % 2) * 8
+    rows = [("r", text(i), begin + timedelta(minutes=i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "run_id string, scores string, measured_at timestamp")
+    got = sorted(units.level_segments(df).collect(), key=lambda r: r["segment"])
+    assert [(r["n_sets"], r["matched"]) for r in got] == [(1500, None), (6, "33->64"), (1394, "64->33"), (100, "33->0")]
+    assert got[1]["first_at"] == begin + timedelta(minutes=1500)
