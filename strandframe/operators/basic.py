@@ -14,6 +14,7 @@ from ..lang.template import compile_keys, compile_template, split_list
 from ..lang.values import UNDEFINED, ExpressionError, Value
 from ..lang.variables import Context
 from ..model import FIELDS
+from ..session import stage
 
 INTERNAL = {*FIELDS, "_num", "_file_num", "_input", "_path"}
 
@@ -113,6 +114,15 @@ def sort(df: DataFrame, keys: str | list[str], reverse: bool = False, ctx: Conte
     return df.orderBy(*(F.desc_nulls_first(c) if reverse else F.asc_nulls_last(c) for c in cols), "_ord")
 
 
+def sort_ranks(df: DataFrame, keys: str | list[str], reverse: bool = False, ctx: Context | None = None) -> DataFrame:
+    """All records with ``_rank``, the 1-based place in ``sort``. They are sorted in ranges over all tasks and written once, ranks need one count a task."""
+    s = stage(sort(df, keys, reverse, ctx).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    s = s.withColumn("_task", F.shiftright("_at", 33)).withColumn("_row", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = s.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_task", (F.sum("_n").over(Window.orderBy("_task")) - F.col("_n")).alias("_before"))
+    return s.join(F.broadcast(before), "_task").withColumn("_rank", F.col("_before") + F.col("_row") + 1).drop("_at", "_task", "_row", "_before")
+
+
 def filter_records(df: DataFrame, expression: str, ctx: Context | None = None) -> DataFrame:
     return df.where(compile_filter(ctx or Context(), expression).truth())
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, sequence
 from ..functions.attrs import AttrFormat
+from ..lang.template import compile_template
 from ..lang.variables import Context
 from ..model import records
 from ..operators import basic, keyed, search
@@ -24,6 +25,8 @@ A = "a AS (SELECT CAST(amp_no AS VARCHAR) AS id, descr AS \"desc\", coalesce(seq
 D = "d AS (SELECT CAST(doc_id AS VARCHAR) AS id, lang AS \"desc\", coalesce(text, '') AS seq, doc_id AS ord FROM documents)"
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COMPLEMENT = f"reverse(translate(seq, '{sequence.DNA}', '{sequence.DNA_COMPLEMENT}'))"
+#: The complement of any sequence: RNA where there is a U and no T.
+ANY_COMPLEMENT = f"CASE WHEN regexp_matches(seq, '[Uu]') AND NOT regexp_matches(seq, '[Tt]') THEN reverse(translate(seq, '{sequence.RNA}', '{sequence.RNA_COMPLEMENT}')) ELSE {COMPLEMENT} END"
 
 
 def query(sql: str | None = None):
@@ -153,6 +156,24 @@ def sort_attr(s, d):
     return basic.stat(basic.sort(a, "{num(opt_attr('size'))}", True, ctx).limit(200), ["{num(opt_attr('size'))}"], ctx, ["size"])
 
 
+@query(f"WITH {R} SELECT id, row_number() OVER (ORDER BY seq, ord) AS rank FROM r")
+def sort_seq_all(s, d):
+    return basic.sort_ranks(reads(s, d), "seq").select("id", F.col("_rank").alias("rank"))
+
+
+@query(f"WITH {A}, k AS (SELECT id, ord, CASE WHEN \"desc\" LIKE '%size=%' THEN regexp_extract(\"desc\", 'size=(\\d+)', 1)::DOUBLE END AS size FROM a) SELECT id, size, row_number() OVER (ORDER BY size DESC NULLS FIRST, ord) AS rank FROM k")
+def sort_attr_all(s, d):
+    ctx = Context(attr_format=AttrFormat(";", "="))
+    a = amplicons(s, d).withColumn("desc", F.concat(F.lit(";"), F.col("desc")))
+    ranked = basic.sort_ranks(a, "{num(opt_attr('size'))}", True, ctx)
+    return ranked.select("id", compile_template(ctx, "{num(opt_attr('size'))}", raw=True).col.alias("size"), F.col("_rank").alias("rank"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS seq, row_number() OVER (ORDER BY o_orderpriority DESC, o_orderkey) AS rank FROM orders")
+def sort_orders_all(s, d):
+    return basic.sort_ranks(records(table(s, d, "orders"), "o_orderkey", "o_orderpriority", order="o_orderkey"), "seq", reverse=True).select("id", "seq", F.col("_rank").alias("rank"))
+
+
 FIRST = f"WITH {R}, f AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY ord) AS k, count(*) OVER (PARTITION BY seq) AS n_duplicates, first_value(id) OVER (PARTITION BY seq ORDER BY ord) AS ref FROM r)"
 
 
@@ -178,6 +199,11 @@ def unique_strand(s, d):
     return keyed.unique(a, "seqhash_min(true)").select("id", F.col("n_duplicates").alias("n"))
 
 
+@query(f"WITH {A}, k AS (SELECT id, ord, least(seq, {ANY_COMPLEMENT}) AS s FROM (SELECT id, ord, upper(seq) AS seq FROM a)) SELECT min_by(id, ord) AS id, count(*) AS n FROM k GROUP BY s")
+def unique_strand_all(s, d):
+    return keyed.unique(amplicons(s, d), "seqhash_min(true)").select("id", F.col("n_duplicates").alias("n"))
+
+
 @query(FIRST + " SELECT id, ref FROM f")
 def map_long(s, d):
     return keyed.unique_map(reads(s, d), "seq", "long")
@@ -317,6 +343,12 @@ def concat(s, d):
     return keyed.concat(a, basic.revcomp(a), spacer=3).select("id", "seq", F.col("_ord").alias("ord"))
 
 
+@query(ZIP + f" SELECT id, seq || 'NNN' || {ANY_COMPLEMENT} AS seq, p AS ord FROM z")
+def concat_all(s, d):
+    a = amplicons(s, d)
+    return keyed.concat(a, basic.revcomp(a), spacer=3).select("id", "seq", F.col("_ord").alias("ord"))
+
+
 @query(f"WITH {D} SELECT id, translate(seq, '{UP}', '{LOW}') AS seq FROM d")
 def lower(s, d):
     return basic.lower(documents(s, d)).select("id", "seq")

@@ -187,3 +187,25 @@ def test_alignment():
     assert align.global_alignment("ACGT", "ACGT") == ("ACGT", "ACGT")
     a, b = align.global_alignment("AACCGGTTAACCGGTT", "AACCGGTTCCGGTT")
     assert len(a) == len(b) == 16 and a.replace("-", "") == "AACCGGTTAACCGGTT" and b.replace("-", "") == "AACCGGTTCCGGTT"
+
+
+def test_ranks_of_whole_tables(spark):
+    rows = [(f"r{i}", None if i % 5 == 0 else f"p={i * 7 % 11}", "ACGT"[i * 3 % 4] * (i % 3)) for i in range(300)]
+    df = make(spark, rows, 7)
+    got = {r["id"]: r["_rank"] for r in basic.sort_ranks(df, "seq").collect()}
+    want = sorted(range(300), key=lambda i: (rows[i][2], i))
+    assert got == {f"r{i}": k + 1 for k, i in enumerate(want)}
+    got = {r["id"]: r["_rank"] for r in basic.sort_ranks(df, "{num(opt_attr('p'))}", reverse=True).collect()}
+    want = sorted(range(300), key=lambda i: (i % 5 != 0, -(i * 7 % 11) if i % 5 else 0, i))
+    assert got == {f"r{i}": k + 1 for k, i in enumerate(want)}
+    assert basic.sort_ranks(df.limit(0), "seq").collect() == []
+
+
+def test_queries_of_whole_tables(spark, tmp_path):
+    from strandframe.plans import record_queries
+
+    spark.createDataFrame([(1, "ACGN-TR", "size=2;"), (2, "YA-NCGT", None), (3, "ACGU", "size=10;"), (4, "acgu", "x"), (5, None, None)], "amp_no bigint, seq string, descr string").write.parquet(str(tmp_path / "amplicons.parquet"))
+    run = lambda n: {tuple(r) for r in record_queries.QUERIES[n](spark, str(tmp_path)).collect()}
+    assert run("unique_strand_all") == {("1", 2), ("3", 2), ("5", 1)}
+    assert run("concat_all") == {("1", "ACGN-TRNNNYA-NCGT", 1), ("2", "YA-NCGTNNNACGN-TR", 2), ("3", "ACGUNNNACGU", 3), ("4", "acguNNNacgu", 4), ("5", "NNN", 5)}
+    assert run("sort_attr_all") == {("2", None, 1), ("4", None, 2), ("5", None, 3), ("3", 10.0, 4), ("1", 2.0, 5)}
