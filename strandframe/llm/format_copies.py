@@ -74,7 +74,8 @@ def canonical(seq: Column, descr: Column, keys: tuple[str, ...] = FIELD_KEYS) ->
     parts = F.split(F.regexp_replace(F.translate(descr, "\x01\x02", "  "), mark, "\x01$2\x02"), "\x01")
     plain = lambda c: F.regexp_replace(F.lower(c), junk, "")
     field = lambda p: F.concat(F.lower(F.substring_index(p, "\x02", 1)), F.lit("="), plain(F.substring_index(p, "\x02", -1)))
-    fields = F.transform(F.slice(parts, 2, 1 << 20), field)
+    # no array is longer; its own size would split the text a second time
+    fields = F.transform(F.slice(parts, 2, (1 << 31) - 16), field)
     return F.concat_ws("\x1f", F.upper(F.regexp_replace(seq, "[^\\p{L}]", "")), plain(F.element_at(parts, 1)), F.concat_ws("\x1e", F.array_sort(F.array_distinct(fields))))
 
 

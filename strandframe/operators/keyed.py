@@ -31,6 +31,11 @@ def unique(df: DataFrame, keys: str | list[str], with_list: bool = False, ctx: C
     return out.select(*(F.col("_first").getField(c).alias(c) for c in cols), F.col("_first").getField("_printed").alias("key"), "n_duplicates", *(["duplicates_list"] if with_list else []))
 
 
+def _rest(items: Column) -> Column:
+    """All but the first item, however many there are."""
+    return F.slice(items, F.lit(2), F.size(items))
+
+
 def unique_context(ctx: Context | None = None) -> Context:
     """A context for templates over the result of ``unique``."""
     ctx = ctx or Context()
@@ -41,7 +46,7 @@ def unique_context(ctx: Context | None = None) -> Context:
     ctx.extra |= {
         "key": lambda c: Value(F.col("key"), TEXT),
         "n_duplicates": lambda c, me=None: Value(F.col("n_duplicates") - (0 if own(me) else 1), INT),
-        "duplicates_list": lambda c, me=None: Value(F.col("duplicates_list") if own(me) else F.array_join(F.slice(F.split("duplicates_list", ","), 2, 1 << 20), ","), TEXT),
+        "duplicates_list": lambda c, me=None: Value(F.col("duplicates_list") if own(me) else F.array_join(_rest(F.split("duplicates_list", ",")), ","), TEXT),
     }
     return ctx
 

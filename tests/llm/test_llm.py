@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strandframe.llm import bitplanes, encode, format_copies, frequent, near_copies, packing, pii
 
@@ -24,6 +25,12 @@ def test_format_copies(spark):
     assert format_copies.copies_found(df.limit(0)).collect() == []
 
 
+def test_format_copies_of_very_many_fields(spark):
+    descr = F.concat(F.lit("soil"), F.repeat(F.lit(" x=1"), (1 << 20) + 5))
+    df = spark.range(2).select(format_copies.canonical(F.lit("ACGT"), F.concat(descr, F.lit(" y="), F.col("id").cast("string"))).alias("c"))
+    assert df.distinct().count() == 2
+
+
 def test_trie_counts():
     words = [b"", b"a", b"a" * 24, b"a" * 25, b"a" * 48, b"ab", b"a"]
     trie = format_copies.Trie()

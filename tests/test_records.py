@@ -209,3 +209,10 @@ def test_queries_of_whole_tables(spark, tmp_path):
     assert run("unique_strand_all") == {("1", 2), ("3", 2), ("5", 1)}
     assert run("concat_all") == {("1", "ACGN-TRNNNYA-NCGT", 1), ("2", "YA-NCGTNNNACGN-TR", 2), ("3", "ACGUNNNACGU", 3), ("4", "acguNNNacgu", 4), ("5", "NNN", 5)}
     assert run("sort_attr_all") == {("2", None, 1), ("4", None, 2), ("5", None, 3), ("3", 10.0, 4), ("1", 2.0, 5)}
+
+
+def test_lists_longer_than_a_million(spark):
+    n = (1 << 20) + 5
+    u = spark.range(1).select(F.lit("a").alias("id"), F.concat(F.repeat(F.lit("a,"), n), F.lit("b")).alias("duplicates_list"), F.lit("").alias("key"), F.lit(n + 1).alias("n_duplicates"))
+    got = basic.stat(u, ["duplicates_list(false)"], keyed.unique_context(), ["others"]).select(F.length("others"), F.substring("others", -1, 1)).first()
+    assert tuple(got) == (2 * n - 1, "b")
