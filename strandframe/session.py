@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -17,13 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it.
 
-    Only where that is unset (tests on one machine) a folder of this process is made.
+    Where that is unset, a session in one process (tests) gets a folder of its own; on a cluster that is an error, as no
+    folder of this machine is seen by all executors.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = getattr(shared_dir, "own", None)
         if d is None:
             d = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="strandframe-")
+            atexit.register(shutil.rmtree, d.removeprefix("file://"), True)
         spark.sparkContext.setCheckpointDir(d)
     return d
 
@@ -37,18 +42,35 @@ def drop_path(spark: SparkSession, path: str) -> None:
         pass
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts the lineage with a copy that outlives any executor, and keeps Python
-    work from running again for each later use. It is dropped when the process ends.
+    work from running again for each later use. The shuffle files of the write are removed when it is done, as nothing
+    reads them again. The copy is dropped by ``release``, or when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(schema).parquet(path)
+    out._staged = path
     atexit.register(drop_path, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    return out
+
+
+def release(*staged: DataFrame) -> None:
+    """Drop copies made by ``stage`` that nothing reads any more."""
+    for df in staged:
+        drop_path(df.sparkSession, df._staged)
 
 
 def local_session(cpus: int | None = None, **conf: str) -> SparkSession:
