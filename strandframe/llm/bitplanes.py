@@ -1,6 +1,6 @@
 """Distances of many sets at once from bit planes.
 
-A set becomes ``PLANES`` parities: each element flips the bit it hashes to. Two sets whose symmetric
+A set becomes some hundreds of parities, or more where sets are large: each element flips the bit it hashes to. Two sets whose symmetric
 difference has d elements differ in at most d parities, so the comparison never loses a pair:
 it drops pairs that can't be similar enough, the exact comparison of the sets decides the rest.
 
@@ -14,23 +14,31 @@ from __future__ import annotations
 
 import numpy as np
 
-PLANES = 512
+LEAST_PLANES = 512
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def parities(sets: list[np.ndarray]) -> np.ndarray:
-    """[n, PLANES] bits of sets of distinct codes."""
-    out = np.empty((len(sets), PLANES), np.uint8)
+def planes_for(sizes: np.ndarray) -> int:
+    """Planes with which sets that share nothing differ in more parities than their radius.
+
+    Two such sets of n elements differ in nearly half of the planes if there are about 1.75 * n of them, which is well beyond n / 2.
+    """
+    return max(LEAST_PLANES, -(-7 * int(sizes.max(initial=0)) // 256) * 64)
+
+
+def parities(sets: list[np.ndarray], planes: int = LEAST_PLANES) -> np.ndarray:
+    """[n, planes] bits of sets of distinct codes."""
+    out = np.empty((len(sets), planes), np.uint8)
     for i, codes in enumerate(sets):
-        h = (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(55)
-        out[i] = np.bincount(h.view(np.int64), minlength=PLANES) & 1
+        h = ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) * np.uint64(planes) >> np.uint64(32)
+        out[i] = np.bincount(h.view(np.int64), minlength=planes) & 1
     return out
 
 
 def vertical(bits: np.ndarray) -> np.ndarray:
-    """[PLANES, words]: bit k of word w of a plane belongs to set 64 * w + k."""
+    """[planes, words]: bit k of word w of a plane belongs to set 64 * w + k."""
     n = -(-len(bits) // 64) * 64
-    padded = np.zeros((n, PLANES), np.uint8)
+    padded = np.zeros((n, bits.shape[1]), np.uint8)
     padded[: len(bits)] = bits
     return np.ascontiguousarray(np.packbits(padded.T, axis=1, bitorder="little")).view(np.uint64)
 
@@ -43,7 +51,7 @@ def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.nd
 def within(rows: np.ndarray, cols: np.ndarray, wanted: np.ndarray, row_size: np.ndarray, col_size: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (row, col) that are wanted and may be within their radius.
 
-    ``rows`` and ``cols`` are bits [n, PLANES] and [m, PLANES]; ``wanted`` is [n, m]. The radius of a pair is
+    ``rows`` and ``cols`` are bits [n, planes] and [m, planes]; ``wanted`` is [n, m]. The radius of a pair is
     ``share`` of the sum of its sizes.
     """
     n, m = wanted.shape
@@ -61,7 +69,7 @@ def within(rows: np.ndarray, cols: np.ndarray, wanted: np.ndarray, row_size: np.
     counters = [np.packbits((start >> k & 1).astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel() for k in range(depth)]
     beyond = ~alive[qi, wi]
     planes, bits = vertical(cols), np.ascontiguousarray(rows.T)
-    for j in range(0, PLANES, 4):
+    for j in range(0, len(planes), 4):
         x = [planes[j + i][wi] ^ (bits[j + i][qi] * ALL) for i in range(4)]
         counters[0], a = _add(counters[0], x[0], x[1])
         counters[0], b = _add(counters[0], x[2], x[3])

@@ -3,19 +3,26 @@
 Two records are linked if the distinct substrings of ``k`` characters common to both are at least
 ``threshold`` of the distinct ones in either. The steps:
 
-1. Exact copies become one class with one representative.
-2. Each representative gets a sketch: the ``SKETCH`` or more smallest hashes of its substrings of ``LONG_K``
-   characters, without windows that hold a substring of ``PART_K`` characters common in the whole table (shared ends and
-   the like). The more windows are left out, the larger the sketch (see ``sketch_size``).
-   Records that are short, have fewer distinct windows than that, or would need more than ``SKETCH_MOST`` values, also get
-   ``BANDS`` min-hash bands of ``ROWS`` values each of the substrings of ``k`` characters.
-3. Records with a sketch value in common are joined to the smallest id among them, never in all
-   pairs; connected components of these stars are candidates for each other.
-4. Components are compared in blocks by bit planes (see ``bitplanes``), then exactly by their sets. A component
+1. Texts are packed (two bits a letter where only A, C, G and T occur); exact copies become one class with one representative.
+2. Windows of ``PART`` letters are counted in a table of fixed size over all representatives. A window more frequent than
+   ``COMMON_LEAST`` and than twice what chance puts into its place of the table is common (shared ends and the like).
+3. Each representative gets a sketch: the smallest hashes of its windows of ``width`` letters of which common ones cover at most
+   ``COVERED`` (a window of some letters beside a shared end would tell little more than the end).
+   ``width`` follows from the letters of the whole table, so that unrelated records share a value by chance in less than
+   ``CHANCE`` cases a record; the more windows are left out, the larger the sketch (see ``sketch_size``). Records that are short,
+   have fewer distinct windows than that or would need more than ``SKETCH_MOST`` values get ``BANDS`` min-hash bands
+   of ``ROWS`` values each of the substrings of ``k`` characters instead.
+4. Records with a value in common are joined to the smallest id among them, never in all pairs. A sketch value of more than
+   ``COMMON_TOTAL`` records joins none of them; all its records get bands. Connected components of these stars are candidates.
+5. Components are compared in blocks by bit planes (see ``bitplanes``), then exactly by their sets. A component
    larger than a block is cut into blocks by hash, and each pair of blocks is a task of its own.
 
-Step 3 is the only one that may miss a link: two records just at the threshold have no sketch value
-in common with a probability of about 1e-4, far less above it (measured recall: see the README).
+Values travel in chunks: a task sorts the values of many records, closes what is common in it already (a band becomes a star on
+the spot, a value above ``COMMON_TOTAL`` a mark) and writes the rest as byte planes, one row a bucket of values. So a hot value
+costs each task some rows at most, and no value is a row of its own.
+
+Step 3 is the only one that may miss a link: two records just at the threshold whose edits are spread as evenly as
+can be have no value in common with a probability of about 1e-4, far less elsewhere (measured recall: see the README).
 """
 
 from __future__ import annotations
@@ -28,27 +35,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
-from .bitplanes import parities, within
+from ..session import release, stage
+from .bitplanes import parities, planes_for, within
 
-SKETCH, SKETCH_MOST, LONG_K, PART_K = 24, 42, 16, 8
-MISS = 1e-4
+SKETCH, SKETCH_MOST, PART, LEAST_WIDTH = 24, 80, 12, 16
+#: Letters of a window that common parts may cover.
+COVERED = 4
+MISS, CHANCE = 1e-4, 0.1
 BANDS, ROWS = 64, 4
 SHORT = 96
-COMMON_SHARE, COMMON_LEAST = 0.02, 100
+COMMON_LEAST = 256
 #: A sketch value of more records than this joins none of them; all its records get bands.
-COMMON_TOTAL = 2000
+COMMON_TOTAL = 512
 BLOCK = 1024
-
-SKETCHED = "id bigint, text string, tokens array<bigint>, banded boolean"
+#: Records whose values a task sorts together, and values a bucket is meant to hold.
+CHUNK, BUCKET = 1 << 16, 1 << 22
 PARTS = 1 << 20
 
+PACKED = "id bigint, digest binary, packed binary, text string, n int"
+CHUNKS = "bucket int, kind int, n int, wide boolean, tokens binary, ids binary"
+SKETCHES, STARS, HOT = 0, 1, 2
+ALL_ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-def _hash32(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint32) ^ np.uint32(0x9E3779B9)  # else a run of A would have the least hash
-    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-    return x ^ (x >> np.uint32(16))
+_CODE = np.full(256, 4, np.uint8)
+_CODE[[ord(c) for c in "ACTG"]] = [0, 1, 2, 3]  # bits 1 and 2 of the letters
+_FOUR = np.frombuffer(b"ACTG", np.uint8)[np.arange(256)[:, None] >> np.array([6, 4, 2, 0]) & 3]
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:
@@ -68,13 +79,52 @@ def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return cp, np.cumsum(n) - n, n
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, digest, text) to PACKED: four letters a byte where a text has only A, C, G and T, else the text."""
+    for b in batches:
+        texts = b.column(2).to_pylist()
+        if not texts:
+            continue
+        cp, first, n = _code_points(texts)
+        code = np.where(cp < 256, _CODE[cp & 255], 4)
+        plain = np.add.reduceat(code == 4, first) == 0
+        size = np.where(plain, -(-n // 4), 0)
+        start = np.cumsum(size) - size
+        room = np.zeros(4 * int(size.sum()), np.uint8)
+        where = np.repeat(4 * start - first, n) + np.arange(len(cp))
+        own = np.repeat(plain, n)
+        room[where[own]] = code[own]
+        packed = np.packbits((room[:, None] >> np.array([1, 0], np.uint8) & 1).ravel())
+        offsets = np.append(start, size.sum()).astype(np.int32)
+        none = pa.py_buffer(np.packbits(plain, bitorder="little"))
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), pa.Array.from_buffers(pa.binary(), len(texts), [none, pa.py_buffer(offsets), pa.py_buffer(packed)]), pa.array([None if p else t for p, t in zip(plain, texts)], pa.string()), pa.array(n, pa.int32())],
+            names=["id", "digest", "packed", "text", "n"],
+        )
+
+
+def _letters(packed: pa.Array, text: pa.Array, n: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The letters of packed texts in one array, with the first place and the length of each; there may be others between them."""
+    size = n.to_numpy(zero_copy_only=False).astype(np.int64)
+    _, offsets, data = packed.buffers()
+    at = np.frombuffer(offsets, np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
+    letters = _FOUR[np.frombuffer(data, np.uint8)[at[0] : at[-1]]].ravel() if at[-1] > at[0] else np.zeros(0, np.uint8)
+    first = 4 * (at[:-1] - at[0])
+    other = np.flatnonzero(packed.is_null().to_numpy(zero_copy_only=False))
+    if len(other):
+        cp, begin, _ = _code_points(text.take(pa.array(other)).to_pylist())
+        first[other] = begin + len(letters)
+        letters = np.concatenate([letters, cp])
+    return letters, first, size
+
+
 def _windows(cp: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit code of each window; equal windows have equal codes, whatever stands around them. Exact for 8 characters below 256."""
     exact = None
     if width == 8:
         b = np.concatenate([cp.astype(np.uint8), np.zeros(8, np.uint8)])
         exact = np.lib.stride_tricks.sliding_window_view(b, 8)[: len(cp)].copy().view(np.uint64).ravel()
-        if not len(cp) or cp.max() < 256:
+        if not len(cp) or cp.dtype == np.uint8 or cp.max() < 256:
             return exact
     h = np.zeros(len(cp), np.uint64)
     padded = np.concatenate([cp.astype(np.uint64), np.zeros(width, np.uint64)])
@@ -87,154 +137,257 @@ def _windows(cp: np.ndarray, width: int) -> np.ndarray:
     return np.where(high[width : width + len(cp)] > high[: len(cp)], h, exact)
 
 
-def _long_hashes(cp: np.ndarray) -> np.ndarray:
-    """32-bit hashes of windows of LONG_K characters, from the two bits of a character in which A, C, G and T differ."""
-    c = cp >> np.uint32(1) & np.uint32(3)
-    width = 1
-    while width < LONG_K:
-        nxt = np.concatenate([c[width:], np.zeros(min(width, len(c)), np.uint32)])
-        c = (c << np.uint32(2 * width)) | nxt
-        width *= 2
-    return _hash32(c)
+def _two_bits(cp: np.ndarray, *widths: int) -> list[np.ndarray]:
+    """Codes of the windows of each width below 32, two bits a character: the bits in which A, C, G and T differ."""
+    c = (cp >> 1 & 3).astype(np.uint64)
+    later = lambda x, by: np.concatenate([x[by:], np.zeros(min(by, len(x)), x.dtype)]) if by else x
+    out, done, w = [np.zeros(len(c), np.uint64) for _ in widths], [0] * len(widths), 1
+    while w < 32:
+        for i, width in enumerate(widths):
+            if width & w:
+                out[i] = (out[i] << np.uint64(2 * w)) | later(c, done[i])
+                done[i] += w
+        c = (c << np.uint64(2 * w)) | later(c, w)
+        w *= 2
+    return out
+
 
+def _parts(codes: np.ndarray) -> np.ndarray:
+    """The place below PARTS of each window of PART letters."""
+    return (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).view(np.int64)
 
-def _parts(cp: np.ndarray) -> np.ndarray:
-    """A number below PARTS of each window of PART_K characters."""
-    return ((_windows(cp, PART_K) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+def _inside(letters: int, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the part that begins at a letter lies within one text."""
+    step = np.zeros(letters + 1, np.int64)
+    np.add.at(step, first, 1)
+    np.add.at(step, first + np.maximum(size - PART + 1, 0), -1)
+    return np.cumsum(step[:-1]) > 0
 
 
 def _count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, n) of all texts of a task; part -1 counts the texts."""
-    n, texts = np.zeros(PARTS, np.int64), 0
+    """(part, n) of all texts of a task; part -1 counts the texts, -2 their letters."""
+    n, texts, letters = np.zeros(PARTS, np.int64), 0, 0
     for b in batches:
-        cp, _, size = _code_points(b.column(1).to_pylist())
-        n += np.bincount(_parts(cp), minlength=PARTS)
-        texts += len(size)
+        if not len(b):
+            continue
+        cp, first, size = _letters(*b.columns)
+        n += np.bincount(_parts(_two_bits(cp, PART)[0])[_inside(len(cp), first, size)], minlength=PARTS)
+        texts, letters = texts + len(size), letters + int(size.sum())
     part = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(part, -1), pa.int32()), pa.array(np.append(n[part], texts), pa.int64())], names=["part", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(part, [-1, -2]), pa.int32()), pa.array(np.append(n[part], [texts, letters]), pa.int64())], names=["part", "n"])
 
 
-def common_parts(rows: DataFrame) -> np.ndarray:
-    """Bits of the parts that are common in all ``rows``. At most PARTS numbers reach the driver, whatever the input."""
-    counts = stage(rows.mapInArrow(_count_parts, "part int, n bigint").groupBy("part").agg(F.sum("n").alias("n")), "parts")
-    texts = (counts.where("part = -1").head() or (-1, 0))[1]
+def common_parts(reps: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Bits of the parts that are common in all ``reps``, their number and their letters. At most PARTS numbers reach the driver, whatever the input."""
+    counts = stage(reps.select("packed", "text", "n").mapInArrow(_count_parts, "part int, n bigint").groupBy("part").agg(F.sum("n").alias("n")), "parts")
+    total = {r["part"]: r["n"] for r in counts.where("part < 0").collect()}
+    letters = total.get(-2, 0)
     common = np.zeros(PARTS, bool)
-    common[[r["part"] for r in counts.where((F.col("part") >= 0) & (F.col("n") > max(COMMON_LEAST, COMMON_SHARE * texts))).select("part").collect()]] = True
-    return np.packbits(common)
+    common[[r["part"] for r in counts.where((F.col("part") >= 0) & (F.col("n") > max(COMMON_LEAST, 2 * letters / PARTS))).select("part").collect()]] = True
+    release(counts)
+    return np.packbits(common), total.get(-1, 0), letters
+
 
+def window_width(letters: int) -> int:
+    """Letters a window needs so that a record shares a sketch value with unrelated ones in less than CHANCE cases.
 
-def sketch_size(excluded: float, k: int, threshold: float) -> int:
+    The smallest of the hashes of n windows lie close together, so two records of n letters have SKETCH * n / 4**width in common by chance.
+    """
+    return min(max(LEAST_WIDTH, math.ceil(math.log(max(1, 1.5 * SKETCH * letters / CHANCE), 4))), 31)
+
+
+def sketch_size(excluded: float, k: int, threshold: float, width: int) -> int:
     """The sketch values a record needs so that it shares one with a linked record but for a chance of MISS; more than SKETCH_MOST where no sketch does.
 
     The worst case: all of the excluded share is common to both, and edits are spread evenly over the rest.
     """
     kept = (2 * threshold / (1 + threshold) - excluded) / max(1 - excluded, 1e-9)
-    both = min(1 - (1 - kept) * LONG_K / k, 1.0)
+    both = min(1 - (1 - kept) * width / k, 1.0)
     if both <= 0:
         return SKETCH_MOST + 1
     similar = both / (2 - both)
     return SKETCH if similar > 0.99 else min(max(SKETCH, math.ceil(math.log(MISS) / math.log(1 - similar))), SKETCH_MOST + 1)
 
 
-def _sketch(common_bits: np.ndarray, k: int, threshold: float):
-    sizes = [sketch_size(x / 100, k, threshold) for x in range(101)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = np.unpackbits(common_bits)
-        for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            if not texts:
+_MULT = np.random.default_rng(20).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _bands(codes: np.ndarray) -> np.ndarray:
+    """The bands of a set of codes."""
+    codes, least = _mix(codes), np.full(BANDS * ROWS, ALL_ONES, np.uint64)
+    for at in range(0, len(codes), 512):
+        least = np.minimum(least, (codes[at : at + 512, None] * _MULT[None, :]).min(axis=0))
+    band = np.zeros(BANDS, np.uint64)
+    for r in range(ROWS):
+        band = (band ^ least[r::ROWS]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        band ^= band >> np.uint64(31)
+    return _mix(band + np.arange(BANDS, dtype=np.uint64))
+
+
+def sketches(b: pa.RecordBatch, frequent: np.ndarray, width: int, k: int, sizes: list[int]) -> tuple[list[np.ndarray], list[np.ndarray | None]]:
+    """The sketch of each text of (packed, text, n), and its bands where a sketch isn't enough."""
+    cp, first, n = _letters(*b.columns)
+    part, h = _two_bits(cp, PART, width)
+    h, small = _mix(h ^ np.uint64(0x9E3779B97F4A7C15)), _windows(cp, k)
+    begun = np.concatenate([np.zeros(PART, np.int64), np.cumsum(frequent[_parts(part)] & _inside(len(cp), first, n))])
+    covered = np.concatenate([[0], np.cumsum(begun[PART:] > begun[:-PART]), np.zeros(width, np.int64)])
+    common = covered[width : len(cp) + width] - covered[: len(cp)] > COVERED
+    tokens, bands = [], []
+    for a, m in zip(first, n):
+        windows = slice(a, a + max(0, m - width + 1))
+        own = h[windows][~common[windows]]
+        excluded = max(0, m - width + 1) - len(own)
+        own = _distinct(own)
+        # repeats count once, so they don't hide how much is left out
+        size = sizes[-(-100 * excluded // max(1, excluded + len(own)))]
+        tokens.append(own[: min(size, SKETCH_MOST)])
+        enough = size <= SKETCH_MOST and len(own) >= size and m - (k - 1) >= SHORT
+        bands.append(None if enough else _bands(_distinct(small[a : a + m - k + 1])))
+    return tokens, bands
+
+
+class _Chunks:
+    """Collects values of records and gives them as rows of CHUNKS."""
+
+    def __init__(self, buckets: int) -> None:
+        self.buckets, self.rows = buckets, 0
+        self.values: dict[int, list] = {SKETCHES: [], STARS: []}
+
+    def add(self, kind: int, tokens: np.ndarray, ids: np.ndarray) -> None:
+        self.values[kind].append((tokens, ids))
+
+    def flush(self) -> pa.RecordBatch | None:
+        out: list[tuple] = []
+        edges: list[tuple[np.ndarray, np.ndarray]] = []
+        for kind, values in self.values.items():
+            if not values:
                 continue
-            cp, first, n = _code_points(texts)
-            h = _long_hashes(cp)
-            # windows that hold a common substring tell nothing
-            seen = np.concatenate([[0], np.cumsum(frequent[_parts(cp)], dtype=np.int64), np.zeros(LONG_K, np.int64)])
-            common = seen[LONG_K - PART_K + 1 : len(cp) + LONG_K - PART_K + 1] > seen[: len(cp)]
-            tokens, banded = [], []
-            for a, m in zip(first, n):
-                windows = slice(a, a + max(0, m - LONG_K + 1))
-                own = h[windows][~common[windows]]
-                excluded = max(0, m - LONG_K + 1) - len(own)
-                own = _distinct(own)
-                # repeats count once, so they don't hide how much is left out
-                size = sizes[-(-100 * excluded // max(1, excluded + len(own)))]
-                banded.append(size > SKETCH_MOST or len(own) < size)
-                tokens.append(own[: min(size, SKETCH_MOST)].astype(np.int64))
-            lens = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
-            yield pa.RecordBatch.from_arrays([ids, b.column(1), pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(np.concatenate(tokens), pa.int64())), pa.array(banded)], names=["id", "text", "tokens", "banded"])
-
-    return run
-
-
-def _bands(k: int):
-    rng = np.random.default_rng(20)
-    mult = rng.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            t, i = (np.concatenate(x) for x in zip(*values))
+            order = np.lexsort((i, t)) if kind == STARS else np.argsort(t)
+            t, i = t[order], i[order]
+            new = np.concatenate([[True], t[1:] != t[:-1]])
+            start = np.flatnonzero(new)
+            size = np.diff(np.append(start, len(t)))
+            if kind == STARS:
+                edges.append((np.repeat(i[start], size)[~new], i[~new]))
+                t, i = t[start], i[start]
+            elif (size > COMMON_TOTAL).any():
+                hot = np.repeat(size > COMMON_TOTAL, size)
+                often = np.unique(i[hot])
+                edges.append((np.full(len(often), -1), often))
+                out += self._cut(HOT, t[hot & new], i[hot & new])
+                t, i = t[~hot], i[~hot]
+            out += self._cut(kind, t, i)
+        self.values, self.rows = {SKETCHES: [], STARS: []}, 0
+        for a, b in edges:
+            for at in range(0, len(a), BUCKET):
+                out.append((int(b[at] % self.buckets), -1, len(a[at : at + BUCKET]), True, a[at : at + BUCKET].astype(np.int64).tobytes(), b[at : at + BUCKET].astype(np.int64).tobytes()))
+        if not out:
+            return None
+        cols = list(zip(*out))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3]), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary())], names=["bucket", "kind", "n", "wide", "tokens", "ids"])
+
+    def _cut(self, kind: int, t: np.ndarray, i: np.ndarray) -> list[tuple]:
+        bucket = (t >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)
+        bounds = [*np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(t)] if len(t) else []
+        out = []
+        for a, b in zip(bounds, bounds[1:]):
+            ids = i[a:b]
+            low = int(ids.min())
+            wide = int(ids.max()) - low >= 1 << 32
+            # planes of bytes, the highest first: sorted values differ little in these, so they compress
+            planes = np.ascontiguousarray(t[a:b].astype(">u8").view(np.uint8).reshape(-1, 8).T[:7]).tobytes()
+            out.append((int(bucket[a]), kind, b - a, wide, planes, low.to_bytes(8, "little", signed=True) + (ids - low).astype(np.int64 if wide else np.uint32).tobytes()))
+        return out
+
+
+def _values(common_bits: np.ndarray, width: int, k: int, threshold: float, buckets: int, all_bands: bool):
+    """(id, packed, text, n) to CHUNKS: sketches, and bands of records that need them, or only bands of all."""
+    sizes = [sketch_size(x / 100, k, threshold, width) for x in range(101)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, chunks = np.unpackbits(common_bits).astype(bool), _Chunks(buckets)
         for b in batches:
-            ids, tokens = [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                cp, _, n = _code_points([text])
-                codes = _mix(_distinct(_windows(cp, k)[: n[0] - k + 1]))
-                least = np.full(BANDS * ROWS, ALL_ONES, np.uint64)
-                for at in range(0, len(codes), 512):
-                    least = np.minimum(least, (codes[at : at + 512, None] * mult[None, :]).min(axis=0))
-                band = np.zeros(BANDS, np.uint64)
-                for r in range(ROWS):
-                    band = (band ^ least[r::ROWS]) * np.uint64(0xC2B2AE3D27D4EB4F)
-                    band ^= band >> np.uint64(31)
-                band = (band + np.arange(BANDS, dtype=np.uint64)) | np.uint64(1 << 63)  # below zero: no sketch value
-                tokens.append(band.view(np.int64))
-                ids.append(np.full(BANDS, i, np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(ids))], names=["token", "id"])
+            if not len(b):
+                continue
+            ids = b.column(0).to_numpy()
+            texts = pa.RecordBatch.from_arrays(b.columns[1:], names=["packed", "text", "n"])
+            if all_bands:
+                cp, first, n = _letters(*texts.columns)
+                small = _windows(cp, k)
+                bands = [_bands(_distinct(small[a : a + m - k + 1])) for a, m in zip(first, n)]
+            else:
+                tokens, bands = sketches(texts, frequent, width, k, sizes)
+                chunks.add(SKETCHES, np.concatenate(tokens), np.repeat(ids, [len(t) for t in tokens]))
+            banded = [x is not None for x in bands]
+            if any(banded):
+                chunks.add(STARS, np.concatenate([x for x in bands if x is not None]), np.repeat(ids[banded], BANDS))
+            chunks.rows += len(ids)
+            if chunks.rows >= CHUNK and (out := chunks.flush()):
+                yield out
+        if out := chunks.flush():
+            yield out
 
     return run
 
 
-ALL_ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch | None:
+    keep = a != b
+    a, b = a[keep], b[keep]
+    if not len(a):
+        return None
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return pa.RecordBatch.from_arrays([pa.array(a[new], pa.int64()), pa.array(b[new], pa.int64())], names=["center", "id"])
 
 
 def _stars(most: int):
-    """(center, id) of runs of one token, sorted by token; the center is the smallest id, or -1 where the token is too common."""
+    """Rows of CHUNKS, sorted by bucket and falling kind, to (center, id); the center is the smallest id of a value, or -1 where the value is too common."""
+
+    def close(kind: int, t: np.ndarray, i: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(t, kind="stable")
+        t, i = t[order], i[order]
+        start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        size = np.diff(np.append(start, len(t)))
+        center = np.minimum.reduceat(i, start)
+        if kind == SKETCHES:
+            center = np.where((size > most) | np.isin(t[start], hot), -1, center)
+        return np.repeat(center, size), i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        streamed = None  # a token already known to be too common
+        key, held, hot = None, [], np.zeros(0, np.uint64)
 
-        def close(t: np.ndarray, i: np.ndarray) -> pa.RecordBatch | None:
-            new = np.concatenate([[True], t[1:] != t[:-1]])
-            start = np.flatnonzero(new)
-            n = np.diff(np.append(start, len(t)))
-            center, size = np.repeat(np.minimum.reduceat(i, start), n), np.repeat(n, n)
-            hot = (size > most) & (t >= 0) | (t == streamed if streamed is not None else False)
-            center = np.where(hot, -1, center)
-            keep = center != i
-            return pa.RecordBatch.from_arrays([pa.array(center[keep]), pa.array(i[keep])], names=["center", "id"]) if keep.any() else None
+        def done() -> pa.RecordBatch | None:
+            return _pairs(*close(key[1], np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), hot)) if held else None
 
         for b in batches:
-            token, ids = np.concatenate([token, b.column(0).to_numpy()]), np.concatenate([ids, b.column(1).to_numpy()])
-            cut = int(np.searchsorted(token, token[-1])) if len(token) else 0
-            if cut and (out := close(token[:cut], ids[:cut])):
-                yield out
-            token, ids = token[cut:], ids[cut:]
-            if len(token) > most:
-                if token[0] >= 0:
-                    streamed = token[0]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), -1)), pa.array(ids)], names=["center", "id"])
-                    token, ids = token[:0], ids[:0]
-                else:  # a band goes on with its center
-                    if out := close(token, ids):
+            for bucket, kind, n, wide, tokens, ids in zip(*(c.to_pylist() for c in b.columns)):
+                if kind < 0:
+                    if out := _pairs(np.frombuffer(tokens, np.int64), np.frombuffer(ids, np.int64)):
+                        yield out
+                    continue
+                if key != (bucket, kind):
+                    if out := done():
                         yield out
-                    token, ids = token[:1], ids.min(keepdims=True)
-        if len(token) and (out := close(token, ids)):
+                    hot = hot if key and key[0] == bucket else np.zeros(0, np.uint64)
+                    key, held = (bucket, kind), []
+                eight = np.zeros((n, 8), np.uint8)
+                eight[:, :7] = np.frombuffer(tokens, np.uint8).reshape(7, n).T
+                t = eight.view(">u8").ravel().astype(np.uint64)
+                if kind == HOT:
+                    hot = np.append(hot, t)
+                else:
+                    held.append((t, np.frombuffer(ids, np.int64 if wide else np.uint32, offset=8).astype(np.int64) + int.from_bytes(ids[:8], "little", signed=True)))
+        if out := done():
             yield out
 
     return run
 
 
-def _star_edges(tokens: DataFrame) -> DataFrame:
-    return tokens.select("token", "id").repartition("token").sortWithinPartitions("token").mapInArrow(_stars(COMMON_TOTAL), "center bigint, id bigint")
+def _star_edges(chunks: DataFrame, partitions: int) -> DataFrame:
+    return chunks.repartition(partitions, "bucket").sortWithinPartitions("bucket", F.desc("kind")).mapInArrow(_stars(COMMON_TOTAL), "center bigint, id bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -244,40 +397,45 @@ def components(edges: DataFrame) -> DataFrame:
     """
     left = stage(edges.where("a <> b").distinct(), "edges")
     labels: DataFrame | None = None
+    parents = []
     while left.head(1):
         both = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = stage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")), "parents")
+        parents.append(parent)
+        before = left
         pa_, pb = parent.withColumnsRenamed({"p": "pa"}), parent.withColumnsRenamed({"a": "b", "p": "pb"})
         left = stage(left.join(pa_, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        release(before)
         if labels is None:
             labels = parent.select(F.col("a").alias("id"), F.col("p").alias("component"))
         else:
             labels = labels.join(parent.withColumnRenamed("a", "component"), "component", "left").select("id", F.coalesce("p", "component").alias("component"))
-    return stage(labels, "components") if labels is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0)
+    if labels is None:
+        return edges.sparkSession.createDataFrame([], "id bigint, component bigint")
+    out = stage(labels, "components")
+    release(left, *parents)
+    return out
 
 
 def _compare(k: int, threshold: float):
     """Rows come sorted by (component, i, j); small components share blocks."""
 
-    def flush(keys: np.ndarray, texts: list[str]) -> pa.RecordBatch | None:
-        n = len(texts)
+    def flush(keys: np.ndarray, codes: list[np.ndarray]) -> pa.RecordBatch | None:
+        n = len(codes)
         half, number = keys[3], keys[4]
         cross = keys[1] != keys[2]
-        cp, first, size = _code_points(texts)
-        windows = _windows(cp, k)
-        own_codes = [_distinct(windows[a : a + m - k + 1]) for a, m in zip(first, size)]
-        count = np.fromiter(map(len, own_codes), np.int64, n)
-        bits = parities(own_codes)
+        count = np.fromiter(map(len, codes), np.int64, n)
         group = np.concatenate([[0], np.cumsum((keys[:3, 1:] != keys[:3, :-1]).any(axis=0))])
         sets: dict[int, set] = {}
-        of = lambda x: sets.get(x) or sets.setdefault(x, set(own_codes[x].tolist()))
+        of = lambda x: sets.get(x) or sets.setdefault(x, set(codes[x].tolist()))
         out_a, out_b = [], []
         for r in range(0, n, BLOCK):
             rows = slice(r, min(n, r + BLOCK))
             cols = slice(r, min(n, int(np.searchsorted(group, group[rows.stop - 1], "right"))))
+            bits = parities(codes[cols], planes_for(count[cols]))
             wanted = (group[rows, None] == group[None, cols]) & (np.arange(rows.start, rows.stop)[:, None] < np.arange(cols.start, cols.stop)[None, :])
             wanted &= ~cross[rows, None] | (half[rows, None] != half[None, cols])
-            for x, y in zip(*within(bits[rows], bits[cols], wanted, count[rows], count[cols], (1 - threshold) / (1 + threshold))):
+            for x, y in zip(*within(bits[: rows.stop - r], bits, wanted, count[rows], count[cols], (1 - threshold) / (1 + threshold))):
                 x, y = int(x) + r, int(y) + r
                 if y >= n:
                     continue
@@ -288,18 +446,22 @@ def _compare(k: int, threshold: float):
         return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"]) if out_a else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, texts = np.zeros((5, 0), np.int64), []
+        keys, codes = np.zeros((5, 0), np.int64), []
         for b in batches:
+            if not len(b):
+                continue
             keys = np.concatenate([keys, np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(5)])], axis=1)
-            texts += b.column(5).to_pylist()
-            if len(texts) >= 4 * BLOCK:
+            cp, first, size = _letters(*b.columns[5:])
+            windows = _windows(cp, k)
+            codes += [_distinct(windows[a : a + m - k + 1]) for a, m in zip(first, size)]
+            if len(codes) >= 4 * BLOCK:
                 # all rows but those of the last group, which may go on in the next batch
                 cut = int(np.flatnonzero((keys[:3] != keys[:3, -1:]).any(axis=0)).max(initial=-1)) + 1
                 if cut:
-                    if out := flush(keys[:, :cut], texts[:cut]):
+                    if out := flush(keys[:, :cut], codes[:cut]):
                         yield out
-                    keys, texts = keys[:, cut:], texts[cut:]
-        if texts and (out := flush(keys, texts)):
+                    keys, codes = keys[:, cut:], codes[cut:]
+        if codes and (out := flush(keys, codes)):
             yield out
 
     return run
@@ -311,37 +473,52 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, k: int = 8, threshold
     Texts are compared in upper case. A null text or one shorter than ``k`` takes no part; ids are
     unique bigints that aren't negative, rows with a null id are left out. Other columns don't matter; an empty table gives no links.
     """
+    spark = df.sparkSession
     text = F.upper(F.col(text_col))
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), text.alias("text")).where(F.length("text") >= k)
-    sketched = stage(rows.mapInArrow(_sketch(common_parts(rows), k, threshold), SKETCHED), "sketches")
-    digests = sketched.select("id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest"))
-    classes = digests.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "rep")
-    copies = stage(digests.join(classes, "digest").where("id <> rep").select("id", "rep"), "copies")
-    reps = sketched.join(copies.select("id"), "id", "left_anti")
-    stars = stage(_star_edges(reps.select("id", F.explode("tokens").alias("token"))), "stars")
-    # two records that share a value too common for a star both hold it, so both get bands
-    often = stars.where("center = -1").select("id", F.lit(True).alias("often")).distinct()
-    banded = reps.select("id", "text", "banded").join(often, "id", "left").where((F.length("text") - (k - 1) < SHORT) | F.col("banded") | F.col("often").isNotNull()).select("id", "text")
-    band_edges = _star_edges(banded.mapInArrow(_bands(k), "token bigint, id bigint"))
-    edges = stars.where("center <> -1").select(F.col("center").alias("a"), F.col("id").alias("b")).union(band_edges.select(F.col("center").alias("a"), F.col("id").alias("b")))
-    member = components(edges)
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("digest"), text.alias("text")).where(F.length("text") >= k)
+    one = rows.mapInArrow(_pack, PACKED).groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("packed", "text", "n")).alias("t"))
+    reps = stage(one.select("id", F.when(F.col("copies") > 1, F.col("digest")).alias("digest"), "t.*"), "texts")
+    classes = reps.where("digest IS NOT NULL").select("digest", F.col("id").alias("rep"))
+    copies = stage(rows.select("id", "digest").join(classes, "digest").where("id <> rep").select("id", "rep"), "copies")
+
+    texts = reps.select("id", "packed", "text", "n")
+    common, number, letters = common_parts(reps)
+    width = window_width(letters)
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-number * SKETCH_MOST // BUCKET))
+    buckets = 4 * partitions
+    stars = stage(_star_edges(texts.mapInArrow(_values(common, width, k, threshold, buckets, False), CHUNKS), partitions), "stars")
+    edges = stars.where("center <> -1")
+    if stars.where("center = -1").head(1):
+        # two records that share a value too common for a star both hold it, so both get bands
+        often = texts.join(stars.where("center = -1").select("id").distinct(), "id", "left_semi")
+        edges = edges.union(_star_edges(often.mapInArrow(_values(common, width, k, threshold, buckets, True), CHUNKS), partitions))
+    member = components(edges.select(F.col("center").alias("a"), F.col("id").alias("b")))
+    release(stars)
     size = member.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     blocks = F.ceil(F.col("size") / F.lit(2 * BLOCK)).cast("int")
     placed = member.join(size, "component").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int"))
     placed = placed.select("id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    full = placed.join(sketched.select("id", "text"), "id").select("component", "i", "j", "own", "id", "text")
-    links = full.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_compare(k, threshold), "a bigint, b bigint")
+    full = placed.join(texts, "id").select("component", "i", "j", "own", "id", "packed", "text", "n")
+    links = full.repartition(partitions, "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_compare(k, threshold), "a bigint, b bigint")
     return links, copies
 
 
 def near_pairs(df: DataFrame, id_col: str, text_col: str, k: int = 8, threshold: float = 0.6) -> DataFrame:
-    """(<id>_a, <id>_b) of all linked rows, exact copies included."""
+    """(<id>_a, <id>_b) of all linked rows, exact copies included.
+
+    The result lists every pair, so it grows with the square of a group of copies; ``near_classes`` doesn't. Large groups are cut
+    into blocks, and each pair of blocks of a group is a key of its own, so none is joined in one task.
+    """
     links, copies = near_copies(df, id_col, text_col, k, threshold)
     m = stage(copies.select("rep", "id").union(copies.select("rep", F.col("rep").alias("id")).distinct()), "members")
     left, right = m.select(F.col("rep").alias("a"), F.col("id").alias("x")), m.select(F.col("rep").alias("b"), F.col("id").alias("y"))
     # links go from class to class; a text without copies is its own only member
     between = links.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
-    same = m.select("rep", F.col("id").alias("x")).join(m.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y")
+    blocks = m.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    cut = m.join(blocks, "rep").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int"))
+    one = cut.select("rep", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("id").alias("x"))
+    other = cut.select("rep", F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("id").alias("y"))
+    same = one.join(other, ["rep", "i", "j"]).where("i < j OR x < y").select("x", "y")
     return between.union(same).select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b"))
 
 

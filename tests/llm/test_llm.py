@@ -91,15 +91,73 @@ def test_common_windows_are_those_of_the_whole_table(spark):
     assert (len(got & want), len(got - want)) == (len(want), 0)
 
 
+def packed(texts):
+    (b,) = near_copies._pack([pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([b""] * len(texts)), pa.array(texts)], names=["id", "digest", "text"])])
+    return b.select(["packed", "text", "n"])
+
+
+def sketched(texts, width=16, common=None):
+    sizes = [near_copies.sketch_size(x / 100, 8, 0.6, width) for x in range(101)]
+    return near_copies.sketches(packed(texts), np.zeros(near_copies.PARTS, bool) if common is None else common, width, 8, sizes)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ACGTNé🧬", min_size=1, max_size=30), min_size=1, max_size=9))
+def test_packed_texts(texts):
+    b = packed(texts)
+    for part in (b, b.slice(len(texts) // 2)):
+        cp, first, n = near_copies._letters(*part.columns)
+        assert ["".join(map(chr, cp[a : a + m])) for a, m in zip(first, n)] == texts[len(texts) - len(part) :]
+
+
 def test_sketches_of_repeats():
     rng = random.Random(3)
     tail = "".join(rng.choices("ACGT", k=230))
-    texts = ["A" * 60 + tail, tail, "ACG" * 100]
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], names=["id", "text"])
-    (out,) = near_copies._sketch(np.packbits(np.zeros(near_copies.PARTS, bool)), 8, 0.6)([batch])
-    a, b, c = map(set, out.column(2).to_pylist())
+    tokens, bands = sketched(["A" * 60 + tail, tail, "ACG" * 100])
+    a, b, c = (set(t.tolist()) for t in tokens)
     assert len(a) == len(b) == near_copies.SKETCH and len(a & b) > 15 and len(c) == 3
-    assert out.column(3).to_pylist() == [False, False, True]
+    assert [x is None for x in bands] == [True, True, False]
+
+
+def test_a_sketch_does_not_depend_on_its_batch():
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("ACGT", k=rng.choice([20, 150, 300]))) for _ in range(50)]
+    common = np.random.default_rng(1).random(near_copies.PARTS) < 0.02
+    together, one = sketched(texts, 17, common), [sketched([t], 17, common) for t in texts]
+    for i in range(50):
+        assert together[0][i].tolist() == one[i][0][0].tolist() and (together[1][i] is None) == (one[i][1][0] is None)
+
+
+@pytest.mark.parametrize(("n", "size"), [(12_000, 300), (3_000, 2_000)])
+def test_unrelated_records_stay_apart(n, size):
+    letters = np.frombuffer(b"ACGT", np.uint8)[np.random.default_rng(size).integers(0, 4, (n, size))]
+    tokens, bands = sketched([x.tobytes().decode() for x in letters], near_copies.window_width(n * size))
+    assert all(x is None for x in bands)
+    owners: dict = {}
+    for i, t in enumerate(tokens):
+        for x in t.tolist():
+            owners.setdefault(x, []).append(i)
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for group in owners.values():
+        for y in group[1:]:
+            parent[find(y)] = find(group[0])
+    parts = Counter(find(i) for i in range(n))
+    assert max(parts.values()) <= 8 and len(parts) > 0.9 * n
+
+
+@pytest.mark.parametrize("size", [300, 600, 2000, 5000])
+def test_planes_abandon_unrelated_sets(size):
+    rng = np.random.default_rng(size)
+    sets = [np.unique(rng.integers(0, 1 << 60, size, dtype=np.uint64)) for _ in range(120)]
+    count = np.array([len(s) for s in sets])
+    bits = bitplanes.parities(sets, bitplanes.planes_for(count))
+    assert not len(bitplanes.within(bits, bits, np.triu(np.ones((120, 120), bool), 1), count, count, 0.25)[0])
 
 
 def test_links_by_values_too_common_for_a_star(spark, monkeypatch):
@@ -118,6 +176,26 @@ def test_links_by_values_too_common_for_a_star(spark, monkeypatch):
     assert (len(got & want), len(got - want)) == (len(want), 0)
 
 
+def test_a_band_of_very_many_records(spark, monkeypatch):
+    # all records share their only windows, so each task combines their bands before they are sent
+    monkeypatch.setattr(near_copies, "CHUNK", 40)
+    rows = [(i, "ACGTTGCAAC" + "N" * (30 + i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "amp_no bigint, seq string").repartition(4)
+    want = brute(rows, 8, 0.6)
+    assert {tuple(r) for r in near_copies.near_pairs(df, "amp_no", "seq").collect()} == want
+    classes = near_copies.near_classes(df, "amp_no", "seq").collect()
+    assert {r["class_id"] for r in classes} == {0} and sum(r["n_links"] for r in classes) == 2 * len(want)
+
+
+def test_pairs_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 16)
+    rng = random.Random(11)
+    text = "".join(rng.choices("ACGT", k=100))
+    df = spark.createDataFrame([(i, text) for i in range(100)], "amp_no bigint, seq string")
+    got = [tuple(r) for r in near_copies.near_pairs(df, "amp_no", "seq").collect()]
+    assert sorted(got) == list(combinations(range(100), 2))
+
+
 def test_links_of_short_texts_with_other_characters(spark):
     rng = random.Random(6)
     rows = []
