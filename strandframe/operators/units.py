@@ -1,10 +1,11 @@
 """Quality scores written in four formats, brought to Phred.
 
-The format of a row is what its label, its remark or its run names; Catalyst expressions read
-these names and convert. The whole history of each run is also segmented by an exact penalised
-changepoint search on log levels (``level_segments``): a shift between segments that matches a
-known offset may mark where the coding of a run changed. It is a report of its own: formats are not read
-from it and no scores are changed by it.
+The history of each source is segmented by an exact penalised changepoint search on log levels. A source is the rows
+of one run whose names claim one coding (offset 33 or 64); there the level should stay, however often formats alternate in
+the run. A segment whose level is off the source's by a known offset change holds rows that are coded otherwise than
+their names say: these are read with the other offset if their codes can't stand for scores under the named one.
+All other rows keep the format that their label, their remark or their run names, as names are what tells
+formats of one offset apart (illumina and solexa, or numbers).
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def solexa_to_phred(s: Column) -> Column:
 
 def phred_scores(scores: Column, fmt: Column) -> Column:
     """Array of Phred scores. Numbers may be parted by anything but digits and signs."""
-    codes = F.transform(F.filter(F.split(scores, ""), lambda c: c != ""), F.ascii)
+    codes = _codes(scores)
     numbers = F.transform(F.regexp_extract_all(scores, F.lit(r"-?[0-9]+"), F.lit(0)), lambda x: x.cast("int"))
     return (
         F.when(fmt == "sanger", F.transform(codes, lambda c: c - 33))
@@ -79,13 +80,37 @@ def phred_scores(scores: Column, fmt: Column) -> Column:
     )
 
 
-def to_phred(sets: DataFrame, runs: DataFrame) -> DataFrame:
+def to_phred(sets: DataFrame, runs: DataFrame, penalty: float = 8.0, tolerance: float = 0.08) -> DataFrame:
     """(set_no, orig_format, phred) of rows with non-empty scores and a known format.
 
     Null or empty scores, unknown labels and runs that aren't listed leave a row out. Rows
-    delivered twice stay two rows. ``runs`` has one row per run_id.
+    delivered twice stay two rows. Rows without a time belong to no history and keep the named format. ``runs`` has one row per run_id.
     """
-    return with_format(sets.where(F.col("scores") != ""), runs).where(F.col("fmt").isNotNull()).select("set_no", F.col("fmt").alias("orig_format"), phred_scores(F.col("scores"), F.col("fmt")).alias("phred"))
+    time = F.col("measured_at").cast("timestamp") if "measured_at" in sets.columns else F.lit(None).cast("timestamp")
+    sets = sets.where(F.col("scores") != "").select("set_no", "run_id", "orig_format", "remark", "scores", time.alias("measured_at"))
+    named = with_format(sets, runs).where(F.col("fmt").isNotNull())
+    named = named.withColumn("_offset", F.when(F.col("fmt") == "sanger", 33).when(F.col("fmt").isin("illumina", "solexa"), 64)).withColumn("_run", F.coalesce("run_id", F.lit("")))
+    coded = named.where(F.col("_offset").isNotNull() & F.col("measured_at").isNotNull())
+    at = F.unix_micros("measured_at")
+    sources = segments_of(history(coded, ["_run", "_offset"], at, _codes(F.col("scores"))), ["_run", "_offset"], penalty, tolerance)
+    # few segments are off, each is told by the blocks of time it reaches into
+    off = sources.where("to IS NOT NULL").select("_run", "_offset", "first_at", "last_at", "to", F.explode(F.sequence(F.shiftright("first_at", 36), F.shiftright("last_at", 36))).alias("_span"))
+    off = off.select("_run", "_offset", "_span", "first_at", "last_at", "to").alias("o")
+    rows = named.withColumn("_at", at).withColumn("_span", F.shiftright("_at", 36)).alias("r")
+    same = F.col("r._run").eqNullSafe(F.col("o._run")) & (F.col("r._offset") == F.col("o._offset")) & (F.col("r._span") == F.col("o._span")) & F.col("r._at").between(F.col("o.first_at"), F.col("o.last_at"))
+    rows = rows.join(off, same, "left").select("r.set_no", "r.scores", "r.fmt", F.col("o.to").alias("to"))
+    read = F.when(F.col("to").isNotNull() & ~_possible(F.col("scores"), F.col("fmt")), F.when(F.col("to") == 33, "sanger").otherwise("illumina")).otherwise(F.col("fmt"))
+    return rows.select("set_no", read.alias("orig_format"), phred_scores(F.col("scores"), read).alias("phred"))
+
+
+def _codes(scores: Column) -> Column:
+    return F.transform(F.filter(F.split(scores, ""), lambda c: c != ""), F.ascii)
+
+
+def _possible(scores: Column, fmt: Column) -> Column:
+    """Whether every code is one that the format has."""
+    least, most = F.array_min(_codes(scores)), F.array_max(_codes(scores))
+    return (least >= F.when(fmt == "sanger", 33).when(fmt == "illumina", 64).otherwise(59)) & (most <= 126)
 
 
 def phred_sums(sets: DataFrame, runs: DataFrame) -> DataFrame:
@@ -134,45 +159,94 @@ def segment(x: np.ndarray, w: np.ndarray, penalty: float) -> list[int]:
     return cuts[::-1]
 
 
-SEGMENTS = "run_id string, segment int, first_at timestamp, last_at timestamp, n_sets bigint, level double, shift double, matched string"
+NUMBERS = r"^[\s\[({]*-?[0-9]{1,3}(?:[\s,;|]+-?[0-9]{1,3})*[\s\])}]*$"
+#: Time stamps that one search takes at once; searches of longer histories are joined by one over their segments.
+BLOCK = 20_000
 
 
-NUMBERS = r"^[\s\[({]*-?[0-9]{1,3}(?:[\s,;|]+-?[0-9]{1,3})*[\s\])}]*$"
+def history(rows: DataFrame, keys: list[str], at: Column, values: Column) -> DataFrame:
+    """(keys, at, n, x, v): one weighted log level for each time stamp, combined on the map side, so rows of one time are no larger task than one row."""
+    # numbers may be zero or less, which have no log
+    level = F.greatest(F.lit(1.0), F.aggregate("_values", F.lit(0.0), lambda a, c: a + c) / F.size("_values"))
+    x = rows.select(*keys, at.alias("at"), values.alias("_values")).select(*keys, "at", F.log(level).alias("x"))
+    return x.groupBy(*keys, "at").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.var_pop("x").alias("v"))
+
+
+def segments_of(levels: DataFrame, keys: list[str], penalty: float, tolerance: float) -> DataFrame:
+    """Segments of each history: (keys, segment, first_at, last_at, n_sets, level, shift, matched, to).
+
+    Histories are sorted in ranges over all tasks and searched in blocks of BLOCK stamps; a second search over the segments of a
+    history joins what the ends of blocks have cut. A history of one block is searched exactly, of a longer one all changes but those
+    that only show across the end of a block. ``shift`` is the change of the log level from the segment before, ``matched`` the
+    offset change (0 are numbers) that fits it best; ``to`` is the offset that the segment has instead of 33 or 64 by its level
+    against the longest segment, where the last key is an offset.
+    """
+    types = dict(levels.dtypes)
+    own = ", ".join(f"{k} {types[k]}" for k in keys)
+    cut = f"{own}, first_at bigint, last_at bigint, stamps bigint, n bigint, x double, spread double, free bigint"
+
+    def search(batches):
+        held: list[pd.DataFrame] = []
+
+        def close(pdf: pd.DataFrame) -> pd.DataFrame:
+            at, x, n, v = pdf["at"].to_numpy(), pdf["x"].to_numpy(), pdf["n"].to_numpy(float), pdf["v"].to_numpy()
+            spread = float((n * v).sum() + (np.diff(x) ** 2 / (1 / n[1:] + 1 / n[:-1])).sum())
+            noise = max(spread / max(n.sum() - 1, 1), 1e-6)
+            cuts = [*segment(x, n / noise, penalty), len(x)]
+            head = [pdf[k].iloc[0] for k in keys]
+            rows = [(*head, int(at[a]), int(at[b - 1]), b - a, int(n[a:b].sum()), float(np.average(x[a:b], weights=n[a:b])), spread if not a else 0.0, int(n.sum()) - 1 if not a else 0) for a, b in zip(cuts, cuts[1:])]
+            return pd.DataFrame(rows, columns=[*keys, "first_at", "last_at", "stamps", "n", "x", "spread", "free"])
+
+        for pdf in batches:
+            for _, part in pdf.groupby(keys, sort=False, dropna=False):
+                if held and any(held[-1][k].iloc[0] != part[k].iloc[0] for k in keys):
+                    yield close(pd.concat(held))
+                    held = []
+                while sum(map(len, held)) + len(part) >= BLOCK:
+                    room = BLOCK - sum(map(len, held))
+                    yield close(pd.concat([*held, part.iloc[:room]]))
+                    held, part = [], part.iloc[room:]
+                if len(part):
+                    held.append(part)
+        if held:
+            yield close(pd.concat(held))
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("first_at")
+        x, n = pdf["x"].to_numpy(), pdf["n"].to_numpy(float)
+        noise = max(float(pdf["spread"].sum()) / max(int(pdf["free"].sum()), 1), 1e-6)
+        cuts = [*segment(x, n / noise, penalty), len(x)]
+        means = [float(np.average(x[a:b], weights=n[a:b])) for a, b in zip(cuts, cuts[1:])]
+        sizes = [n[a:b].sum() for a, b in zip(cuts, cuts[1:])]
+        usual = means[int(np.argmax(sizes))]
+        out = []
+
+        def nearest(level: float, shift: float, offsets: list[tuple[int, int]]) -> tuple[int, int] | None:
+            up = math.exp(level)
+            off = {(p, q): abs(shift - math.log((up - p + q) / up)) for p, q in offsets if up - p + q >= 1}
+            best = min(off, key=off.get, default=None)
+            return best if best and off[best] < tolerance else None
+
+        every = [(p, q) for p in (0, 33, 64) for q in (0, 33, 64) if p != q]
+        named = pdf[keys[-1]].iloc[0]
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            shift = means[i] - means[i - 1] if i else None
+            found = nearest(means[i - 1], shift, every) if i else None
+            other = nearest(usual, means[i] - usual, [(p, q) for p, q in every if p == named and q]) if named in (33, 64) else None
+            out.append((*(pdf[k].iloc[0] for k in keys), i, int(pdf["first_at"].iloc[a]), int(pdf["last_at"].iloc[b - 1]), int(sizes[i]), math.exp(means[i]), shift, found and f"{found[0]}->{found[1]}", other and other[1]))
+        return pd.DataFrame(out, columns=[*keys, "segment", "first_at", "last_at", "n_sets", "level", "shift", "matched", "to"])
+
+    pieces = levels.select(*keys, "at", "n", "x", "v").repartitionByRange(*keys, "at").sortWithinPartitions(*keys, "at").mapInPandas(search, cut)
+    return pieces.groupBy(*keys).applyInPandas(join, f"{own}, segment int, first_at bigint, last_at bigint, n_sets bigint, level double, shift double, matched string, to int")
 
 
 def level_segments(sets: DataFrame, penalty: float = 8.0, tolerance: float = 0.08) -> DataFrame:
     """Segments of each run's history of levels: the mean of a row's codes, or of its numbers if they are written out.
 
-    The history is whole: one weighted mean for each time stamp, aggregated with map-side combining, so rows of one time are
-    no larger task than one row. ``matched`` names the offset change (0 are numbers) whose log ratio the shift fits best. The noise that
-    deviations are measured by is that of rows of one time and of neighbours in time. Rows without run, time or scores take no part.
+    The history is whole, and takes the rows as they are, whatever they are named. Rows without run, time or scores take no part.
     """
-    codes = F.transform(F.filter(F.split(F.col("scores"), ""), lambda c: c != ""), F.ascii)
     numbers = F.transform(F.regexp_extract_all(F.col("scores"), F.lit(r"-?[0-9]+"), F.lit(0)), lambda x: x.cast("int"))
-    values = F.when(F.col("scores").rlike(NUMBERS), numbers).otherwise(codes)
-    # numbers may be zero or less, which have no log
-    level = F.greatest(F.lit(1.0), F.aggregate("values", F.lit(0.0), lambda a, c: a + c) / F.size("values"))
-    rows = sets.where((F.col("scores") != "") & F.col("run_id").isNotNull() & F.col("measured_at").isNotNull()).select("run_id", F.unix_micros(F.col("measured_at").cast("timestamp")).alias("at"), values.alias("values")).select("run_id", "at", F.log(level).alias("x"))
-    history = rows.groupBy("run_id", "at").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.var_pop("x").alias("v"))
-
-    def of_run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        at, x, n, v = pdf["at"].to_numpy(), pdf["x"].to_numpy(), pdf["n"].to_numpy(float), pdf["v"].to_numpy()
-        spread = float((n * v).sum() + (np.diff(x) ** 2 / (1 / n[1:] + 1 / n[:-1])).sum())
-        noise = max(spread / max(n.sum() - 1, 1), 1e-6)
-        cuts = [*segment(x, n / noise, penalty), len(x)]
-        out, before = [], None
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            mean = float(np.average(x[a:b], weights=n[a:b]))
-            shift = None if before is None else mean - before
-            found = None
-            if shift is not None:
-                up = math.exp(before)
-                off = {f"{p}->{q}": abs(shift - math.log((up - p + q) / up)) for p in (0, 33, 64) for q in (0, 33, 64) if p != q and up - p + q >= 1}
-                nearest = min(off, key=off.get, default=None)
-                found = nearest if nearest and off[nearest] < tolerance else None
-            out.append((pdf["run_id"].iloc[0], k, pd.Timestamp(int(at[a]), unit="us"), pd.Timestamp(int(at[b - 1]), unit="us"), int(n[a:b].sum()), math.exp(mean), shift, found))
-            before = mean
-        return pd.DataFrame(out, columns=["run_id", "segment", "first_at", "last_at", "n_sets", "level", "shift", "matched"])
-
-    return history.groupBy("run_id").applyInPandas(of_run, SEGMENTS)
+    values = F.when(F.col("scores").rlike(NUMBERS), numbers).otherwise(_codes(F.col("scores")))
+    rows = sets.where((F.col("scores") != "") & F.col("run_id").isNotNull() & F.col("measured_at").isNotNull())
+    found = segments_of(history(rows, ["run_id"], F.unix_micros(F.col("measured_at").cast("timestamp")), values), ["run_id"], penalty, tolerance)
+    return found.select("run_id", "segment", F.timestamp_micros("first_at").alias("first_at"), F.timestamp_micros("last_at").alias("last_at"), "n_sets", "level", "shift", "matched")
