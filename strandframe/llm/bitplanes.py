@@ -26,13 +26,10 @@ def planes_for(sizes: np.ndarray) -> int:
     return max(LEAST_PLANES, -(-7 * int(sizes.max(initial=0)) // 256) * 64)
 
 
-def parities(sets: list[np.ndarray], planes: int = LEAST_PLANES) -> np.ndarray:
-    """[n, planes] bits of sets of distinct codes."""
-    out = np.empty((len(sets), planes), np.uint8)
-    for i, codes in enumerate(sets):
-        h = ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) * np.uint64(planes) >> np.uint64(32)
-        out[i] = np.bincount(h.view(np.int64), minlength=planes) & 1
-    return out
+def parities(row: np.ndarray, codes: np.ndarray, n: int, planes: int = LEAST_PLANES) -> np.ndarray:
+    """[n, planes] bits of n sets of distinct codes; ``row`` has the set of each code."""
+    h = ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) * np.uint64(planes) >> np.uint64(32)
+    return (np.bincount(row * planes + h.view(np.int64), minlength=n * planes) & 1).astype(np.uint8).reshape(n, planes)
 
 
 def vertical(bits: np.ndarray) -> np.ndarray:

@@ -49,8 +49,8 @@ COMMON_LEAST = 256
 COMMON_TOTAL = 512
 BLOCK = 1024
 #: Records whose values a task sorts together, and values a bucket is meant to hold.
-CHUNK, BUCKET = 1 << 16, 1 << 22
-PARTS = 1 << 20
+CHUNK, BUCKET = 1 << 16, 1 << 19
+PARTS, SLICES = 1 << 20, 64
 
 PACKED = "id bigint, digest binary, packed binary, text string, n int"
 CHUNKS = "bucket int, kind int, n int, wide boolean, tokens binary, ids binary"
@@ -166,7 +166,7 @@ def _inside(letters: int, first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, n) of all texts of a task; part -1 counts the texts, -2 their letters."""
+    """(slice, counts) of all texts of a task: SLICES rows of counters; the last row holds the number of texts and of letters."""
     n, texts, letters = np.zeros(PARTS, np.int64), 0, 0
     for b in batches:
         if not len(b):
@@ -174,19 +174,38 @@ def _count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cp, first, size = _letters(*b.columns)
         n += np.bincount(_parts(_two_bits(cp, PART)[0])[_inside(len(cp), first, size)], minlength=PARTS)
         texts, letters = texts + len(size), letters + int(size.sum())
-    part = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(part, [-1, -2]), pa.int32()), pa.array(np.append(n[part], [texts, letters]), pa.int64())], names=["part", "n"])
+    if texts:
+        rows = [*n.reshape(SLICES, -1), np.array([texts, letters])]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES + 1), pa.int32()), pa.array([x.astype(np.int64).tobytes() for x in rows], pa.binary())], names=["slice", "counts"])
+
+
+def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the counters of each slice; one slice is held at a time."""
+    key, total = None, None
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
+    for b in batches:
+        for k, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            x = np.frombuffer(counts, np.int64)
+            if k == key:
+                total = total + x
+                continue
+            if key is not None:
+                yield row()
+            key, total = k, x
+    if key is not None:
+        yield row()
 
 
 def common_parts(reps: DataFrame) -> tuple[np.ndarray, int, int]:
-    """Bits of the parts that are common in all ``reps``, their number and their letters. At most PARTS numbers reach the driver, whatever the input."""
-    counts = stage(reps.select("packed", "text", "n").mapInArrow(_count_parts, "part int, n bigint").groupBy("part").agg(F.sum("n").alias("n")), "parts")
-    total = {r["part"]: r["n"] for r in counts.where("part < 0").collect()}
-    letters = total.get(-2, 0)
-    common = np.zeros(PARTS, bool)
-    common[[r["part"] for r in counts.where((F.col("part") >= 0) & (F.col("n") > max(COMMON_LEAST, 2 * letters / PARTS))).select("part").collect()]] = True
-    release(counts)
-    return np.packbits(common), total.get(-1, 0), letters
+    """Bits of the parts that are common in all ``reps``, their number and their letters. PARTS numbers reach the driver, whatever the input."""
+    kind = "slice int, counts binary"
+    counts = reps.select("packed", "text", "n").mapInArrow(_count_parts, kind).repartition("slice").sortWithinPartitions("slice").mapInArrow(_add_slices, kind)
+    rows = {r["slice"]: np.frombuffer(r["counts"], np.int64) for r in counts.collect()}
+    if not rows:
+        return np.packbits(np.zeros(PARTS, bool)), 0, 0
+    texts, letters = rows.pop(SLICES).tolist()
+    n = np.concatenate([rows[i] for i in range(SLICES)])
+    return np.packbits(n > max(COMMON_LEAST, 2 * letters / PARTS)), texts, letters
 
 
 def window_width(letters: int) -> int:
@@ -225,25 +244,43 @@ def _bands(codes: np.ndarray) -> np.ndarray:
     return _mix(band + np.arange(BANDS, dtype=np.uint64))
 
 
+#: Bits of a sort key that number the texts of a piece; the rest is the hash of a window.
+PIECE = 10
+
+
+def _rows_of(first: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of every window of each text."""
+    m = np.maximum(n - width + 1, 0)
+    row = np.repeat(np.arange(len(n)), m)
+    return row, np.arange(len(row)) + np.repeat(first - (np.cumsum(m) - m), m)
+
+
 def sketches(b: pa.RecordBatch, frequent: np.ndarray, width: int, k: int, sizes: list[int]) -> tuple[list[np.ndarray], list[np.ndarray | None]]:
     """The sketch of each text of (packed, text, n), and its bands where a sketch isn't enough."""
-    cp, first, n = _letters(*b.columns)
-    part, h = _two_bits(cp, PART, width)
-    h, small = _mix(h ^ np.uint64(0x9E3779B97F4A7C15)), _windows(cp, k)
-    begun = np.concatenate([np.zeros(PART, np.int64), np.cumsum(frequent[_parts(part)] & _inside(len(cp), first, n))])
-    covered = np.concatenate([[0], np.cumsum(begun[PART:] > begun[:-PART]), np.zeros(width, np.int64)])
-    common = covered[width : len(cp) + width] - covered[: len(cp)] > COVERED
-    tokens, bands = [], []
-    for a, m in zip(first, n):
-        windows = slice(a, a + max(0, m - width + 1))
-        own = h[windows][~common[windows]]
-        excluded = max(0, m - width + 1) - len(own)
-        own = _distinct(own)
-        # repeats count once, so they don't hide how much is left out
-        size = sizes[-(-100 * excluded // max(1, excluded + len(own)))]
-        tokens.append(own[: min(size, SKETCH_MOST)])
-        enough = size <= SKETCH_MOST and len(own) >= size and m - (k - 1) >= SHORT
-        bands.append(None if enough else _bands(_distinct(small[a : a + m - k + 1])))
+    tokens: list[np.ndarray] = []
+    bands: list[np.ndarray | None] = []
+    for at in range(0, len(b), 1 << PIECE):
+        cp, first, n = _letters(*b.slice(at, 1 << PIECE).columns)
+        part, h = _two_bits(cp, PART, width)
+        begun = np.concatenate([np.zeros(PART, np.int64), np.cumsum(frequent[_parts(part)] & _inside(len(cp), first, n))])
+        covered = np.concatenate([[0], np.cumsum(begun[PART:] > begun[:-PART]), np.zeros(width, np.int64)])
+        common = covered[width : len(cp) + width] - covered[: len(cp)] > COVERED
+        row, place = _rows_of(first, n, width)
+        keep = ~common[place]
+        excluded = np.bincount(row[~keep], minlength=len(n))
+        # one sort for all texts: by text, then by hash; repeats count once, so they don't hide how much is left out
+        key = _distinct(row[keep].astype(np.uint64) << np.uint64(64 - PIECE) | _mix(h[place[keep]] ^ np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(PIECE))
+        bounds = np.searchsorted(key, np.arange(len(n) + 1, dtype=np.uint64) << np.uint64(64 - PIECE)) if len(n) < 1 << PIECE else np.append(np.searchsorted(key, np.arange(len(n), dtype=np.uint64) << np.uint64(64 - PIECE)), len(key))
+        own = np.diff(bounds)
+        size = np.array(sizes)[-(-100 * excluded // np.maximum(1, excluded + own))]
+        enough = (size <= SKETCH_MOST) & (own >= size) & (n - (k - 1) >= SHORT)
+        key <<= np.uint64(PIECE)
+        take = np.minimum(np.minimum(size, SKETCH_MOST), own)
+        tokens += [key[a : a + m] for a, m in zip(bounds.tolist(), take.tolist())]
+        few = np.flatnonzero(~enough)
+        small = _windows(cp, k) if len(few) else None
+        banded = {int(i): _bands(_distinct(small[first[i] : first[i] + n[i] - k + 1])) for i in few}
+        bands += [banded.get(i) for i in range(len(n))]
     return tokens, bands
 
 
@@ -332,15 +369,25 @@ def _values(common_bits: np.ndarray, width: int, k: int, threshold: float, bucke
     return run
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch | None:
-    keep = a != b
-    a, b = a[keep], b[keep]
-    if not len(a):
-        return None
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    return pa.RecordBatch.from_arrays([pa.array(a[new], pa.int64()), pa.array(b[new], pa.int64())], names=["center", "id"])
+def _forest(edges: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """(center, id): each id of ``edges`` once with the smallest id it is connected to; edges of -1 stay as they are."""
+    a, b = (np.concatenate(x) for x in zip(*edges))
+    often = np.unique(b[a < 0])
+    a, b = a[a >= 0], b[a >= 0]
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(x):
+        least = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], least)
+        np.minimum.at(label, label[y], least)
+        while (label != label[label]).any():
+            label = label[label]
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    center, ids = np.concatenate([nodes[label[moved]], np.full(len(often), -1)]), np.concatenate([nodes[moved], often])
+    for at in range(0, len(ids), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(center[at : at + (1 << 16)], pa.int64()), pa.array(ids[at : at + (1 << 16)], pa.int64())], names=["center", "id"])
 
 
 def _stars(most: int):
@@ -358,36 +405,41 @@ def _stars(most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, hot = None, [], np.zeros(0, np.uint64)
+        edges: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def done() -> pa.RecordBatch | None:
-            return _pairs(*close(key[1], np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), hot)) if held else None
+        def done() -> None:
+            if held:
+                a, b = close(key[1], np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), hot)
+                edges.append((a[a != b], b[a != b]))
 
         for b in batches:
             for bucket, kind, n, wide, tokens, ids in zip(*(c.to_pylist() for c in b.columns)):
                 if kind < 0:
-                    if out := _pairs(np.frombuffer(tokens, np.int64), np.frombuffer(ids, np.int64)):
-                        yield out
-                    continue
-                if key != (bucket, kind):
-                    if out := done():
-                        yield out
-                    hot = hot if key and key[0] == bucket else np.zeros(0, np.uint64)
-                    key, held = (bucket, kind), []
-                eight = np.zeros((n, 8), np.uint8)
-                eight[:, :7] = np.frombuffer(tokens, np.uint8).reshape(7, n).T
-                t = eight.view(">u8").ravel().astype(np.uint64)
-                if kind == HOT:
-                    hot = np.append(hot, t)
+                    edges.append((np.frombuffer(tokens, np.int64), np.frombuffer(ids, np.int64)))
                 else:
-                    held.append((t, np.frombuffer(ids, np.int64 if wide else np.uint32, offset=8).astype(np.int64) + int.from_bytes(ids[:8], "little", signed=True)))
-        if out := done():
-            yield out
+                    if key != (bucket, kind):
+                        done()
+                        hot = hot if key and key[0] == bucket else np.zeros(0, np.uint64)
+                        key, held = (bucket, kind), []
+                    eight = np.zeros((n, 8), np.uint8)
+                    eight[:, :7] = np.frombuffer(tokens, np.uint8).reshape(7, n).T
+                    t = eight.view(">u8").ravel().astype(np.uint64)
+                    if kind == HOT:
+                        hot = np.append(hot, t)
+                    else:
+                        held.append((t, np.frombuffer(ids, np.int64 if wide else np.uint32, offset=8).astype(np.int64) + int.from_bytes(ids[:8], "little", signed=True)))
+                if sum(len(a) for a, _ in edges) > 8 * BUCKET:
+                    yield from _forest(edges)
+                    edges = []
+        done()
+        if edges:
+            yield from _forest(edges)
 
     return run
 
 
 def _star_edges(chunks: DataFrame, partitions: int) -> DataFrame:
-    return chunks.repartition(partitions, "bucket").sortWithinPartitions("bucket", F.desc("kind")).mapInArrow(_stars(COMMON_TOTAL), "center bigint, id bigint")
+    return chunks.repartitionById(partitions, F.col("bucket") % partitions).sortWithinPartitions("bucket", F.desc("kind")).mapInArrow(_stars(COMMON_TOTAL), "center bigint, id bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -417,56 +469,94 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
+def _numbers(cp: np.ndarray, first: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(row, number) of the distinct substrings of each text, sorted, and a bound of the numbers.
+
+    Equal substrings have equal numbers: those of A, C, G and T their two-bit code if k is at most 8, others the next numbers.
+    """
+    row, place = _rows_of(first, n, k)
+    if k <= 8:
+        plain = np.concatenate([[0], np.cumsum(_CODE[cp & 255] + 4 * (cp > 255) > 3 if cp.dtype != np.uint8 else _CODE[cp] > 3), np.zeros(k, np.int64)])
+        other = plain[place + k] > plain[place]
+        number, bound = _two_bits(cp, k)[0][place], 1 << 2 * k
+        if other.any():
+            codes, at = np.unique(_windows(cp, k)[place[other]], return_inverse=True)
+            number[other] = at.astype(np.uint64) + np.uint64(bound)
+            bound += len(codes)
+    else:
+        codes, at = np.unique(_windows(cp, k)[place], return_inverse=True)
+        number, bound = at.astype(np.uint64), len(codes)
+    key = _distinct(row.astype(np.uint64) << np.uint64(40) | number)
+    return (key >> np.uint64(40)).view(np.int64), (key & np.uint64((1 << 40) - 1)).view(np.int64), bound
+
+
 def _compare(k: int, threshold: float):
     """Rows come sorted by (component, i, j); small components share blocks."""
 
-    def flush(keys: np.ndarray, codes: list[np.ndarray]) -> pa.RecordBatch | None:
-        n = len(codes)
+    def flush(keys: np.ndarray, texts: pa.Table) -> pa.RecordBatch | None:
+        n = len(texts)
         half, number = keys[3], keys[4]
         cross = keys[1] != keys[2]
-        count = np.fromiter(map(len, codes), np.int64, n)
         group = np.concatenate([[0], np.cumsum((keys[:3, 1:] != keys[:3, :-1]).any(axis=0))])
-        sets: dict[int, set] = {}
-        of = lambda x: sets.get(x) or sets.setdefault(x, set(codes[x].tolist()))
         out_a, out_b = [], []
         for r in range(0, n, BLOCK):
-            rows = slice(r, min(n, r + BLOCK))
-            cols = slice(r, min(n, int(np.searchsorted(group, group[rows.stop - 1], "right"))))
-            bits = parities(codes[cols], planes_for(count[cols]))
-            wanted = (group[rows, None] == group[None, cols]) & (np.arange(rows.start, rows.stop)[:, None] < np.arange(cols.start, cols.stop)[None, :])
+            stop = min(n, r + BLOCK)
+            end = min(n, int(np.searchsorted(group, group[stop - 1], "right")))
+            rows, cols = slice(r, stop), slice(r, end)
+            (block,) = texts.slice(r, end - r).combine_chunks().to_batches(max_chunksize=end - r)
+            row, code, bound = _numbers(*_letters(*block.columns), k)
+            count = np.bincount(row, minlength=end - r)
+            start = np.cumsum(count) - count
+            bits = parities(row, code, end - r, planes_for(count))
+            wanted = (group[rows, None] == group[None, cols]) & (np.arange(r, stop)[:, None] < np.arange(r, end)[None, :])
             wanted &= ~cross[rows, None] | (half[rows, None] != half[None, cols])
-            for x, y in zip(*within(bits[: rows.stop - r], bits, wanted, count[rows], count[cols], (1 - threshold) / (1 + threshold))):
-                x, y = int(x) + r, int(y) + r
-                if y >= n:
-                    continue
-                shared = len(of(x) & of(y))
-                if shared >= threshold * (count[x] + count[y] - shared) - 1e-9:
-                    out_a.append(min(number[x], number[y]))
-                    out_b.append(max(number[x], number[y]))
+            x, y = within(bits[: stop - r], bits, wanted, count[: stop - r], count, (1 - threshold) / (1 + threshold))
+            real = y < end - r
+            x, y = x[real], y[real]
+            order = np.argsort(x, kind="stable")
+            x, y = x[order], y[order]
+            has = np.zeros(bound, bool)
+            for q, partners in zip(*_runs(x, y)):
+                own = code[start[q] : start[q] + count[q]]
+                has[own] = True
+                for other in partners.tolist():
+                    shared = np.count_nonzero(has[code[start[other] : start[other] + count[other]]])
+                    if shared >= threshold * (count[q] + count[other] - shared) - 1e-9:
+                        a, b = int(number[r + q]), int(number[r + other])
+                        out_a.append(min(a, b))
+                        out_b.append(max(a, b))
+                has[own] = False
         return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"]) if out_a else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, codes = np.zeros((5, 0), np.int64), []
+        keys, held = np.zeros((5, 0), np.int64), []
         for b in batches:
             if not len(b):
                 continue
             keys = np.concatenate([keys, np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(5)])], axis=1)
-            cp, first, size = _letters(*b.columns[5:])
-            windows = _windows(cp, k)
-            codes += [_distinct(windows[a : a + m - k + 1]) for a, m in zip(first, size)]
-            if len(codes) >= 4 * BLOCK:
+            held.append(b.select(["packed", "text", "n"]))
+            if keys.shape[1] >= 4 * BLOCK:
                 # all rows but those of the last group, which may go on in the next batch
                 cut = int(np.flatnonzero((keys[:3] != keys[:3, -1:]).any(axis=0)).max(initial=-1)) + 1
                 if cut:
-                    if out := flush(keys[:, :cut], codes[:cut]):
+                    texts = pa.Table.from_batches(held)
+                    if out := flush(keys[:, :cut], texts.slice(0, cut)):
                         yield out
-                    keys, codes = keys[:, cut:], codes[cut:]
-        if codes and (out := flush(keys, codes)):
+                    keys, held = keys[:, cut:], texts.slice(cut).to_batches()
+        if keys.shape[1] and (out := flush(keys, pa.Table.from_batches(held))):
             yield out
 
     return run
 
 
+def _runs(x: np.ndarray, y: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """Each value of sorted ``x`` with its values of ``y``."""
+    if not len(x):
+        return [], []
+    start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    return x[start].tolist(), np.split(y, start[1:])
+
+
 def near_copies(df: DataFrame, id_col: str, text_col: str, k: int = 8, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """(links, copies): links (a, b, a < b) between representatives, copies (id, rep) of exact copies but their representative.
 
@@ -485,7 +575,7 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, k: int = 8, threshold
     common, number, letters = common_parts(reps)
     width = window_width(letters)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-number * SKETCH_MOST // BUCKET))
-    buckets = 4 * partitions
+    buckets = partitions
     stars = stage(_star_edges(texts.mapInArrow(_values(common, width, k, threshold, buckets, False), CHUNKS), partitions), "stars")
     edges = stars.where("center <> -1")
     if stars.where("center = -1").head(1):

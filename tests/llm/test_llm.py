@@ -156,7 +156,7 @@ def test_planes_abandon_unrelated_sets(size):
     rng = np.random.default_rng(size)
     sets = [np.unique(rng.integers(0, 1 << 60, size, dtype=np.uint64)) for _ in range(120)]
     count = np.array([len(s) for s in sets])
-    bits = bitplanes.parities(sets, bitplanes.planes_for(count))
+    bits = bitplanes.parities(np.repeat(np.arange(120), count), np.concatenate(sets), 120, bitplanes.planes_for(count))
     assert not len(bitplanes.within(bits, bits, np.triu(np.ones((120, 120), bool), 1), count, count, 0.25)[0])
 
 
@@ -221,7 +221,8 @@ def test_bit_planes_lose_no_pair():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 40, 200, dtype=np.uint64)
     sets = [np.unique(np.concatenate([rng.choice(base, n, replace=False), rng.integers(0, 1 << 40, m, dtype=np.uint64)])) for n, m in ((200, 0), (190, 5), (150, 60), (100, 200), (20, 200), (200, 40))]
-    bits, size = bitplanes.parities(sets), np.array([len(s) for s in sets])
+    size = np.array([len(s) for s in sets])
+    bits = bitplanes.parities(np.repeat(np.arange(len(sets)), size), np.concatenate(sets), len(sets))
     wanted = np.triu(np.ones((6, 6), bool), 1)
     got = set(zip(*(x.tolist() for x in bitplanes.within(bits, bits, wanted, size, size, 0.25))))
     need = {(i, j) for i, j in combinations(range(6), 2) if len(np.setxor1d(sets[i], sets[j])) <= 0.25 * (size[i] + size[j])}
