@@ -49,11 +49,11 @@ COMMON_LEAST = 256
 COMMON_TOTAL = 512
 BLOCK = 1024
 #: Records whose values a task sorts together, and values a bucket is meant to hold.
-CHUNK, BUCKET = 1 << 16, 1 << 19
+CHUNK, BUCKET = 1 << 16, 1 << 21
 PARTS, SLICES = 1 << 20, 64
 
 PACKED = "id bigint, digest binary, packed binary, text string, n int"
-CHUNKS = "bucket int, kind int, n int, wide boolean, tokens binary, ids binary"
+CHUNKS = "bucket int, kind int, n int, tokens binary, ids binary"
 SKETCHES, STARS, HOT = 0, 1, 2
 ALL_ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -284,6 +284,20 @@ def sketches(b: pa.RecordBatch, frequent: np.ndarray, width: int, k: int, sizes:
     return tokens, bands
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, the highest first; upper planes that are empty are left out."""
+    planes = x.astype(">u8").view(np.uint8).reshape(-1, 8).T
+    used = (int(x.max(initial=0)).bit_length() + 7) // 8
+    return np.ascontiguousarray(planes[8 - used :]).tobytes()
+
+
+def _of_planes(data: bytes, n: int) -> np.ndarray:
+    used = len(data) // n if n else 0
+    eight = np.zeros((n, 8), np.uint8)
+    eight[:, 8 - used :] = np.frombuffer(data, np.uint8).reshape(used, n).T
+    return eight.view(">u8").ravel().astype(np.uint64)
+
+
 class _Chunks:
     """Collects values of records and gives them as rows of CHUNKS."""
 
@@ -319,23 +333,21 @@ class _Chunks:
         self.values, self.rows = {SKETCHES: [], STARS: []}, 0
         for a, b in edges:
             for at in range(0, len(a), BUCKET):
-                out.append((int(b[at] % self.buckets), -1, len(a[at : at + BUCKET]), True, a[at : at + BUCKET].astype(np.int64).tobytes(), b[at : at + BUCKET].astype(np.int64).tobytes()))
+                out.append((int(b[at] % self.buckets), -1, len(a[at : at + BUCKET]), a[at : at + BUCKET].astype(np.int64).tobytes(), b[at : at + BUCKET].astype(np.int64).tobytes()))
         if not out:
             return None
         cols = list(zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3]), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary())], names=["bucket", "kind", "n", "wide", "tokens", "ids"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())], names=["bucket", "kind", "n", "tokens", "ids"])
 
     def _cut(self, kind: int, t: np.ndarray, i: np.ndarray) -> list[tuple]:
         bucket = (t >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)
         bounds = [*np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(t)] if len(t) else []
         out = []
         for a, b in zip(bounds, bounds[1:]):
-            ids = i[a:b]
-            low = int(ids.min())
-            wide = int(ids.max()) - low >= 1 << 32
-            # planes of bytes, the highest first: sorted values differ little in these, so they compress
-            planes = np.ascontiguousarray(t[a:b].astype(">u8").view(np.uint8).reshape(-1, 8).T[:7]).tobytes()
-            out.append((int(bucket[a]), kind, b - a, wide, planes, low.to_bytes(8, "little", signed=True) + (ids - low).astype(np.int64 if wide else np.uint32).tobytes()))
+            low = int(i[a:b].min())
+            # steps between sorted values are small, so their upper bytes compress; the last byte of a value isn't kept
+            steps = np.diff(t[a:b] >> np.uint64(8), prepend=np.uint64(0))
+            out.append((int(bucket[a]), kind, int(b - a), _planes(steps), low.to_bytes(8, "little", signed=True) + _planes((i[a:b] - low).view(np.uint64))))
         return out
 
 
@@ -413,7 +425,7 @@ def _stars(most: int):
                 edges.append((a[a != b], b[a != b]))
 
         for b in batches:
-            for bucket, kind, n, wide, tokens, ids in zip(*(c.to_pylist() for c in b.columns)):
+            for bucket, kind, n, tokens, ids in zip(*(c.to_pylist() for c in b.columns)):
                 if kind < 0:
                     edges.append((np.frombuffer(tokens, np.int64), np.frombuffer(ids, np.int64)))
                 else:
@@ -421,13 +433,11 @@ def _stars(most: int):
                         done()
                         hot = hot if key and key[0] == bucket else np.zeros(0, np.uint64)
                         key, held = (bucket, kind), []
-                    eight = np.zeros((n, 8), np.uint8)
-                    eight[:, :7] = np.frombuffer(tokens, np.uint8).reshape(7, n).T
-                    t = eight.view(">u8").ravel().astype(np.uint64)
+                    t = np.cumsum(_of_planes(tokens, n))
                     if kind == HOT:
                         hot = np.append(hot, t)
                     else:
-                        held.append((t, np.frombuffer(ids, np.int64 if wide else np.uint32, offset=8).astype(np.int64) + int.from_bytes(ids[:8], "little", signed=True)))
+                        held.append((t, _of_planes(ids[8:], n).view(np.int64) + int.from_bytes(ids[:8], "little", signed=True)))
                 if sum(len(a) for a, _ in edges) > 8 * BUCKET:
                     yield from _forest(edges)
                     edges = []
@@ -589,7 +599,7 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, k: int = 8, threshold
     placed = member.join(size, "component").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int"))
     placed = placed.select("id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     full = placed.join(texts, "id").select("component", "i", "j", "own", "id", "packed", "text", "n")
-    links = full.repartition(partitions, "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_compare(k, threshold), "a bigint, b bigint")
+    links = full.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), number // (32 * BLOCK)), "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_compare(k, threshold), "a bigint, b bigint")
     return links, copies
 
 
