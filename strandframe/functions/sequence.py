@@ -19,11 +19,16 @@ QUALITY = {"sanger": (33, 126, 33), "illumina": (64, 126, 64), "solexa": (59, 12
 
 def ascii_upper(x: Column) -> Column:
     """Upper case of ASCII letters alone; other letters stay (case maps of whole Unicode change lengths)."""
-    return F.translate(x, LOWER, UPPER)
+    return F.when(_ascii(x), F.upper(x)).otherwise(F.translate(x, LOWER, UPPER))
 
 
 def ascii_lower(x: Column) -> Column:
-    return F.translate(x, UPPER, LOWER)
+    return F.when(_ascii(x), F.lower(x)).otherwise(F.translate(x, UPPER, LOWER))
+
+
+def _ascii(x: Column) -> Column:
+    """Whether a text has ASCII characters alone; then its case is mapped byte by byte, which is much faster than ``translate``."""
+    return F.octet_length(x) == F.length(x)
 
 
 def seqlen(x: Column) -> Column:
@@ -31,11 +36,18 @@ def seqlen(x: Column) -> Column:
 
 
 def ungapped_len(x: Column) -> Column:
-    return F.length(F.translate(x, "-", "")).cast("bigint")
+    return F.length(F.replace(x, F.lit("-"), F.lit(""))).cast("bigint")
 
 
 def char_count(x: Column, chars: str) -> Column:
-    return (F.length(x) - F.length(F.translate(x, chars, ""))).cast("bigint") if chars else F.lit(0).cast("bigint")
+    """How many characters of ``x`` are among ``chars``; a few are searched for one by one, as ``translate`` takes every character apart."""
+    letters = list(dict.fromkeys(chars))
+    if len(letters) > 8:
+        return (F.length(x) - F.length(F.translate(x, chars, ""))).cast("bigint")
+    left = x
+    for c in letters:
+        left = F.replace(left, F.lit(c), F.lit(""))
+    return (F.length(x) - F.length(left)).cast("bigint") if letters else F.lit(0).cast("bigint")
 
 
 def gc(x: Column) -> Column:

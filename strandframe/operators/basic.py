@@ -62,8 +62,12 @@ def count_by(df: DataFrame, keys: str | list[str], ctx: Context | None = None, l
     """Counts by the printed keys, in the order of their values; more than ``limit`` categories are an error. No rows for no input."""
     vs = compile_keys(ctx or Context(), keys)
     names = names or [f"key{i + 1}" if len(vs) > 1 else "key" for i in range(len(vs))]
-    order = [F.min(c).alias(f"_o{i}_{j}") for i, v in enumerate(vs) for j, c in enumerate(v.sort_columns())]
-    counts = df.groupBy(*(v.printed().alias(n) for v, n in zip(vs, names))).agg(F.count(F.lit(1)).alias("n"), *order)
+    # rows are counted by the values themselves, only groups are printed; values that print alike are one category
+    native = [[c.alias(f"_o{i}_{j}") for j, c in enumerate(v.sort_columns())] for i, v in enumerate(vs)]
+    flat = [c for own in native for c in own]
+    counted = df.select(*flat).groupBy(*(f"_o{i}_{j}" for i, own in enumerate(native) for j in range(len(own)))).agg(F.count(F.lit(1)).alias("_n"))
+    values = [Value(F.col(f"_o{i}_0"), v.kind, F.col(f"_o{i}_1") if v.kind == "bin" else None) for i, v in enumerate(vs)]
+    counts = counted.groupBy(*(v.printed().alias(n) for v, n in zip(values, names))).agg(F.sum("_n").alias("n"), *(F.min(c).alias(c) for c in counted.columns if c != "_n"))
     if limit:
         # the counts are reused, the subquery reads at most one row more than allowed
         n = counts.limit(limit + 1).agg(F.count(F.lit(1)).alias("_c"))

@@ -1,16 +1,19 @@
 """Pattern search: exact, regular expressions, ambiguity codes and approximate matches.
 
-``find`` adds ``_m``: for each pattern, best first, its hits. Predicates without coordinates and exact
-hits are plain columns; other searches run on Arrow batches, once a record, and all variables are columns over ``_m``.
+``find`` adds ``_m``: for each pattern, best first, its hits. Predicates without coordinates are plain columns. Searches with
+coordinates run on Arrow batches, once a record: approximate ones step through all texts of a batch at once, so no step is
+taken for a single letter of a single record. All variables are columns over ``_m``.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,179 +79,247 @@ def pattern_of(text: str, name: str = "<pattern>") -> tuple[tuple[str, str], ...
     return ((name, text),)
 
 
+#: Letters of a text that one lane of the automaton takes; longer texts get more lanes.
+LANE = 4096
+GAP_IN_TEXT, GAP_IN_PATTERN, PAIR, MISMATCH = range(4)
+SIGN = np.frombuffer(b"ID=X", np.uint8)
+
+
 class Approximate:
-    """All ends within a budget by a bit-parallel automaton; starts and alignments by a traceback near each end."""
+    """All ends within a budget by a bit-parallel automaton over many texts; starts and alignments by a traceback near each end."""
 
     def __init__(self, pattern: str, budget: int, codes: dict[str, str], ignore_case: bool, scoring: tuple[int, int, int]) -> None:
         self.p, self.k, self.m, self.scoring, self.fold = pattern.upper() if ignore_case else pattern, budget, len(pattern), scoring, ignore_case
         self.matches = [{c, *codes.get(c, "")} | ({x.lower() for x in codes.get(c.upper(), "")} if c.islower() else set()) for c in self.p]
-        self.bits: dict[str, int] = {}
-        for i, letters in enumerate(self.matches):
-            for c in letters:
-                self.bits[c] = self.bits.get(c, 0) | 1 << i
-
-    def ends(self, text: str) -> list[tuple[int, int]]:
-        """(end, distance) of every end with a distance within the budget."""
-        m, full, top = self.m, (1 << self.m) - 1, 1 << (self.m - 1)
-        pv, mv, score, out, bits = full, 0, self.m, [], self.bits
-        if score <= self.k:
-            out.append((0, score))
-        for j, c in enumerate(text):
-            eq = bits.get(c, 0)
-            xv = eq | mv
-            xh = (((eq & pv) + pv) ^ pv) | eq
-            ph = mv | ~(xh | pv) & full
-            mh = pv & xh
-            if ph & top:
-                score += 1
-            elif mh & top:
-                score -= 1
-            ph, mh = ph << 1 & full, mh << 1 & full
-            pv, mv = mh | ~(xv | ph) & full, ph & xv
-            if score <= self.k:
-                out.append((j + 1, score))
-        return out
-
-    def align(self, text: str, end: int, dist: int) -> tuple[int, str]:
-        """(start, operations) of the alignment that ends at ``end``; both gaps are tried before a pair of letters."""
-        a = max(0, end - self.m - dist)
-        t = text[a:end]
-        n = len(t)
-        d = [[0] * (n + 1)] + [[i] + [0] * n for i in range(1, self.m + 1)]
+        letters = sorted(set().union(*self.matches))
+        self.letters = np.array([ord(c) for c in letters], np.uint32)
+        # the places of the pattern that a letter fits, 32 in a word; the last row is that of any other letter
+        self.words = -(-self.m // 32)
+        self.fits = np.zeros((len(letters) + 1, self.words), np.uint64)
+        for i, own in enumerate(self.matches):
+            for j, c in enumerate(letters):
+                if c in own:
+                    self.fits[j, i // 32] |= np.uint64(1 << i % 32)
+
+    def rows_of(self, cp: np.ndarray) -> np.ndarray:
+        """The row of ``fits`` of each letter."""
+        at = np.minimum(np.searchsorted(self.letters, cp), len(self.letters) - 1)
+        return np.where(self.letters[at] == cp, at, len(self.letters))
+
+    def ends(self, kind: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, end, distance) of every end with a distance within the budget, by text and end. ``kind`` has the letters' rows."""
+        warm = self.m + self.k
+        lanes = np.maximum(1, -(-(n - warm) // LANE))
+        text = np.repeat(np.arange(len(n)), lanes)
+        begin = (np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * LANE
+        size = np.minimum(n[text] - begin, LANE + warm)
+        order = np.argsort(-size, kind="stable")
+        text, begin, size = text[order], begin[order], size[order]
+        place, full, top = first[text] + begin, np.uint64(0xFFFFFFFF), np.uint64((self.m - 1) % 32)
+        one, shift = np.uint64(1), np.uint64(32)
+        pv = [np.full(len(text), full) for _ in range(self.words)]
+        mv = [np.zeros(len(text), np.uint64) for _ in range(self.words)]
+        score = np.full(len(text), self.m)
+        out: list[tuple] = []
+        if self.m <= self.k:
+            every = np.arange(len(n))
+            out.append((every, np.zeros(len(n), np.int64), np.full(len(n), self.m)))
+        active = len(text)
+        for j in range(int(size.max(initial=0))):
+            while active and size[active - 1] <= j:
+                active -= 1
+            row = self.fits[kind[place[:active] + j]]
+            carry, plus, minus = np.uint64(0), np.uint64(0), np.uint64(0)
+            for w in range(self.words):
+                p, v, eq = pv[w][:active], mv[w][:active], row[:, w]
+                xv = eq | v
+                total = (eq & p) + p + carry
+                carry = total >> shift
+                xh = ((total & full) ^ p) | eq
+                ph, mh = v | (~(xh | p) & full), p & xh
+                if w == self.words - 1:
+                    score[:active] += (ph >> top & one).view(np.int64) - (mh >> top & one).view(np.int64)
+                up, down = ph >> np.uint64(31), mh >> np.uint64(31)
+                ph, mh = (ph << one | plus) & full, (mh << one | minus) & full
+                plus, minus = up, down
+                pv[w][:active], mv[w][:active] = mh | (~(xv | ph) & full), ph & xv
+            hit = np.flatnonzero(score[:active] <= self.k)
+            if len(hit):
+                # letters of the warm-up count for the lane before
+                hit = hit[(begin[hit] == 0) | (j >= warm)]
+                out.append((text[hit], begin[hit] + j + 1, score[hit]))
+        if not out:
+            return (np.zeros(0, np.int64),) * 3
+        t, e, d = (np.concatenate(x).astype(np.int64) for x in zip(*out))
+        order = np.lexsort((e, t))
+        return t[order], e[order], d[order]
+
+    def align(self, kind: np.ndarray, first: np.ndarray, end: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """(start, operations, score) of the alignments that end at ``end``; both gaps are tried before a pair of letters."""
+        starts, ops, scores = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)]
+        step = max(1, (1 << 23) // ((self.m + 1) * (self.m + self.k + 1)))
+        for at in range(0, len(end), step):
+            s, o, c = self._align(kind, first[at : at + step], end[at : at + step], dist[at : at + step])
+            starts.append(s)
+            ops += o
+            scores.append(c)
+        return np.concatenate(starts), ops, np.concatenate(scores)
+
+    def _align(self, kind: np.ndarray, first: np.ndarray, end: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        width, h = self.m + self.k, len(end)
+        # the letters before each end; what lies before the text or beyond the alignment's reach fits nothing
+        back = end[:, None] - width + np.arange(width)
+        reach = back >= np.maximum(0, end - self.m - dist)[:, None]
+        row = np.where(reach, kind[np.where(reach, first[:, None] + back, 0)] if len(kind) else 0, len(self.letters))
+        cost = np.zeros((self.m + 1, h, width + 1), np.int16)
+        column = np.arange(width + 1, dtype=np.int16)
+        apart = np.zeros((self.m, h, width), bool)
         for i in range(1, self.m + 1):
-            row, up, ok = d[i], d[i - 1], self.matches[i - 1]
-            for j in range(1, n + 1):
-                row[j] = min(up[j - 1] + (t[j - 1] not in ok), up[j] + 1, row[j - 1] + 1)
-        i, j, ops = self.m, n, []
-        while i:
-            if d[i][j] == d[i - 1][j] + 1:
-                ops.append("I")
-                i -= 1
-            elif j and d[i][j] == d[i][j - 1] + 1:
-                ops.append("D")
-                j -= 1
-            else:
-                ops.append("=" if t[j - 1] in self.matches[i - 1] else "X")
-                i, j = i - 1, j - 1
-        return a + j, "".join(reversed(ops))
-
-    def score(self, ops: str) -> int:
+            apart[i - 1] = self.fits[row, (i - 1) // 32] >> np.uint64((i - 1) % 32) & np.uint64(1) == 0
+            best = cost[i - 1] + 1
+            np.minimum(best[:, 1:], cost[i - 1][:, :-1] + apart[i - 1], out=best[:, 1:])
+            cost[i] = np.minimum.accumulate(best - column, axis=1) + column
+        i, j, own = np.full(h, self.m), np.full(h, width), np.arange(h)
+        signs, used = np.zeros((h, self.m + width), np.uint8), 0
         match, mismatch, gap = self.scoring
-        return match * ops.count("=") + mismatch * ops.count("X") + gap * (ops.count("I") + ops.count("D"))
-
-    def hits(self, text: str, in_order: bool, best_only: bool) -> list[tuple[int, int, int, str]]:
-        """(start, end, distance, operations); by distance, then place, or by place alone."""
-        folded = text.upper() if self.fold else text
-        ends = self.ends(folded)
-        if not ends:
-            return []
+        score = np.zeros(h, np.int64)
+        while i.any():
+            on = i > 0
+            now, up = cost[i, own, j], cost[np.maximum(i - 1, 0), own, j]
+            left = cost[i, own, np.maximum(j - 1, 0)]
+            op = np.where(now == up + 1, GAP_IN_TEXT, np.where((j > 0) & (now == left + 1), GAP_IN_PATTERN, np.where(apart[np.maximum(i - 1, 0), own, np.maximum(j - 1, 0)], MISMATCH, PAIR)))
+            score += np.where(on, np.array([gap, gap, match, mismatch])[op], 0)
+            used += 1
+            signs[:, -used] = np.where(on, SIGN[op], 0)
+            i, j = i - (on & (op != GAP_IN_PATTERN)), j - (on & (op != GAP_IN_TEXT))
+        return end - (width - j), [x.tobytes().lstrip(b"\0") for x in signs], score
+
+    def hits(self, texts: list[str], in_order: bool, best_only: bool) -> list[list[tuple[int, int, int, bytes]]]:
+        """For each text its (start, end, distance, operations); by distance, then place, or by place alone."""
+        found: list[list] = [[] for _ in texts]
+        folded = [t.upper() if len(t.upper()) == len(t) else "".join(u if len(u := c.upper()) == 1 else c for c in t) for t in texts] if self.fold else texts
+        cp = np.frombuffer("".join(folded).encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = np.fromiter(map(len, folded), np.int64, len(texts))
+        kind, first = self.rows_of(cp), np.cumsum(n) - n
+        t, e, d = self.ends(kind, first, n)
         if not self.k:
-            return [(e - self.m, e, 0, "=" * self.m) for e, _ in ends]
-        if best_only:
-            least = min(d for _, d in ends)
-            first = next(e for e, d in ends if d == least)
-            start, ops = self.align(folded, first, least)
-            best = (start, first, least, ops)
-            for e, d in ends:
-                if first < e <= first + 2 * least and d == least:
-                    s, o = self.align(folded, e, d)
-                    if s != start:
-                        break
-                    if self.score(o) > self.score(best[3]):
-                        best = (s, e, d, o)
-            return [best]
-        out: list[tuple[int, int, int, str]] = []
-        for e, d in ends:
-            s, o = self.align(folded, e, d)
-            if out and out[-1][0] == s:
-                old = out[-1]
-                if (d, -self.score(o)) < (old[2], -self.score(old[3])):
-                    out[-1] = (s, e, d, o)
-            else:
-                out.append((s, e, d, o))
-        # where all hits are listed, an alignment with a score of exactly 0 counts as none
-        out = [h for h in out if self.score(h[3])]
-        return out if in_order else sorted(out, key=lambda h: h[2])
+            for x, end in zip(t.tolist(), e.tolist()):
+                found[x].append((end - self.m, end, 0, b"=" * self.m))
+            return found
+        if best_only and len(t):
+            least = np.full(len(texts), self.k + 1)
+            np.minimum.at(least, t, d)
+            t, e, d = (x[d == least[t]] for x in (t, e, d))
+            begin = np.full(len(texts), -1)
+            begin[t[::-1]] = e[::-1]
+            near = e <= begin[t] + 2 * d
+            t, e, d = t[near], e[near], d[near]
+        start, ops, score = self.align(kind, first[t], e, d)
+        last: dict[int, int] = {}
+        closed = set()
+        for x, s, end, dist, o, c in zip(t.tolist(), start.tolist(), e.tolist(), d.tolist(), ops, score.tolist()):
+            old = found[x][-1] if found[x] else None
+            if old is None:
+                found[x].append((s, end, dist, o))
+                last[x] = c
+            elif best_only:
+                if s != old[0]:
+                    closed.add(x)
+                elif x not in closed and c > last[x]:
+                    found[x][-1], last[x] = (s, end, dist, o), c
+            elif old[0] != s:
+                found[x].append((s, end, dist, o))
+                last[x] = c
+            elif (dist, -c) < (old[2], -last[x]):
+                found[x][-1], last[x] = (s, end, dist, o), c
+        return found if in_order or best_only else [sorted(f, key=lambda h: h[2]) for f in found]
 
 
 def python_regex(pattern: str) -> str:
     return re.sub(r"\(\?<(?=[A-Za-z_])", "(?P<", pattern)
 
 
-def _describe(hit: tuple[int, int, int, str], text: str, pattern: str) -> dict:
+HIT_FIELDS = ("start", "end", "dist", "ins", "del", "subst", "aligned", "aligned_pattern", "groups")
+GROUPS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _describe(hit: tuple[int, int, int, bytes], text: str, pattern: str) -> tuple:
     s, e, d, ops = hit
+    if not d:
+        return s, e, 0, 0, 0, 0, text[s:e], pattern, None
     at, pt, a, b = s, 0, [], []
     for o in ops:
-        if o == "I":
+        if o == 73:  # I
             a.append("-")
         else:
             a.append(text[at])
             at += 1
-        if o == "D":
+        if o == 68:  # D
             b.append("-")
         else:
             b.append(pattern[pt])
             pt += 1
-    return {"start": s, "end": e, "dist": d, "ins": ops.count("D"), "del": ops.count("I"), "subst": ops.count("X"), "aligned": "".join(a), "aligned_pattern": "".join(b), "groups": None}
+    return s, e, d, ops.count(b"D"), ops.count(b"I"), ops.count(b"X"), "".join(a), "".join(b), None
 
 
 def _searcher(search: Search, best_only: bool):
-    if search.regex:
-        compiled = [re.compile(python_regex(p), re.I if search.ignore_case else 0) for _, p in search.patterns]
-
-        def of(k: int, text: str) -> list[dict]:
-            return [
-                {"start": m.start(), "end": m.end(), "dist": 0, "ins": 0, "del": 0, "subst": 0, "aligned": m.group(), "aligned_pattern": search.patterns[k][1], "groups": [{"start": m.start(g), "end": m.end(g)} for g in range(compiled[k].groups + 1)]}
-                for m in compiled[k].finditer(text)
-            ]
-
-        margin = [None] * len(compiled)
+    n_patterns, whole = len(search.patterns), search.anchor_start is None and search.anchor_end is None
+    if search.regex or search.exact():
+        compiled = [re.compile(python_regex(p) if search.regex else re.escape(p), re.I if search.ignore_case else 0) for _, p in search.patterns]
+        margin = [None if search.regex else len(p) for _, p in search.patterns]
+
+        def of(k: int, texts: list[str]) -> list[list[tuple]]:
+            p, x = search.patterns[k][1], compiled[k]
+            groups = (lambda m: [{"start": m.start(g), "end": m.end(g)} for g in range(x.groups + 1)]) if search.regex else lambda m: None
+            return [[(m.start(), m.end(), 0, 0, 0, 0, m.group(), p, groups(m)) for m in x.finditer(t)] for t in texts]
     else:
         machines = [Approximate(p, search.budget(p), search.codes(), search.ignore_case, search.scoring) for _, p in search.patterns]
-        exact = search.exact()
+        margin = [m.m + m.k for m in machines]
 
-        def of(k: int, text: str) -> list[dict]:
+        def of(k: int, texts: list[str]) -> list[list[tuple]]:
             p = search.patterns[k][1]
-            if exact:
-                return [_describe((m.start(), m.end(), 0, "=" * len(p)), text, p) for m in re.finditer(re.escape(p), text)]
-            return [_describe(h, text, p) for h in machines[k].hits(text, search.in_order, best_only and search.anchor_start is None and search.anchor_end is None)]
+            return [[_describe(h, t, p) for h in hits] for t, hits in zip(texts, machines[k].hits(texts, search.in_order, best_only and whole))]
 
-        margin = [m.m + m.k for m in machines]
+    def moved(h: tuple, by: int) -> tuple:
+        return h[0] + by, h[1] + by, *h[2:8], h[8] and [{"start": g["start"] + by, "end": g["end"] + by} for g in h[8]]
 
-    def anchored(k: int, text: str) -> list[dict]:
+    def anchored(k: int, texts: list[str]) -> list[list[tuple]]:
         if search.anchor_start is not None:
-            size = len(text) if margin[k] is None else margin[k] + search.anchor_start
-            return [h for h in of(k, text[:size]) if h["start"] <= search.anchor_start][:1]
+            reach = None if margin[k] is None else margin[k] + search.anchor_start
+            return [[h for h in hits if h[0] <= search.anchor_start][:1] for hits in of(k, [t[:reach] for t in texts])]
         if search.anchor_end is not None:
-            size = len(text) if margin[k] is None else margin[k] + search.anchor_end
-            shift = max(0, len(text) - size)
-            found = [h for h in of(k, text[shift:]) if len(text) - (h["end"] + shift) <= search.anchor_end][-1:]
-            for h in found:
-                h["start"], h["end"] = h["start"] + shift, h["end"] + shift
-                h["groups"] = h["groups"] and [{"start": g["start"] + shift, "end": g["end"] + shift} for g in h["groups"]]
-            return found
-        return of(k, text)
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            cut = [0 if margin[k] is None else max(0, len(t) - margin[k] - search.anchor_end) for t in texts]
+            found = of(k, [t[c:] for t, c in zip(texts, cut)])
+            return [[moved(h, c) for h in hits if len(t) - (h[1] + c) <= search.anchor_end][-1:] for t, c, hits in zip(texts, cut, found)]
+        return of(k, texts)
+
+    def ranked(texts: pa.Array) -> pa.Array:
+        values = texts.to_pylist()
+        held = [i for i, t in enumerate(values) if t is not None]
+        own = [values[i] for i in held]
+        found = [anchored(k, own) for k in range(n_patterns)]
+        found_of = dict(zip(held, zip(*found)))
+        rank: list[int] = []
+        hits: list[tuple] = []
+        counts: list[int] = []
+        for i in range(len(values)):
+            each = found_of.get(i, ((),) * n_patterns)
+            for k in sorted(range(n_patterns), key=lambda k: (not each[k], each[k][0][2] if each[k] else 0)):  # noqa: B023
+                rank.append(k)
+                counts.append(len(each[k]))
+                hits += each[k]
+        columns = list(zip(*hits)) if hits else [()] * len(HIT_FIELDS)
+        kinds = [*[pa.int32()] * 6, pa.string(), pa.string(), GROUPS]
+        flat = pa.StructArray.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=list(HIT_FIELDS))
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        inner = pa.StructArray.from_arrays([pa.array(rank, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], names=["pattern", "hits"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * n_patterns), inner)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = []
-            for t in texts:
-                ranked = [] if t is None else [{"pattern": k, "hits": anchored(k, t)} for k in range(len(search.patterns))]
-                ranked.sort(key=lambda r: (not r["hits"], r["hits"][0]["dist"] if r["hits"] else 0))
-                rows.append(ranked)
-            yield pd.Series(rows, dtype=object)
-
-    return F.pandas_udf(run, RESULT)  # type: ignore[call-overload]
-
+            yield ranked(texts)
 
-def _exact_hits(text: Column, pattern: str) -> Column:
-    """Leftmost hits that don't overlap, from the parts between them; no Python."""
-    parts = F.split(text, "\\Q" + pattern.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
-    n, size = F.size(parts) - 1, len(pattern)
-    start = lambda i: (F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, p: a + F.length(p)) + (i - 1) * size).cast("int")
-    zero = F.lit(0).cast("int")
-    hit = lambda i: F.struct(start(i).alias("start"), (start(i) + size).cast("int").alias("end"), zero.alias("dist"), zero.alias("ins"), zero.alias("del"), zero.alias("subst"), F.lit(pattern).alias("aligned"), F.lit(pattern).alias("aligned_pattern"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("groups"))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), hit)).otherwise(F.array().cast(f"array<{HIT}>"))
+    return F.arrow_udf(run, RESULT)
 
 
 def _shift(m: Column, by: Column) -> Column:
@@ -264,6 +335,8 @@ def has_match(search: Search, field: str = "seq") -> Column:
         out = [c.rlike(("(?i)" if search.ignore_case else "") + p) for _, p in search.patterns]
     elif search.exact():
         out = [F.contains(c, F.lit(p)) for _, p in search.patterns]
+    elif not search.ignore_case and not any(search.budget(p) for _, p in search.patterns):
+        out = [c.rlike("".join(map(_class, Approximate(p, 0, search.codes(), False, search.scoring).matches))) for _, p in search.patterns]
     else:
         raise ExpressionError("this search has no plain predicate")
     any_ = out[0]
@@ -282,30 +355,36 @@ def find(df: DataFrame, search: Search, field: str = "seq", rng: Range | None =
     if rng is not None:
         s, e = rng.bounds(F.length(text))
         text, shift = F.substr(text, s + 1, e - s), s
-    if search.exact() and search.anchor_start is None and search.anchor_end is None:
-        ranked = F.array(*(F.struct(F.lit(k).cast("int").alias("pattern"), _exact_hits(F.coalesce(text, F.lit("")), p).alias("hits")) for k, (_, p) in enumerate(search.patterns)))
-        m = ranked if len(search.patterns) == 1 else F.concat(F.filter(ranked, lambda r: F.size(r["hits"]) > 0), F.filter(ranked, lambda r: F.size(r["hits"]) == 0))
-    else:
-        pieces = _seeds(search)
-        udf = _searcher(search, hits == "best")
-        # a hit within k differences holds one of k + 1 pieces of the pattern as it is; other texts skip the search
-        m = udf(text) if pieces is None else udf(F.when(text.rlike(pieces), text))
+    # texts that can't have a hit skip the search
+    pieces = _seeds(search)
+    m = _searcher(search, hits == "best")(text if pieces is None else F.when(text.rlike(pieces), text))
     if rng is not None:
         m = _shift(m, shift)
     return df.withColumn("_m", m).withColumn("_hit", F.exists(F.col("_m"), lambda r: F.size(r["hits"]) > 0))
 
 
+def _class(letters: set[str]) -> str:
+    return re.escape(*letters) if len(letters) == 1 else "[" + "".join(re.escape(c) for c in sorted(letters)) + "]"
+
+
 def _seeds(search: Search) -> str | None:
-    """An expression that any text with a hit matches, or None where none is selective."""
-    if search.regex or search.ignore_case or set("".join(p for _, p in search.patterns)) & set(search.codes()):
+    """An expression that any text with a hit matches, or None where none is selective.
+
+    A hit within k differences holds one of k + 1 pieces of the pattern as it is, each letter as one that it stands for.
+    """
+    if search.regex or search.ignore_case:
         return None
+    plain = next((set(letters) for name, letters, _ in ALPHABETS if name == sequence_type(search.patterns[0][1])), None)
     parts: list[str] = []
     for _, p in search.patterns:
-        k = search.budget(p)
-        size = len(p) // (k + 1)
-        if size < 3:
-            return None
-        parts += [re.escape(p[i * size : (i + 1) * size if i < k else len(p)]) for i in range(k + 1)]
+        machine = Approximate(p, search.budget(p), search.codes(), False, search.scoring)
+        k, size = machine.k, machine.m // (machine.k + 1)
+        for i in range(k + 1):
+            piece = machine.matches[i * size : (i + 1) * size if i < k else machine.m]
+            # how much rarer than any text the piece is, in bits
+            if sum(math.log2(len(plain or set("x" * 20)) / max(1, len(x & plain))) if plain else 4.0 for x in piece) < 6:
+                return None
+            parts.append("".join(map(_class, piece)))
     return "|".join(parts)
 
 
@@ -317,16 +396,26 @@ def unmatched(df: DataFrame) -> DataFrame:
     return df.where("NOT _hit")
 
 
+def _put(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for texts, spans, new in batches:
+        out = []
+        for t, hits, x in zip(texts.to_pylist(), spans.to_pylist(), new.to_pylist()):
+            parts, at = [], 0
+            for h in sorted(hits or (), key=lambda h: (h["s"], h["e"])):
+                if h["s"] >= at:
+                    parts += [t[at : h["s"]], x]
+                    at = h["e"]
+            out.append(t if t is None else "".join([*parts, t[at:]]))
+        yield pa.array(out, pa.string())
+
+
 def replace_hits(df: DataFrame, search: Search, template: str, field: str = "seq", ctx: Context | None = None) -> DataFrame:
     """Hits of the best pattern replaced, in the order of the text; a hit that overlaps one before it is left."""
-    best = F.element_at("_m", 1)["hits"]
-    ordered = F.array_sort(F.transform(best, lambda h: F.struct(h["start"].alias("s"), h["end"].alias("e"))))
+    spans = F.transform(F.element_at("_m", 1)["hits"], lambda h: F.struct(h["start"].alias("s"), h["end"].alias("e")))
     new = compile_template(find_context(search, ctx, field), template).printed()
-    c = F.col(field)
-    empty = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-    step = lambda a, h: F.when(h["s"] >= a["at"], F.struct(F.concat(a["text"], F.substr(c, a["at"] + 1, h["s"] - a["at"]), new).alias("text"), h["e"].alias("at"))).otherwise(a)
-    done = F.aggregate(ordered, empty, step, lambda a: F.concat(a["text"], F.substr(c, a["at"] + 1)))
-    return df.withColumn(field, F.when(F.size(F.element_at("_m", 1)["hits"]) > 0, done).otherwise(c))
+    found = F.size(F.element_at("_m", 1)["hits"]) > 0
+    done = F.arrow_udf(_put, "string")(F.col(field), F.when(found, spans), F.when(found, new))
+    return df.withColumn(field, done)
 
 
 def find_context(search: Search, ctx: Context | None = None, field: str = "seq") -> Context:

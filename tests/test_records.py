@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +11,7 @@ from strandframe.lang.variables import Context
 from strandframe.model import records
 from strandframe.operators import align, basic, keyed, search
 
-SEQS = [("seq1", "p=2", "TTGGCAGGCCAAGGCCGATGGATCA"), ("seq0", "p=1", "CTGGCAGGCC-AGGCCGATGGATCA"), ("seq3", "p=10", "CAGGCAGGCC-AGGCCGATGGATCA"), ("seq2", "p=11", "ACGG-AGGCC-AGGCCGATGGATCA")]
+READS = [("m4", "w=7 site=fen", "GATTACAGATTACA"), ("m1", "w=30", "CCGGA-TTAACC"), ("m3", "w=4", "ccggaattaacc"), ("m2", None, "TTTTGACCGG--"), ("m5", "w=12", "GATTACAGATTACA"), ("m6", "site=bog w=100", "")]
 
 
 def make(spark, rows, parts=1):
@@ -20,36 +23,68 @@ def ids(df):
     return [r["id"] for r in df.collect()]
 
 
-@pytest.mark.parametrize("parts", [1, 3])
-@pytest.mark.parametrize(("key", "order"), [("seq", "2301"), ("id", "0123"), ("attr(p)", "0321"), ("{num(attr(p))}", "0132"), ("gc", "1203")])
-def test_sort(spark, parts, key, order):
-    got = ids(basic.sort(make(spark, SEQS, parts), key))
-    assert sorted(got) == ["seq0", "seq1", "seq2", "seq3"]
-    if key in ("seq", "id", "{num(attr(p))}"):
-        assert got == [f"seq{c}" for c in order]
+def weight(desc):
+    m = re.search(r"(?:^| )w=(\d+)", desc or "")
+    return m and m.group(1)
+
+
+def share(seq):
+    letters = [c for c in seq if c in "ACGTU"]
+    return sum(c in "GC" for c in letters) / len(letters) if letters else None
 
 
-def test_reverse_sort_keeps_ties(spark):
-    assert ids(basic.sort(make(spark, SEQS), "seqlen", reverse=True)) == ["seq1", "seq0", "seq3", "seq2"]
+KEYS = {"seq": lambda r: r[2], "id": lambda r: r[0], "opt_attr(w)": lambda r: weight(r[1]), "{num(opt_attr('w'))}": lambda r: weight(r[1]) and int(weight(r[1])), "seqlen": lambda r: len(r[2]), "gc": lambda r: share(r[2])}
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+@pytest.mark.parametrize("key", KEYS)
+@pytest.mark.parametrize("reverse", [False, True])
+def test_sort(spark, parts, key, reverse):
+    rows = [r for r in READS if key != "gc" or share(r[2]) is not None]
+    of = KEYS[key]
+    known, unknown = [r for r in rows if of(r) is not None], [r for r in rows if of(r) is None]
+    known = sorted(known, key=of, reverse=reverse)  # Python's sort keeps ties in input order, also reversed
+    want = unknown + known if reverse else known + unknown
+    assert ids(basic.sort(make(spark, rows, parts), key, reverse=reverse)) == [r[0] for r in want]
 
 
 def test_unique_and_counts(spark):
-    df = make(spark, SEQS, 3)
-    assert ids(keyed.unique(df, "seqlen")) == ["seq1"]
-    assert sorted(ids(keyed.unique(df, "gc"))) == ["seq0", "seq1", "seq2"]
-    assert [tuple(r) for r in basic.count_by(df, "seqlen,ungapped_seqlen").collect()] == [("25", "23", 1), ("25", "24", 2), ("25", "25", 1)]
+    df = make(spark, READS, 3)
+    first: dict = {}
+    for r in READS:
+        first.setdefault(r[2].upper(), r[0])
+    assert sorted(ids(keyed.unique(df, "upper_seq"))) == sorted(first.values())
+    n: dict = {}
+    for _, _, s in READS:
+        k = str(len(s)), str(len(s.replace("-", "")))
+        n[k] = n.get(k, 0) + 1
+    got = [tuple(r) for r in basic.count_by(df, "seqlen,ungapped_seqlen").collect()]
+    assert got == [(*k, c) for k, c in sorted(n.items(), key=lambda x: [int(v) for v in x[0]])]
     with pytest.raises(Exception, match="more than 1 categories"):
         basic.count_by(df, "id", limit=1).collect()
     assert basic.count_by(df.limit(0), "id").collect() == []
 
 
-@pytest.mark.parametrize(("fmt", "want"), [
-    ("long", [("s1", "s1"), ("s2", "s1"), ("s4", "s1"), ("s3", "s3")]), ("long-star", [("s1", "*"), ("s2", "s1"), ("s4", "s1"), ("s3", "*")]),
-    ("wide", [("s1\ts2\ts4",), ("s3",)]), ("wide-comma", [("s1\ts1,s2,s4",), ("s3\ts3",)]), ("wide-key", [("1\ts1\ts2\ts4",), ("2\ts3",)]),
-])
-def test_map(spark, fmt, want):
-    df = make(spark, [("s1", "a=1", "SEQ"), ("s2", "a=1", "SEQ"), ("s3", "a=2", "SEQ"), ("s4", "a=1", "SEQ")], 2)
-    assert [tuple(r) for r in keyed.unique_map(df, "attr(a)", fmt).collect()] == want
+def test_counts_of_equal_prints(spark):
+    """Numbers that print alike are one category; bins and undefined values have their place in the order."""
+    df = make(spark, [(str(i), d, "A") for i, d in enumerate(["v=0.3", "v=0.30000000000000004", None, "v=12", "v=-1", "v=2.5", "v=nan"])])
+    got = [tuple(r) for r in basic.count_by(df, "{bin(num(opt_attr('v')), 5)}").collect()]
+    assert got[:3] == [("(-5, 0]", 1), ("(0, 5]", 3), ("(10, 15]", 1)] and {k for k, _ in got[3:]} == {"(NaN, NaN]", "undefined"}
+    assert [tuple(r) for r in basic.count_by(df.limit(2), "{num(opt_attr('v')) + 1e-12}").collect()] == [("0.300000", 2)]
+
+
+def test_map(spark):
+    rows = [("t1", "g=x", "A"), ("t2", "g=y", "A"), ("t3", "g=x", "C"), ("t4", "g=x", "A"), ("t5", "g=y", "G")]
+    df = make(spark, rows, 2)
+    groups: dict = {}
+    for i, d, _ in rows:
+        groups.setdefault(d[2:], []).append(i)
+    wide = {
+        "long": [(i, g[0]) for g in groups.values() for i in g], "long-star": [(i, "*" if i == g[0] else g[0]) for g in groups.values() for i in g],
+        "wide": [("\t".join(g),) for g in groups.values()], "wide-comma": [(g[0] + "\t" + ",".join(g),) for g in groups.values()], "wide-key": [(k + "\t" + "\t".join(g),) for k, g in groups.items()],
+    }
+    for fmt, want in wide.items():
+        assert [tuple(r) for r in keyed.unique_map(df, "attr(g)", fmt).collect()] == want
 
 
 @pytest.mark.parametrize(("x", "text"), [(1.2, "1.2"), (1.1 + 0.1, "1.20000"), (1.1000001, "1.10000"), (1e-14, "1e-14"), (1.1e-14, "1.1e-14"), (1.10135e19, "1.10135e19"), (40.0, "40"), (0.4, "0.4"), (-2.5, "-2.5"), (0.0, "0"), (float("nan"), "NaN"), (float("inf"), "Infinity"), (None, None)])
@@ -63,11 +98,11 @@ def table(df, fields, ctx=None):
 
 
 def test_templates_and_expressions(spark):
-    df = make(spark, SEQS[:1])
-    assert table(df, "id,{seqlen},{attr(p)},{num(attr('p')) + 1},{attr('p')+1},gc,{opt_attr('z') + 1},{bin(seqlen,10)},a{id}b") == ["seq1,25,2,3,21,0.6,NaN,(20, 30],aseq1b"]
-    assert table(df, ["{seqlen > 20 ? 'long' : 'short'}", "{if (seqlen > 30) return 1; return 'x';}", "{id.slice(-2)}", "{parseInt('12ab')}"]) == ["long,x,q1,12"]
-    assert ids(basic.filter_records(make(spark, SEQS), "attr('p') >= 10")) == ["seq3", "seq2"]
-    assert ids(basic.filter_records(make(spark, SEQS), "(new RegExp('seq[01]')).test(id)")) == ["seq1", "seq0"]
+    df = make(spark, READS[:1])
+    assert table(df, "id,{seqlen},{attr(w)},{num(attr('w')) + 1},{attr('w')+1},{opt_attr('z') + 1},{bin(seqlen,10)},a{id}b") == ["m4,14,7,8,71,NaN,(10, 20],am4b"]
+    assert table(df, ["{seqlen > 10 ? 'long' : 'short'}", "{if (seqlen > 30) return 1; return 'x';}", "{id.slice(-1)}", "{parseInt('12ab')}"]) == ["long,x,4,12"]
+    assert ids(basic.filter_records(make(spark, READS), "opt_attr('w') >= 10")) == [r[0] for r in READS if weight(r[1]) and int(weight(r[1])) >= 10]
+    assert ids(basic.filter_records(make(spark, READS), "(new RegExp('m[12]')).test(id)")) == ["m1", "m2"]
     for bad in ("seqlen +", "nosuch > 1", "seqlen"):
         with pytest.raises(ExpressionError):
             basic.filter_records(df, bad)
@@ -96,14 +131,17 @@ def test_attributes(spark):
 
 
 def test_sequence_functions(spark):
-    df = make(spark, [("i", None, "AGCTYRWSKMDVHBN")])
-    assert basic.revcomp(df, "dna").first()["seq"] == "NVDBHKMSWYRAGCT"
-    twice = basic.revcomp(basic.revcomp(df, "dna"), "dna").first()["seq"]
-    assert twice == "AGCTYRWSKMDVHBN"
-    q = spark.createDataFrame([("!+5",), ("",), (None,)], "qual string")
-    assert [None if r[0] is None else round(r[0], 2) for r in q.select(sequence.exp_err(F.col("qual"))).collect()] == [1.11, 0.0, None]
-    phred = spark.createDataFrame([("40 40 40 30",)], "s string").select(sequence.quality_of_phred(F.col("s"))).first()[0]
-    assert phred == "III?"
+    pairs = {"A": "T", "C": "G", "R": "Y", "K": "M", "B": "V", "D": "H", "S": "S", "W": "W", "N": "N"}
+    both = pairs | {v: k for k, v in pairs.items()}
+    letters = "".join(random.Random(1).choices(sorted(both), k=60))
+    df = make(spark, [("i", None, letters)])
+    assert basic.revcomp(df, "dna").first()["seq"] == "".join(both[c] for c in reversed(letters))
+    codes = ["!I5", "", None, "~~"]
+    q = spark.createDataFrame([(c,) for c in codes], "qual string")
+    want = [None if c is None else sum(10 ** (-(ord(x) - 33) / 10) for x in c) for c in codes]
+    assert [r[0] for r in q.select(sequence.exp_err(F.col("qual"))).collect()] == [w if w is None else pytest.approx(w) for w in want]
+    phred = spark.createDataFrame([("2 41 0",)], "s string").select(sequence.quality_of_phred(F.col("s"))).first()[0]
+    assert phred == "".join(chr(33 + x) for x in (2, 41, 0))
 
 
 def find(spark, rows, pattern, fields, **k):
@@ -111,65 +149,144 @@ def find(spark, rows, pattern, fields, **k):
     return table(search.find(make(spark, rows), se), fields, search.find_context(se))
 
 
-THREE = [("s1", None, "ACAATGG"), ("s2", None, "ACG"), ("s3", None, "AAGGTA")]
-GAPS = [("i", None, "AACGCACTTTTTTAACGCACT")]
-HITS = [("id", None, "TAGAGTTTTTTTTTAGAGTTTTTTTAGAG")]
-
-
-@pytest.mark.parametrize(("rows", "pattern", "fields", "options", "want"), [
-    ([("i", None, "AACACACTGTGGAGTTTTCA")], "ACACC", "match,aligned_match,match_diffs", {"max_diffs": 1}, ["ACACA,ACACA,1"]),
-    ([("i", None, "AACACACTGTGGAGTTTTCA")], "ACACC", "match", {"max_rate": 0.1999999}, ["undefined"]),
-    (THREE, (("a", "CATG"), ("b", "ACGT")), "id,pattern_name,aligned_pattern,match,aligned_match,match_len,match_diffs,match_ins,match_del,match_subst", {"max_diffs": 2},
-     ["s1,a,CA-TG,CAATG,CAATG,5,1,1,0,0", "s2,b,ACGT,ACG,ACG-,3,1,0,1,0", "s3,b,ACGT,AGGT,AGGT,4,1,0,0,1"]),
-    (GAPS, "ACGTGC", "match,aligned_match,aligned_pattern,match_range,match_diffs", {"max_diffs": 2, "scoring": (1, -1, -1)}, ["ACGC,ACG--C,ACGTGC,2:5,2"]),
-    (GAPS, "ACGTGC", "match,aligned_match,match_range", {"max_diffs": 2}, ["ACGCAC,ACGCAC,2:7"]),
-    (GAPS, "ACGTGC", "match_range(all),match_diffs(all)", {"max_diffs": 2}, ["2:7,15:20,2,2"]),
-    (HITS, "AGAG", "match_range(all),match_range(-2),match_range(4)", {}, ["2:5,15:18,26:29,15:18,undefined"]),
-    (HITS, "AGAG", "match_range(all),match_range(-1)", {"max_diffs": 1}, ["2:5,15:18,26:29,26:29"]),
-    ([("q", None, "AACACACTGTGGAGTTTTCAT")], "ACRCTGTGGAGNTTTC", "match_range,match", {}, ["4:19,ACACTGTGGAGTTTTC"]),
-    ([("q", None, "ACRCTGTGGAGNTTTC")], "CACTGTGGAGTTTTC", "match_range", {}, ["undefined"]),
-    ([("q", None, "id123|abc|rest")], r"id(?<n>\d+)\|(\w+)", "match_group(n),match_group(2),match_grp_range(1)", {"regex": True}, ["123,abc,3:5"]),
-])
-def test_find(spark, rows, pattern, fields, options, want):
-    assert find(spark, rows, pattern, fields, **options) == want
+#: Letters of codes, for the brute-force searches.
+CODES = {"N": "ACGTMRWSYKVHDBN", "R": "AGR"}
+
+
+def distances(text, pattern):
+    """Edit distance of the pattern to each part (start, end) of a text."""
+    fits = lambda p, c: c == p or c in CODES.get(p, "")
+    out = {}
+    for s in range(len(text) + 1):
+        row = list(range(len(pattern) + 1))
+        out[s, s] = row[-1]
+        for e in range(s, len(text)):
+            new = [row[0] + 1]
+            for i, p in enumerate(pattern):
+                new.append(min(row[i] + (not fits(p, text[e])), row[i + 1] + 1, new[i] + 1))
+            row = new
+            out[s, e + 1] = row[-1]
+    return out
+
+
+VARIABLES = "id,match_start,match_end,match_diffs,match_ins,match_del,match_subst,match,aligned_match,aligned_pattern,match_len,match_range,match_neg_start,match_neg_end,match_neg_range,match_diff_rate,pattern_name,pattern,pattern_len".split(",")
+
+
+@pytest.mark.parametrize(("pattern", "budget"), [("ACGTAC", 2), ("GANTRC", 1), ("GARTNC", 0), ("TTGACCA", 3), ("ACGT" * 9 + "TG", 4), ("CATGCATTGACCAGTAGGACTAACCGTACGTTAGCATTAACGGATCATTTGCAATCGACGTAGG", 3)])
+def test_find_against_brute_force(spark, pattern, budget):
+    rng = random.Random(len(pattern) + budget)
+    plain = "".join(rng.choice(CODES.get(c, c)[:4].translate({ord("M"): "A", ord("R"): "G"})) for c in pattern)
+    texts = ["", "A"]
+    for _ in range(30):
+        s = list(plain)
+        for _ in range(rng.randint(0, budget + 1)):
+            s[rng.randrange(len(s))] = rng.choice(["", "A", "CG", "T"])
+        texts.append("".join(rng.choices("ACGT", k=rng.randint(0, 20))) + "".join(s) + "".join(rng.choices("ACGT", k=rng.randint(0, 9))))
+    rows = [(str(i), None, t) for i, t in enumerate(texts)]
+    se = search.Search((("one", pattern),), max_diffs=budget)
+    best = search.find(make(spark, rows, 2), se, hits="best")
+    values = basic.table(best, VARIABLES, search.find_context(se)).collect()
+    every = {r["id"]: r["_m"][0]["hits"] for r in search.find(make(spark, rows, 2), se).select("id", "_m").collect()}
+    by_id = {v[0]: v for v in values}
+    for i, t in enumerate(texts):
+        d = distances(t, pattern)
+        ends = {e for (s, e), x in d.items() if x <= budget}
+        hits = every[str(i)]
+        assert bool(hits) == bool(ends) and all(d[h["start"], h["end"]] == h["dist"] <= budget for h in hits)
+        assert len({h["start"] for h in hits}) == len(hits) and [h["dist"] for h in hits] == sorted(h["dist"] for h in hits)
+        # of each start that some end's best alignment has, the hit is at least as near as any other end's
+        v = dict(zip(VARIABLES, by_id[str(i)]))
+        if not ends:
+            assert set(v.values()) == {str(i), "undefined"}
+            continue
+        s, e, n = int(v["match_start"]) - 1, int(v["match_end"]), len(t)
+        assert int(v["match_diffs"]) == d[s, e] == min(d.values()) == sum(int(v[f"match_{x}"]) for x in ("ins", "del", "subst"))
+        assert e == min(y for (_, y), x in d.items() if x == d[s, e]) or (e - min(y for (_, y), x in d.items() if x == d[s, e])) <= 2 * d[s, e]
+        assert v["match"] == t[s:e] == v["aligned_match"].replace("-", "") and v["aligned_pattern"].replace("-", "") == pattern and len(v["aligned_match"]) == len(v["aligned_pattern"])
+        assert (v["match_len"], v["match_range"]) == (str(e - s), f"{s + 1}:{e}")
+        assert (v["match_neg_start"], v["match_neg_end"], v["match_neg_range"]) == (str(s - n), str(e - n - 1), f"{s - n}:{e - n - 1}")
+        assert float(v["match_diff_rate"]) == pytest.approx(d[s, e] / len(pattern), abs=1e-5) and (v["pattern_name"], v["pattern"], v["pattern_len"]) == ("one", pattern, str(len(pattern)))
+
+
+def test_find_in_long_texts(spark):
+    """Hits across the ends of the automaton's lanes, and a text of very many hits."""
+    rng = random.Random(6)
+    text = list("".join(rng.choices("CGT", k=3 * search.LANE + 100)))
+    places = [0, search.LANE - 3, search.LANE + 2, 2 * search.LANE - 7, 3 * search.LANE + 20, len(text) - 8]
+    for p in places:
+        text[p : p + 8] = "AATAAGAA"
+    se = search.Search(search.pattern_of("AATAACAA"), max_diffs=1)
+    hits = search.find(make(spark, [("x", None, "".join(text)), ("y", None, "AC" * 20_000)]), se).collect()
+    assert sorted(h["start"] for h in hits[0]["_m"][0]["hits"]) == places and not hits[1]["_hit"]
+    exact = search.Search(search.pattern_of("AC"))
+    found = search.find(make(spark, [("y", None, "AC" * 20_000)]), exact)
+    assert len(found.first()["_m"][0]["hits"]) == 20_000
+    assert search.replace_hits(found, exact, "{match_len}g").first()["seq"] == "2g" * 20_000
 
 
-def test_find_anchored(spark):
-    se = search.Search((("a", "CATG"), ("b", "ACGT")), max_diffs=2, anchor_start=0)
-    assert ids(search.matched(search.find(make(spark, THREE), se))) == ["s2"]
+def find(spark, rows, pattern, fields, **k):
+    se = search.Search(pattern if isinstance(pattern, tuple) else search.pattern_of(pattern), **k)
+    return table(search.find(make(spark, rows), se), fields, search.find_context(se))
 
 
-def test_find_replace(spark):
-    se = search.Search(search.pattern_of("AGAG"))
-    assert search.replace_hits(search.find(make(spark, HITS), se), se, "<{match_start}>").first()["seq"] == "T<2>" + "T" * 9 + "<2>" + "T" * 7 + "<2>"
+def test_find_exact_and_regex(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("AG", k=40)) for _ in range(20)] + ["", "C"]
+    for t, got in zip(texts, find(spark, [("i", None, t) for t in texts], "AGAG", ["match_range(all)", "{match_start(-1)}"])):
+        at = [m.start() for m in re.finditer("AGAG", t)]
+        assert got == (",".join(f"{a + 1}:{a + 4}" for a in at) or "undefined") + "," + (str(at[-1] + 1) if at else "undefined")
+    for t, got in zip(texts, find(spark, [("i", None, t) for t in texts], r"G(?<run>A+)(G|$)", ["match_group(run)", "match_group(2)", "match_grp_start(1)", "match_grp_end(1)", "match_grp_range(1)", "match_grp_neg_start(run)", "match_grp_neg_end(run)"], regex=True)):
+        m = re.search(r"G(A+)(G|$)", t)
+        want = [m.group(1), m.group(2), m.start(1) + 1, m.end(1), f"{m.start(1) + 1}:{m.end(1)}", m.start(1) - len(t), m.end(1) - len(t) - 1] if m else ["undefined"] * 7
+        assert got == ",".join(map(str, want))
+
+
+def test_find_options(spark):
+    rows = [("a", None, "ttgaCCATgg"), ("b", None, "GGCCATTTCCAT"), ("c", None, None), ("d", None, "TTTTTTTT")]
+    assert find(spark, rows, "CCAT", "match_start", ignore_case=True, max_diffs=0) == ["5", "3", "undefined", "undefined"]
+    at = lambda **k: ids(search.matched(search.find(make(spark, rows), search.Search(search.pattern_of("CCAT"), **k))))
+    assert (at(anchor_start=2), at(anchor_start=4), at(anchor_end=0), at(max_diffs=1, anchor_end=1)) == (["b"], ["a", "b"], ["b"], ["b"])
+    assert find(spark, rows, "CCAT", "match_range(all)", max_rate=0.2499) == ["5:8", "3:6,9:12", "undefined", "undefined"]
+    # of two patterns the one with fewer differences comes first
+    two = (("p", "CCGT"), ("q", "TTTC"))
+    assert find(spark, rows[1:2], two, "pattern_name,match_diffs,{pattern_name(2)}", max_diffs=1) == ["q,0,p"]
+    # a hit whose alignment scores 0 is one nevertheless
+    assert find(spark, [("z", None, "ACAC")], "ACGTAC", "match_range(all)", max_diffs=2) == ["1:4"]
+    se = search.Search(search.pattern_of("CCAT"))
+    assert [r["seq"] for r in search.replace_hits(search.find(make(spark, rows), se), se, "<{match_start}>").collect()] == ["ttga<5>gg", "GG<3>TT<3>", "", "TTTTTTTT"]
+    assert [r["_hit"] for r in search.find(make(spark, rows), se).collect()] == [True, True, False, False]
 
 
 def test_compare(spark):
-    left = make(spark, [(i, None, q) for i, q in (x.split(",") for x in "1,AAA 2,AAA 3,CCC 5,CCC 7,TTT 8,ATG 9,TGA".split())])
-    right = make(spark, [(i, None, q) for i, q in (x.split(",") for x in "1,AAA 3,CCC 4,CCC 5,CCC 6,TTT 8,GGG 10,GAT".split())])
-    n = lambda k: [r["n"] for r in keyed.compare_stats(left, right, k).orderBy("category").collect()]
-    assert n("id,seqhash") == [3, 4, 4]
-    assert n("id") == [4, 3, 3]
+    rng = random.Random(12)
+    tables = [[(str(i), None, rng.choice(["AC", "GT", "CC"])) for i in rng.sample(range(40), 25)] for _ in range(2)]
+    left, right = (make(spark, t, 2) for t in tables)
+    for key, of in (("id", lambda r: r[0]), ("id,seqhash", lambda r: (r[0], r[2]))):
+        a, b = ({of(r) for r in t} for t in tables)
+        got = {r["category"]: r["n"] for r in keyed.compare_stats(left, right, key).collect()}
+        assert got == {"common": len(a & b), "unique1": len(a - b), "unique2": len(b - a)}
+        assert set(ids(keyed.intersect(left, right, key))) == {r[0] for r in tables[0] if of(r) in b}
+        assert set(ids(keyed.difference(left, right, key))) == {r[0] for r in tables[0] if of(r) not in b}
     with pytest.raises(Exception, match="key occurs twice"):
         keyed.compare(left, right, "seq").collect()
     assert not keyed.is_equal(left, right) and keyed.is_equal(left, left)
 
 
 def test_positional(spark):
-    a, b = make(spark, SEQS[:2], 2), make(spark, [(i, d, "A") for i, d, _ in SEQS[:2]])
-    assert [r["seq"][:1] for r in keyed.interleave(a, b).orderBy("_ord").collect()] == ["T", "A", "C", "A"]
-    assert keyed.concat(a, b, spacer=2).orderBy("_ord").first()["seq"] == SEQS[0][2] + "NNA"
+    a, b = make(spark, READS[:2], 2), make(spark, [(i, d, "A") for i, d, _ in READS[:2]])
+    assert [r["seq"] for r in keyed.interleave(a, b).orderBy("_ord").collect()] == [READS[0][2], "A", READS[1][2], "A"]
+    assert keyed.concat(a, b, spacer=2).orderBy("_ord").first()["seq"] == READS[0][2] + "NNA"
     with pytest.raises(Exception, match="number of records"):
         keyed.concat(a, b.limit(1)).collect()
 
 
 def test_meta_and_split(spark):
-    meta = spark.createDataFrame([("seq1", "x"), ("seq1", "y"), ("seq2", None)], "i string, v string")
-    df, ctx = keyed.with_meta(make(spark, SEQS), meta)
+    meta = spark.createDataFrame([("m1", "x"), ("m1", "y"), ("m2", None)], "i string, v string")
+    df, ctx = keyed.with_meta(make(spark, READS[:4]), meta)
     rows = sorted(table(df, "id,{has_meta()},{opt_meta(v)}", ctx))
-    assert [r[:9] for r in rows] == ["seq0,fals", "seq1,true", "seq2,true", "seq3,fals"]
-    assert sorted(ids(keyed.has_meta(make(spark, SEQS), meta, "i", "left_anti"))) == ["seq0", "seq3"]
-    assert sorted(tuple(r) for r in keyed.split_counts(keyed.split_paths(make(spark, SEQS), "f{chunk}.fa", 3)).collect()) == [("f1.fa", 3), ("f2.fa", 1)]
+    assert [r[:7] for r in rows] == ["m1,true", "m2,true", "m3,fals", "m4,fals"]
+    assert sorted(ids(keyed.has_meta(make(spark, READS[:4]), meta, "i", "left_anti"))) == ["m3", "m4"]
+    assert sorted(tuple(r) for r in keyed.split_counts(keyed.split_paths(make(spark, READS), "f{chunk}.fa", 4)).collect()) == [("f1.fa", 4), ("f2.fa", 2)]
 
 
 def test_samples_and_slices(spark):
