@@ -48,6 +48,8 @@ COMMON_LEAST = 256
 #: A sketch value of more records than this joins none of them; all its records get bands.
 COMMON_TOTAL = 512
 BLOCK = 1024
+#: Sets marked at once, and pairs looked up at once, in the exact comparison.
+TABLE, PAIRS = 32, 2048
 #: Records whose values a task sorts together, and values a bucket is meant to hold.
 CHUNK, BUCKET = 1 << 16, 1 << 21
 PARTS, SLICES = 1 << 20, 64
@@ -523,20 +525,13 @@ def _compare(k: int, threshold: float):
             x, y = within(bits[: stop - r], bits, wanted, count[: stop - r], count, (1 - threshold) / (1 + threshold))
             real = y < end - r
             x, y = x[real], y[real]
-            order = np.argsort(x, kind="stable")
-            x, y = x[order], y[order]
-            has = np.zeros(bound, bool)
-            for q, partners in zip(*_runs(x, y)):
-                own = code[start[q] : start[q] + count[q]]
-                has[own] = True
-                for other in partners.tolist():
-                    shared = np.count_nonzero(has[code[start[other] : start[other] + count[other]]])
-                    if shared >= threshold * (count[q] + count[other] - shared) - 1e-9:
-                        a, b = int(number[r + q]), int(number[r + other])
-                        out_a.append(min(a, b))
-                        out_b.append(max(a, b))
-                has[own] = False
-        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"]) if out_a else None
+            shared = _shared(x, y, code, start, count, bound)
+            near = shared >= threshold * (count[x] + count[y] - shared) - 1e-9
+            a, b = number[r + x[near]], number[r + y[near]]
+            out_a.append(np.minimum(a, b))
+            out_b.append(np.maximum(a, b))
+        out_a, out_b = np.concatenate(out_a), np.concatenate(out_b)
+        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"]) if len(out_a) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, held = np.zeros((5, 0), np.int64), []
@@ -559,12 +554,29 @@ def _compare(k: int, threshold: float):
     return run
 
 
-def _runs(x: np.ndarray, y: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
-    """Each value of sorted ``x`` with its values of ``y``."""
-    if not len(x):
-        return [], []
-    start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-    return x[start].tolist(), np.split(y, start[1:])
+def _shared(x: np.ndarray, y: np.ndarray, code: np.ndarray, start: np.ndarray, count: np.ndarray, bound: int) -> np.ndarray:
+    """The numbers that the sets of each pair have in common, exactly; TABLE sets at a time are marked in a table."""
+    out = np.zeros(len(x), np.int64)
+    order = np.argsort(x, kind="stable")
+    sets, first = np.unique(x[order], return_index=True)
+    first = np.append(first, len(x))
+    has = np.zeros((TABLE, bound), bool)
+
+    def of(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = count[which]
+        return np.repeat(np.arange(len(which)), n), np.arange(n.sum()) + np.repeat(start[which] - (np.cumsum(n) - n), n)
+
+    for at in range(0, len(sets), TABLE):
+        own = sets[at : at + TABLE]
+        row, place = of(own)
+        has[row, code[place]] = True
+        pairs = order[first[at] : first[min(len(sets), at + TABLE)]]
+        for part in np.split(pairs, range(PAIRS, len(pairs), PAIRS)):
+            item, where = of(y[part])
+            hit = has[np.searchsorted(own, x[part])[item], code[where]]
+            out[part] = np.bincount(item[hit], minlength=len(part))
+        has[row, code[place]] = False
+    return out
 
 
 def near_copies(df: DataFrame, id_col: str, text_col: str, k: int = 8, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
