@@ -1,15 +1,18 @@
 """Personal information in free text, by bootstrapped contextual extraction.
 
-One pass over the texts writes candidates: spans that have the form of an e-mail address, phone
-number, identity number, street address or person's name, each with its lexical pattern (the words around it) and,
-where its own form or a kept list says so, a seed mark. The rest works on the graph of patterns and instances:
-a pattern's score is the share of its instances that are seeds; instances of high-confidence patterns
-become known, known name parts raise further patterns, and so on for ``rounds`` rounds of
-groupBy and join. A candidate is accepted by its own form, by known parts or by its pattern's score.
+One pass over the texts writes candidates: spans that may be an e-mail address, phone
+number, identity number, street address or person's name, each with its lexical pattern (the words around it; the same
+with capitalised words as one class is its frame) and, where its form leaves no doubt, a seed mark. The rest works on the graph of
+patterns and instances, for all types, in ``rounds`` rounds of groupBy and join: instances that are seeds or became known
+give their patterns a score, the share of what stands in the pattern that is known; what stands mostly in patterns of
+high score becomes known. Of names the instances are their parts, and the seeds are the kept list. A span is accepted if its
+instance is known; a name if both parts are and its pattern isn't a poor one, or one is and its pattern is good, or its pattern
+is nearly always a name's. Where accepted spans overlap, the surer one stays, then the longer one.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -21,41 +24,43 @@ from ..session import stage
 
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street_address": "[STREET_ADDRESS]", "person_name": "[PERSON_NAME]"}
 
-UP, LOW = "A-ZÀ-ÖØ-ÞĆČĐŁŃŚŠŹŻŽ", "a-zß-öø-ÿćčđłńřśšźżž"
+UP, LOW = "A-ZÀ-ÖØ-ÞĆČĐŁŃŚŠŹŻŽΑ-ΩА-ЯЁ", "a-zß-öø-ÿćčđłńřśšźżžά-ώа-яё"
 WORD = rf"(?:[{UP}]['’][{UP}][{LOW}]+|[{UP}][{LOW}]+|[{UP}]{{2,}})(?:[-'’](?:[{UP}]?[{LOW}]+|[{UP}]+))*"
 CAPS_O = rf"[{UP}]['’][{UP}]{{2,}}"
 REST = rf"(?:['’][{UP}](?:[{LOW}]+|[{UP}]+)|[{LOW}]+|[{UP}]+)(?:[-'’](?:[{UP}]?[{LOW}]+|[{UP}]+))*"
 # expressions begin with a set of characters, as these are found fastest; the look-behind holds that character too
 NAME = re.compile(rf"[{UP}](?<![\w@./\\'’-].)(?=(?:(?P<g>{REST}|\.)(?: [{UP}]\.)? (?P<f>{CAPS_O}|{WORD})|(?P<f2>{REST}), (?P<g2>{WORD}|[{UP}]\.)(?: [{UP}]\.)?)(?![\w@]))")
+#: Family and given name in Japanese, parted by a blank.
+NAME_JA = re.compile(r"(?<![一-龯々ぁ-んァ-ヶー])(?P<f>[一-龯々]{1,4})[ \u3000](?P<g>[一-龯々]{1,4}|[ぁ-ん]{2,5}|[ァ-ヶー]{2,6})(?![一-龯々ぁ-んァ-ヶー])")
 #: Titles, which aren't part of a name.
 TITLES = {"Dr", "Prof", "Mr", "Mrs", "Ms", "Miss", "Herr", "Frau", "Mme", "Mlle", "Sr", "Sra", "Dra", "Don", "Dona", "Doña", "Sir", "Professor", "Doctor", "DR", "PROF"}
 
 AT = re.compile(r"@|\s?[\[({]\s?(?:at|@)\s?[\])}]\s?| at (?=[\w-]+(?: dot |\.)[\w-])", re.I)
 DOT = r"(?:\.|\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?| dot )"
 LOCAL = re.compile(rf"[\w+-]+(?:{DOT}[\w+-]+)*$", re.I)
-DOMAIN = re.compile(rf"[\w-]+(?:{DOT}[\w-]+)*{DOT}(?:[A-Za-z]{{2,24}})(?![\w-])", re.I)
+DOMAIN = re.compile(rf"[\w-]+(?:{DOT}[\w-]+)*{DOT}(?:[^\W\d_]{{2,24}})(?![\w-])", re.I)
 
 PHONE_START = re.compile(r"[+(\d](?<![\w.,+/:#=-].)(?=[\d ()./-]{7})")
-ID_START = re.compile(r"[A-Z\d](?<![\w.,+/:#=-].)(?=[A-Z]{0,2}[ -]?[\d .-]{6})")
-PLAIN_DOMAIN = re.compile(r"[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,24}(?![\w-])")
+ID_START = re.compile(r"[A-Z\d](?<![\w.,+/:#=-].)(?=[A-Z]{0,3}(?:[ -]?[\d .-]{6}|-[\dA-Z]{2}))")
+PLAIN_DOMAIN = re.compile(r"[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,24}(?![\w-])")
 
 PHONE = re.compile(
     r"(?<![\w.,+/:#=-])(?:"
     r"(?P<s>\+\d{1,3}(?:[ .-]?\(0\))?(?:[ .-]?\d{1,5}){2,6}(?:/\d{2,5})?|00[1-9]\d(?:[ .-]\d{1,6}){2,5}|\(0\d{1,5}\) ?\d{3,8}(?:[ /-]\d{2,6}){0,2}|\(\d{3}\) ?\d{3}[ -]\d{4}"
     r"|0\d{2,5} ?/ ?\d{3,8}(?:-\d{1,5})?)"
-    r"|(?P<w>0\d(?:[ .]\d\d){4}|0\d{4} ?\d{6}|0\d{4} \d{3} \d{3}|0\d\d \d{4} \d{4}|0\d{3} \d{3} \d{4}|0\d \d{4} \d{4}|0\d{3} \d{6,8}|\d{3}([-. ])\d{3}\3\d{4}|0[1-9]\d{8,9})"
+    r"|(?P<w>0\d(?:[ .]\d\d){4}|0\d{4} ?\d{6}|0\d{4} \d{3} \d{3}|0\d\d \d{4} \d{4}|0\d{3} \d{3} \d{4}|0\d \d{4} \d{4}|0\d{3} \d{6,8}|\d{3}([-. ])\d{3}\3\d{4}|0[1-9]\d{8,9}|\d{2,4}([-.])\d{2,4}(?:\4\d{2,4}){1,3})"
     r")(?![\w]|[./-]\d)"
 )
 
 #: Labels that name a number of a person's document, tax or insurance.
 ID_LABEL = re.compile(
-    r"(?i)(?<![\w])(?:passport|pasaporte|passeport|reisepass|ssn|social security|national insurance|ni (?=number|no)|tax id|tin\b|nif\b|nie\b|dni\b|steuer-?id|identity card|id card|national id|personalausweis|ausweis|sozialversicherung|rentenversicherung|"
+    r"(?i)(?<![\w])(?:passport|pasaporte|passeport|reisepass|ssn|social security|national insurance|nino\b|ni (?=number|no)|tax id|tin\b|nif\b|nie\b|dni\b|steuer-?id|identity card|id card|national id|personalausweis|ausweis|sozialversicherung|rentenversicherung|"
     r"driv(?:er|ing)(?:'?s)? licen[cs]e|s[ée]curit[ée] sociale|insee|codice fiscale|снилс|инн\b|паспорт)[\w.º°’'-]*(?: (?:number|num|nummer|nr|no|n)\b[.º°]*)?(?: ?n\.º)?"
 )
 ID_VALUE = re.compile(r"(?:\s?[:=]\s?|\s?(?:is|ist|est|es)\s|\s?no\.?\s|\s?n\.º:?\s|\s)\(?(?P<v>[A-Z]{0,4}[ -]?\d[\dA-Z]*(?:[ .-][\dA-Z]+){0,5}|[A-Z]{2,4}-\d{6,10})")
 #: What can't end a number: a word that follows it.
 ID_TAIL = re.compile(r"(?:[ .-](?:[A-Z]{2,}|[A-Z](?=[a-z])))+$")
-ID_SHAPE = re.compile(r"(?<![\w.,+/:#=-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|\d{2}\.?\d{3}\.?\d{3}-?[A-Z]|\d{2} \d{3} \d{3} \d{3}|[A-Z]{2} ?\d{7}|[A-Z]{1,3}-?\d{8,9})(?![\w]|[./-]\d)")
+ID_SHAPE = re.compile(r"(?<![\w.,+/:#=-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|\d{2}\.?\d{3}\.?\d{3}-?[A-Z]|\d{2} \d{3} \d{3} \d{3}|[A-Z]{2} ?\d{7}|[A-Z]{1,3}-?\d{8,9}|[A-Z]{1,4}(?:-[\dA-Z]{2,8}){2,5})(?![\w]|[./-]\d)")
 
 STREET_EN = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Close|Drive|Dr|Row|Blvd|Boulevard|Way|Terrace|Court|Ct|Square|Sq|Place|Crescent|Hill|Gardens|Park|Grove|Walk|Mews|Quay|Wharf|Green|Alley|Parade|Rise|View)"
 STREET = re.compile(
@@ -67,12 +72,15 @@ STREET = re.compile(
     r")"
 )
 
+#: Words with a house number that no form of STREET knows.
+WIDE_STREET = re.compile(rf"[{UP}](?<![\w@./\\'’-].)(?=[{LOW}]+(?: [{UP}][\w'’-]*){{1,2}},? (?P<n>\d{{1,4}} ?(?:[a-d](?!\w))?)(?![\w.,:/-]\d|\w))")
+
 #: Words near which the slower expressions are tried; one automaton finds all of them in a single pass.
 NEAR = {
     "email": ("@", "(at", "[at", "{at", "( at", "[ at", "{ at", " at "),
     "id_number": (
-        "passport", "pasaporte", "passeport", "reisepass", "ssn", "social security", "national insurance", "ni number", "ni no", "tax id", "tin ", "tin:", "nif", "nie ", "nie:", "dni", "steuer-id", "steuerid", "identity card", "id card", "national id",
-        "ausweis", "sozialversicherung", "rentenversicherung", "licence", "license", "curité sociale", "curite sociale", "insee", "codice fiscale", "снилс", "инн", "паспорт",
+        "passport", "pasaporte", "passeport", "reisepass", "ssn", "social security", "national insurance", "ni number", "ni no", "nino", "tax id", "tin ", "tin:", "nif", "nie ", "nie:", "dni", "steuer-id", "steuerid", "identity card", "id card", "national id",
+        "ausweis", "sozialversicherung", "rentenversicherung", "driver", "driving", "sécurité sociale", "securite sociale", "insee", "codice fiscale", "снилс", "инн", "паспорт",
     ),
     "en": tuple(f" {w.lower()}" for w in STREET_EN[3:-1].split("|")),
     "fr": ("rue ", "avenue ", "quai ", "impasse ", "chemin ", "allée ", "allee ", "place ", "boulevard ", "cours ", "route ", "sentier ", "passage ", "square ", "ruelle "),
@@ -81,8 +89,8 @@ NEAR = {
     "es": ("c/ ", "calle ", "avda.", "av. ", "avenida ", "paseo ", "p.º ", "plaza ", "pza. ", "camino ", "ronda ", "travesía ", "travesia ", "carretera ", "cuesta "),
 }
 TOKEN = re.compile(r"\w+|[^\w\s]")
-CANDIDATE = "doc_id bigint, pii_type string, s int, e int, pii_text string, part_a string, part_b string, pattern string, seed boolean"
-FIELDS = ["doc_id", "pii_type", "s", "e", "pii_text", "part_a", "part_b", "pattern", "seed"]
+MAIL_NEXT = re.compile(r"[ \t,;<(]*[\w.+-]+@")
+CANDIDATE = "doc_id bigint, pii_type string, s int, e int, pii_text string, part_a string, part_b string, pattern string, frame string, seed boolean"
 
 
 def plain(text: str) -> str:
@@ -90,13 +98,22 @@ def plain(text: str) -> str:
     return text.replace("\\n", " \n").replace("\\r", "  ").replace("\\t", "  ") if "\\" in text else text
 
 
-def pattern_of(text: str, s: int, e: int) -> str:
-    """The two words or signs before a span and the one after it, within its line; numbers as 0."""
-    left = text[max(0, s - 40) : s].rpartition("\n")[2]
+def pattern_of(text: str, s: int, e: int) -> tuple[str, str]:
+    """The two words or signs before a span and the one after it, within its line, numbers as 0; and the same with capitalised words, and addresses, as one class."""
+    reach = 40
+    while True:  # words of any length
+        left = text[max(0, s - reach) : s].rpartition("\n")[2]
+        a = [t for t in TOKEN.findall(left) if t not in "#>\"'\\"]
+        if len(a) > 2 or len(left) < reach or reach > 4096:
+            break
+        reach *= 8
     right = text[e : e + 16].partition("\n")[0]
-    a = [t for t in TOKEN.findall(left) if t not in "#>\"'\\"][-2:]
     b = [t for t in TOKEN.findall(right) if t not in "\"'\\"][:1]
-    return " ".join("0" if t[0].isdigit() else t.lower() for t in a) + " _ " + " ".join("0" if t[0].isdigit() else t.lower() for t in b)
+    a = a[-2:]
+    low = lambda t: "0" if t[0].isdigit() else t.lower()
+    kind = lambda t: "Xx" if t[0].isupper() else low(t)
+    after = ["@"] if MAIL_NEXT.match(text, e) else map(kind, b)
+    return " ".join(map(low, a)) + " _ " + " ".join(map(low, b)), " ".join(map(kind, a)) + " _ " + " ".join(after)
 
 
 def lower(t: str) -> str:
@@ -136,25 +153,35 @@ def near(t: str) -> dict[str, list[int]]:
     return at
 
 
+def _before(t: str, end: int) -> re.Match | None:
+    """The local part that ends at ``end``, however long it is; its places count from the first character looked at."""
+    reach = 80
+    while True:
+        base = max(0, end - reach)
+        m = LOCAL.search(t[base:end])
+        if not m or m.start() or not base:
+            return m and (base + m.start())
+        reach *= 8
+
+
 def emails(t: str, at: list[int]) -> Iterator[tuple]:
     done = -1
     for p in at:
-        m = AT.search(t, max(0, p - 1, done), min(len(t), p + 60))
-        if not m or m.start() > p + 1 or m.start() < done:
+        m = next((m for q in (p - 1, p, p + 1) if q >= max(0, done) and (m := AT.match(t, q))), None)
+        if not m:
             continue
         done = m.end()
         sign = m.group()
-        base = max(0, m.start() - 80)
-        left = LOCAL.search(t[base : m.start()])
-        right = DOMAIN.match(t, m.end(), min(len(t), m.end() + 120))
-        if not left or not right:
+        s, right = _before(t, m.start()), DOMAIN.match(t, m.end())
+        if s is None or not right:
             continue
-        s, e = left.start() + base, right.end()
-        domain = right.group()
+        e, domain = right.end(), right.group()
         if sign == "@":
-            s = m.start() - len(re.search(r"[\w.+-]*$", t[base : m.start()]).group())
+            s = m.start()
+            while s and (t[s - 1].isalnum() or t[s - 1] in "._+-"):
+                s -= 1
             if re.search(r"\s", domain):
-                right = PLAIN_DOMAIN.match(t, m.end(), min(len(t), m.end() + 120))
+                right = PLAIN_DOMAIN.match(t, m.end())
                 if not right:
                     continue
                 e = right.end()
@@ -180,8 +207,8 @@ def phones(t: str) -> Iterator[tuple]:
 def identities(t: str, at: list[int]) -> Iterator[tuple]:
     ends = set()
     for p in at:
-        m = ID_LABEL.search(t, max(0, p - 6), min(len(t), p + 60))
-        v = m and ID_VALUE.match(t, m.end(), min(len(t), m.end() + 60))
+        m = next((m for q in range(max(0, p - 6), p + 1) if (m := ID_LABEL.match(t, q))), None)
+        v = m and ID_VALUE.match(t, m.end())
         if not v or v.start("v") in ends:
             continue
         value = ID_TAIL.sub("", v.group("v"))
@@ -190,20 +217,39 @@ def identities(t: str, at: list[int]) -> Iterator[tuple]:
             yield "id_number", v.start("v"), v.start("v") + len(value), None, None, True
     for x in ID_START.finditer(t):
         m = ID_SHAPE.match(t, x.start())
-        if m and m.start() not in ends:
+        if m and m.start() not in ends and sum(map(str.isdigit, m.group())) >= 5:
             yield "id_number", m.start(), m.end(), None, None, False
 
 
+def _streets_at(t: str, p: int, done: int) -> list[tuple[int, int]]:
+    """Streets around a word at ``p``, within as many words as a street can have; in text without blanks the part looked at grows while a street reaches its ends."""
+    first, last = p, p
+    for _ in range(8):
+        first = max(t.rfind(" ", 0, max(first, 0)), -1)
+        last = q if (q := t.find(" ", last + 1)) >= 0 else len(t)
+    first = max(first + 1, done)
+    before, after = (p - first, last - p) if last - first < 2000 else (60, 100)
+    while True:
+        a, b = max(first, p - before), min(last, p + after)
+        if not any(map(str.isdigit, t[a:b])):
+            return []
+        found = [(m.start(), m.start() + len(m.group().rstrip()), m.end()) for m in STREET.finditer(t, a, b) if m.start() <= p + 2 or m.end() >= p]
+        cut_left, cut_right = any(s == a > first for s, _, _ in found), any(e == b < last for _, _, e in found)
+        if not cut_left and not cut_right:
+            return [(s, e) for s, e, _ in found]
+        before, after = before * (8 if cut_left else 1), after * (8 if cut_right else 1)
+
+
 def streets(t: str, at: list[int]) -> Iterator[tuple]:
-    done = 0
+    done, seen = 0, set()
     for p in at:
-        a, b = max(0, p - 60, done), min(len(t), p + 100)
-        if not any(map(str.isdigit, t[a:b])):
-            continue
-        for m in STREET.finditer(t, a, b):
-            if m.start() <= p + 2 or m.end() >= p:
-                yield "street_address", m.start(), m.start() + len(m.group().rstrip()), None, None, True
-                done = max(done, m.end())
+        for s, e in _streets_at(t, p, done):
+            yield "street_address", s, e, None, None, True
+            seen.add(s)
+            done = max(done, e)
+    for m in WIDE_STREET.finditer(t):
+        if m.start() not in seen:
+            yield "street_address", m.start(), m.start("n") + len(m.group("n").rstrip()), None, None, False
 
 
 def names(t: str) -> Iterator[tuple]:
@@ -216,6 +262,8 @@ def names(t: str) -> Iterator[tuple]:
         if m.group("g2") and (x := re.compile(rf" [{UP}]\.").match(t, end)):
             end = x.end()
         yield "person_name", first, end, g.lower(), f.lower(), False
+    for m in NAME_JA.finditer(t):
+        yield "person_name", m.start(), m.end(), m.group("g"), m.group("f"), False
 
 
 def candidates(text: str) -> Iterator[tuple]:
@@ -223,11 +271,11 @@ def candidates(text: str) -> Iterator[tuple]:
     at = near(t)
     for found in (emails(t, at["email"]), phones(t), identities(t, at["id_number"]), streets(t, at["street_address"]), names(t)):
         for kind, s, e, a, b, seed in found:
-            yield kind, s, e, text[s:e], a, b, pattern_of(t, s, e), seed
+            yield kind, s, e, text[s:e], a, b, *pattern_of(t, s, e), seed
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("pii_type", pa.string()), ("s", pa.int32()), ("e", pa.int32()), *((c, pa.string()) for c in ("pii_text", "part_a", "part_b", "pattern")), ("seed", pa.bool_())])
+    schema = pa.schema([("doc_id", pa.int64()), ("pii_type", pa.string()), ("s", pa.int32()), ("e", pa.int32()), *((c, pa.string()) for c in ("pii_text", "part_a", "part_b", "pattern", "frame")), ("seed", pa.bool_())])
     rows: list = []
     for b in batches:
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -263,8 +311,27 @@ def _learn_names(graph: DataFrame, given: DataFrame, family: DataFrame, rounds:
     return given, family, patterns
 
 
+def _learn(graph: DataFrame, rounds: int, support: int, confidence: float) -> DataFrame:
+    """Known instances (pii_type, inst) after ``rounds`` rounds over the graph (pii_type, inst, pattern, frame, n, seed)."""
+    known = graph.where("seed").select("pii_type", "inst").distinct()
+    for _ in range(rounds):
+        seen = graph.join(known.withColumn("known", F.lit(True)), ["pii_type", "inst"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+        def good(col: str) -> DataFrame:
+            hit = F.when(F.col("known"), F.col("n")).otherwise(0)
+            scored = seen.groupBy("pii_type", col).agg(F.sum(hit).alias("hit"), F.sum("n").alias("n"), F.count_if("known").alias("distinct_hits"))  # noqa: B023
+            return scored.where((F.col("distinct_hits") >= support) & (F.col("hit") >= confidence * F.col("n"))).select("pii_type", col, F.lit(True).alias(f"good_{col}"))
+
+        # a label is what tells numbers of persons from others, so their frames don't count
+        marked = seen.join(good("pattern"), ["pii_type", "pattern"], "left").join(good("frame"), ["pii_type", "frame"], "left")
+        mark = F.coalesce("good_pattern", F.col("good_frame") & (F.col("pii_type") != "id_number"), F.lit(False))
+        fresh = marked.groupBy("pii_type", "inst").agg(F.sum(F.when(mark, F.col("n")).otherwise(0)).alias("in_good"), F.sum("n").alias("n")).where("2 * in_good >= n AND in_good > 0").select("pii_type", "inst")
+        known = stage(known.union(fresh).distinct(), "known")
+    return known
+
+
 def find_pii(df: DataFrame, name_parts: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 3, confidence: float = 0.5) -> DataFrame:
-    """Accepted spans (doc_id, pii_type, s, e, pii_text); spans of a text may touch but names, numbers and streets don't overlap e-mails.
+    """Accepted spans (doc_id, pii_type, s, e, pii_text); spans of a text don't overlap.
 
     Null and empty texts have none. ``name_parts`` has name_part and part_kind (given, family); it may be incomplete or empty.
     """
@@ -275,17 +342,43 @@ def find_pii(df: DataFrame, name_parts: DataFrame, id_col: str = "doc_id", text_
     people = found.where("pii_type = 'person_name'")
     graph = stage(people.groupBy("pattern", "part_a", "part_b").agg(F.count(F.lit(1)).alias("n")), "graph")
     given, family, patterns = _learn_names(graph, part("given", "part_a"), part("family", "part_b"), rounds, support, confidence)
+    # distinct names are judged once, however many texts hold them
     initial = F.col("part_a").rlike(r"^.\.$")
-    scored = people.join(given.withColumn("ka", F.lit(True)), "part_a", "left").join(family.withColumn("kb", F.lit(True)), "part_b", "left").join(patterns, "pattern", "left")
+    scored = graph.join(given.withColumn("ka", F.lit(True)), "part_a", "left").join(family.withColumn("kb", F.lit(True)), "part_b", "left").join(patterns, "pattern", "left")
     good = (F.col("distinct_hits") >= support) & (F.col("score") >= confidence)
     both = F.coalesce("kb", F.lit(False)) & (F.coalesce("ka", F.lit(False)) | initial)
     one = F.coalesce("kb", F.lit(False)) | F.coalesce("ka", F.lit(False))
-    accepted = scored.where((both & (F.col("score") >= 0.2)) | (one & good)).select("doc_id", "pii_type", "s", "e", "pii_text")
+    sure = (F.col("distinct_hits") >= SURE_HITS) & (F.col("score") >= SURE_SCORE)
+    rank = F.when(both & (F.col("score") >= 0.2), 3).when(one & good, 2).when(sure, 1)
+    accepted = scored.select("pattern", "part_a", "part_b", rank.alias("rank")).where("rank IS NOT NULL")
+    names = people.join(accepted, ["pattern", "part_a", "part_b"]).select("doc_id", "pii_type", "s", "e", "pii_text", "rank")
 
-    others = found.where("pii_type <> 'person_name'")
-    context = others.groupBy("pii_type", "pattern").agg((F.sum(F.col("seed").cast("int")) / F.count(F.lit(1))).alias("share"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-    weak = others.where("NOT seed").join(context.where((F.col("share") >= 0.1) & (F.col("seeds") >= 2)), ["pii_type", "pattern"], "left_semi")
-    return accepted.union(others.where("seed").select(*accepted.columns)).union(weak.select(*accepted.columns))
+    others = found.where("pii_type <> 'person_name'").withColumn("inst", F.lower("pii_text"))
+    known = _learn(stage(others.groupBy("pii_type", "inst", "pattern", "frame").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "graph"), rounds, support, confidence)
+    rest = others.join(known, ["pii_type", "inst"], "left_semi").select("doc_id", "pii_type", "s", "e", "pii_text", F.when(F.col("seed"), 4).otherwise(2).alias("rank"))
+    spans = names.union(rest)
+    return spans.repartition("doc_id").sortWithinPartitions("doc_id", F.desc("rank"), F.col("s") - F.col("e"), "s").mapInArrow(_apart, "doc_id bigint, pii_type string, s int, e int, pii_text string")
+
+
+#: A pattern in which names of unknown parts are accepted: distinct known names in it, and their share.
+SURE_HITS, SURE_SCORE = 20, 0.9
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans, sorted by document and rank, without those that overlap one before them."""
+    doc, taken = None, []
+    for b in batches:
+        keep = []
+        for i, (d, s, e) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc_id", "s", "e")))):
+            if d != doc:
+                doc, taken = d, []
+            at = bisect.bisect(taken, (s, e))
+            if (at and taken[at - 1][1] > s) or (at < len(taken) and taken[at][0] < e):
+                continue
+            taken.insert(at, (s, e))
+            keep.append(i)
+        if keep:
+            yield b.take(pa.array(keep)).drop_columns(["rank"])
 
 
 def _cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,18 +386,31 @@ def _cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
             if spans:
-                at, parts = 0, []
-                for x in sorted(spans, key=lambda x: (x["s"], -x["e"])):
-                    if x["s"] >= at:
-                        parts += [text[at : x["s"]], PLACEHOLDER[x["pii_type"]]]
-                        at = x["e"]
+                parts, at = [], 0
+                for s, e, kind in united(spans):
+                    parts += [text[at:s], PLACEHOLDER[kind]]
+                    at = e
                 text = "".join([*parts, text[at:]])
             out.append(text)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
 
+def united(spans: list[dict]) -> list[tuple[int, int, str]]:
+    """(start, end, type) of what the spans cover; overlapping ones become one span with the type of the longest."""
+    out: list[list] = []
+    for x in sorted(spans, key=lambda x: (x["s"], -x["e"])):
+        if out and x["s"] < out[-1][1]:
+            last = out[-1]
+            last[1] = max(last[1], x["e"])
+            if x["e"] - x["s"] > last[3]:
+                last[2:] = [x["pii_type"], x["e"] - x["s"]]
+        else:
+            out.append([x["s"], x["e"], x["pii_type"], x["e"] - x["s"]])
+    return [(s, e, kind) for s, e, kind, _ in out]
+
+
 def redact(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text) of every row with a typed placeholder for each span; where spans overlap, the one that begins first."""
+    """(id, text) of every row with a typed placeholder for each span; overlapping spans are covered as one, with the type of the longest."""
     of_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("pii_type", "s", "e")).alias("spans"))  # bounded by its text
     full = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(of_doc, "doc_id", "left")
     return full.mapInArrow(_cover, "doc_id bigint, text string").withColumnRenamed("doc_id", id_col)

@@ -332,3 +332,46 @@ def test_pii_learns_unseen_names(spark):
     assert text[0] == "written by [PERSON_NAME]." and text[101] is None and text[102] == "" and len(text[103]) == 300_000
     assert "[EMAIL]" in text[104] and "[STREET_ADDRESS]" in text[104] and "Ticket 125-20-4203" in text[104]
     assert pii.find_pii(df.limit(0), parts).collect() == []
+
+
+PROBES = {
+    "id_number": ["employee badge number is QX-44-918-ZZ7.", "driving licence number: AB123456 is valid", "NINO no QQ 12 34 56 C appears"],
+    "email": ["Автор: ivan.petrov@пример.рф", "mail " + "a" * 300 + "@x.example.org now", "mail " + "b" * 200 + " dot c at lab dot " + "d" * 150 + " dot example now"],
+    "person_name": ["Автор: Иван Петров, лаборатория", "作成者: 山田 太郎", "by Odalyn K. O'Brannoch."],
+    "street_address": ["lives at Via Roma 12, Milano", "in 12 " + "Q" + "q" * 90 + " Road today"],
+}
+
+
+def test_pii_probes():
+    want = {
+        "id_number": ["QX-44-918-ZZ7", "AB123456", "QQ 12 34 56 C"], "email": ["ivan.petrov@пример.рф", "a" * 300 + "@x.example.org", "b" * 200 + " dot c at lab dot " + "d" * 150 + " dot example"],
+        "person_name": ["Иван Петров", "山田 太郎", "Odalyn K. O'Brannoch"], "street_address": ["Via Roma 12", "12 Q" + "q" * 90 + " Road"],
+    }
+    for kind, texts in PROBES.items():
+        for text, piece in zip(texts, want[kind]):
+            assert piece in [c[3] for c in pii.candidates(text) if c[0] == kind]
+
+
+def test_pii_patterns_find_what_no_form_knows(spark):
+    """Wide candidates are accepted where known ones stand in the same words, and only there."""
+    rows = [f"please send it to {n} Kestrel Street in town" for n in range(5)] + ["please send it to Via Roma 12 in town", "the limit was Tafel Alt 12 at last"]
+    rows += [f"reach me on +44 20 7946 09{n} after noon" for n in range(10, 16)] + ["reach me on 020.7946.0999 after noon", "unit 301.555.0147 belongs here"]
+    rows += [f"holder has passport ZZ61901{n} on file" for n in range(10, 15)] + ["holder has QX-44-918-ZZ7 on file", "lot AB-44-918-ZZ7 expired", "holder has passport QX-44-918-ZZ8 on file", "seen QX-44-918-ZZ8 again"]
+    rows += [f"notes of Zerina {f}, late" for f in ("Peak", "Stone", "Marsh")] * 8 + ["notes of Иван Петров, late", "plots of Иван Петров, late"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(3)
+    parts = spark.createDataFrame([("Zerina", "given"), ("Peak", "family"), ("Stone", "family"), ("Marsh", "family")], "name_part string, part_kind string")
+    got = {(r["doc_id"], r["pii_text"]) for r in pii.find_pii(df, parts).collect()}
+    at = lambda text: rows.index(text)
+    assert (at("please send it to Via Roma 12 in town"), "Via Roma 12") in got and at("the limit was Tafel Alt 12 at last") not in {d for d, _ in got}
+    assert (at("reach me on 020.7946.0999 after noon"), "020.7946.0999") in got and at("unit 301.555.0147 belongs here") not in {d for d, _ in got}
+    assert (at("seen QX-44-918-ZZ8 again"), "QX-44-918-ZZ8") in got and at("lot AB-44-918-ZZ7 expired") not in {d for d, _ in got}
+
+
+def test_spans_that_overlap():
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 1, 1, 1, 2]), pa.array(["a"] * 5), pa.array([0, 3, 8, 9, 0], pa.int32()), pa.array([5, 8, 12, 10, 3], pa.int32()), pa.array(["x"] * 5), pa.array([3, 3, 2, 2, 1])], names=["doc_id", "pii_type", "s", "e", "pii_text", "rank"])
+    (got,) = pii._apart([batch])
+    assert list(zip(*(got[c].to_pylist() for c in ("doc_id", "s", "e")))) == [(1, 0, 5), (1, 8, 12), (2, 0, 3)]
+    span = lambda kind, s, e: {"pii_type": kind, "s": s, "e": e}
+    (out,) = pii._cover([pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["abcdefghij"]), pa.array([[span("phone", 3, 8), span("person_name", 0, 4)]])], names=["doc_id", "text", "spans"])])
+    assert out.column(1).to_pylist() == ["[PHONE]ij"]
+    assert pii.united([span("email", 1, 3), span("phone", 3, 5)]) == [(1, 3, "email"), (3, 5, "phone")]
