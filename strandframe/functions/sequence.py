@@ -56,6 +56,11 @@ def gc(x: Column) -> Column:
     return F.when(total == 0, F.lit(float("nan"))).otherwise(n / F.when(total == 0, 1).otherwise(total))
 
 
+def is_type(text: str, name: str = "dna") -> bool:
+    """Whether a text on the driver has letters of an alphabet (U counts as T) and gaps alone."""
+    return set(text.upper().replace("U", "T")) <= set(ALPHABET[name]) | set(GAPS)
+
+
 def is_alphabet(x: Column, name: str) -> Column:
     letters = ALPHABET[name]
     return F.length(F.translate(x, letters + letters.lower() + GAPS, "")) == 0

@@ -74,6 +74,9 @@ def call(ctx: Context, m: re.Match) -> Value:
 
 def part(ctx: Context, text: str) -> Value:
     t = text.strip()
+    if t.startswith("file:"):
+        with open(t.removeprefix("file:")) as f:
+            return compile_js(ctx, f.read())
     if ctx.known(t):
         return ctx.call(t, [])
     if m := as_call(ctx, t):

@@ -19,7 +19,8 @@ class Context:
     """What variables can refer to while an expression is compiled.
 
     ``meta``: per metadata source the names of its columns, in order; the values stand in the record
-    as ``_meta<i>_<n>`` (see operators.meta). ``extra`` has variables that a single operator adds.
+    as ``_meta<i>_<n>`` (see operators.meta). ``extra`` has variables that a single operator adds. ``deleted`` collects the attributes
+    that attr_del and opt_attr_del name; operators that give records remove them (``without_deleted``).
     """
 
     attr_format: AttrFormat = dataclasses.field(default_factory=AttrFormat)
@@ -27,6 +28,7 @@ class Context:
     seqtype: str = "auto"
     default_ext: str = "fasta"
     meta: list[list[str]] = dataclasses.field(default_factory=list)
+    deleted: list[str] = dataclasses.field(default_factory=list)
     extra: dict[str, Callable] = dataclasses.field(default_factory=dict)
     registry: dict[str, tuple] = dataclasses.field(default_factory=lambda: REGISTRY)
 
@@ -66,7 +68,6 @@ def constant(v: Value | None, default: object, what: type) -> object:
     return what(v.const)
 
 
-
 def field(name: str) -> Column:
     """Columns are made when an expression is compiled, as a session must exist for them."""
     return F.col(name)
@@ -121,7 +122,6 @@ def _seq_idx(ctx: Context, reset: Value | None = None) -> Value:
     return Value(F.col("_file_num" if constant(reset, False, bool) else "_num") - 1, INT)
 
 
-
 def _path() -> Column:
     return F.coalesce(F.col("_path"), F.lit("-"))
 
@@ -138,18 +138,40 @@ REGISTRY["extension"] = (lambda ctx: Value(F.regexp_extract(_file(True), r"\.([^
 REGISTRY["dirname"] = (lambda ctx: Value(F.when(F.instr(_path(), "/") > 0, F.regexp_replace(_path(), "/[^/]*$", "")).otherwise(""), TEXT), 0, 0)
 
 
-@variable("attr", "attr_del", args=(1, 1))
+@variable("attr", args=(1, 1))
 def _attr(ctx: Context, name: Value) -> Value:
     n = constant(name, "", str)
     v = ctx.attr_format.get(n, field("id"), field("desc"))
     return Value(F.when(v.isNotNull(), v).otherwise(F.raise_error(F.concat(F.lit(f"no attribute {n} in record "), field("id"))).cast("string")), TEXT)
 
 
-@variable("opt_attr", "opt_attr_del", args=(1, 1))
+@variable("opt_attr", args=(1, 1))
 def _opt_attr(ctx: Context, name: Value) -> Value:
     return Value(ctx.attr_format.get(constant(name, "", str), field("id"), field("desc")), TEXT)
 
 
+def _delete(ctx: Context, name: Value) -> Value:
+    n = constant(name, "", str)
+    if n not in ctx.deleted:
+        ctx.deleted.append(n)
+    return name
+
+
+@variable("attr_del", args=(1, 1))
+def _attr_del(ctx: Context, name: Value) -> Value:
+    return _attr(ctx, _delete(ctx, name))
+
+
+@variable("opt_attr_del", args=(1, 1))
+def _opt_attr_del(ctx: Context, name: Value) -> Value:
+    return _opt_attr(ctx, _delete(ctx, name))
+
+
+def without_deleted(ctx: Context, id: Column, desc: Column) -> tuple[Column, Column]:
+    """(id, desc) without the attributes that expressions of this context have taken out."""
+    return ctx.attr_format.delete(ctx.deleted, id, desc) if ctx.deleted else (id, desc)
+
+
 @variable("has_attr", args=(1, 1))
 def _has_attr(ctx: Context, name: Value) -> Value:
     return Value(ctx.attr_format.get(constant(name, "", str), field("id"), field("desc")).isNotNull(), BOOL)

@@ -11,8 +11,8 @@ from ..functions import sequence
 from ..lang.js import compile_filter
 from ..lang.ranges import Range, change, cut, parse_ranges
 from ..lang.template import compile_keys, compile_template, split_list
-from ..lang.values import UNDEFINED, ExpressionError, Value
-from ..lang.variables import Context
+from ..lang.values import TEXT, UNDEFINED, ExpressionError, Value
+from ..lang.variables import Context, without_deleted
 from ..model import FIELDS
 from ..session import stage
 
@@ -118,6 +118,14 @@ def sort(df: DataFrame, keys: str | list[str], reverse: bool = False, ctx: Conte
     return df.orderBy(*(F.desc_nulls_first(c) if reverse else F.asc_nulls_last(c) for c in cols), "_ord")
 
 
+def with_key(df: DataFrame, keys: str | list[str], ctx: Context | None = None) -> tuple[DataFrame, Context]:
+    """Records with ``_key``, the printed key that they are sorted or compared by, and a context in which ``key`` reads it."""
+    ctx = ctx or Context()
+    out = df.withColumn("_key", F.concat_ws(",", *(v.printed() for v in compile_keys(ctx, keys))))
+    ctx.extra["key"] = lambda c: Value(F.col("_key"), TEXT)
+    return out, ctx
+
+
 def sort_ranks(df: DataFrame, keys: str | list[str], reverse: bool = False, ctx: Context | None = None) -> DataFrame:
     """All records with ``_rank``, the 1-based place in ``sort``. They are sorted in ranges over all tasks and written once, ranks need one count a task."""
     s = stage(sort(df, keys, reverse, ctx).withColumn("_at", F.monotonically_increasing_id()), "sorted")
@@ -128,7 +136,9 @@ def sort_ranks(df: DataFrame, keys: str | list[str], reverse: bool = False, ctx:
 
 
 def filter_records(df: DataFrame, expression: str, ctx: Context | None = None) -> DataFrame:
-    return df.where(compile_filter(ctx or Context(), expression).truth())
+    ctx = ctx or Context()
+    kept = df.where(compile_filter(ctx, expression).truth())
+    return _changed(kept, ctx, {}) if ctx.deleted else kept
 
 
 def filter_dropped(df: DataFrame, expression: str, ctx: Context | None = None) -> DataFrame:
@@ -136,9 +146,18 @@ def filter_dropped(df: DataFrame, expression: str, ctx: Context | None = None) -
 
 
 def set_fields(df: DataFrame, id: str | None = None, desc: str | None = None, seq: str | None = None, ctx: Context | None = None) -> DataFrame:
-    """Fields replaced by templates; qual stays as it is."""
-    new = {f: compile_template(ctx or Context(), t).printed() for f, t in (("id", id), ("desc", desc), ("seq", seq)) if t is not None}
-    return df.withColumns(new) if new else df
+    """Fields replaced by templates; qual stays as it is. Attributes that attr_del names leave the fields that aren't replaced."""
+    ctx = ctx or Context()
+    new = {f: compile_template(ctx, t).printed() for f, t in (("id", id), ("desc", desc), ("seq", seq)) if t is not None}
+    return _changed(df, ctx, new) if new else df
+
+
+def _changed(df: DataFrame, ctx: Context, new: dict[str, Column]) -> DataFrame:
+    """``df`` with new columns, and without the attributes that their expressions have taken out."""
+    if ctx.deleted:
+        i, d = without_deleted(ctx, F.col("id"), F.col("desc"))
+        new = {"id": i, "desc": d} | new
+    return df.withColumns(new)
 
 
 def delete(df: DataFrame, desc: bool = False, attrs: list[str] | None = None, ctx: Context | None = None) -> DataFrame:
@@ -155,8 +174,8 @@ def set_attrs(df: DataFrame, edit: dict[str, str] | None = None, append: dict[st
     edit, append = edit or {}, append or {}
     if set(edit) & set(append):
         raise ExpressionError(f"attributes both edited and appended: {sorted(set(edit) & set(append))}")
-    i, d = F.col("id"), F.col("desc")
     values = {n: compile_template(ctx, t).printed() for n, t in {**edit, **append}.items()}
+    i, d = without_deleted(ctx, F.col("id"), F.col("desc"))
     for n in edit:
         i, d = ctx.attr_format.edit(n, values[n], i, d)
     for n in append:
@@ -185,8 +204,9 @@ def _ranges(ranges: str | list[Range], ctx: Context) -> list[Range]:
 
 def trim(df: DataFrame, ranges: str | list[Range], exclusive: bool = False, zero_based: bool = False, ctx: Context | None = None) -> DataFrame:
     """seq and qual cut to the ranges, joined in the given order."""
-    rs = _ranges(ranges, ctx or Context())
-    return df.withColumns({"seq": cut(F.col("seq"), rs, exclusive, zero_based), "qual": cut(F.col("qual"), rs, exclusive, zero_based)})
+    ctx = ctx or Context()
+    rs = _ranges(ranges, ctx)
+    return _changed(df, ctx, {"seq": cut(F.col("seq"), rs, exclusive, zero_based), "qual": cut(F.col("qual"), rs, exclusive, zero_based)})
 
 
 def mask(df: DataFrame, ranges: str | list[Range], hard: str | None = None, unmask: bool = False, exclusive: bool = False, zero_based: bool = False, ctx: Context | None = None) -> DataFrame:
@@ -194,7 +214,8 @@ def mask(df: DataFrame, ranges: str | list[Range], hard: str | None = None, unma
     if hard is not None and len(hard) != 1:
         raise ValueError("a mask is one character")
     how = (lambda c: F.repeat(F.lit(hard), F.length(c))) if hard else sequence.ascii_upper if unmask else sequence.ascii_lower
-    return df.withColumn("seq", change(F.col("seq"), _ranges(ranges, ctx or Context()), how, exclusive, zero_based))
+    ctx = ctx or Context()
+    return _changed(df, ctx, {"seq": change(F.col("seq"), _ranges(ranges, ctx), how, exclusive, zero_based)})
 
 
 def upper(df: DataFrame) -> DataFrame:

@@ -91,23 +91,24 @@ def _same(a: list[str], b: list[str]) -> Column:
 
 
 def compare(left: DataFrame, right: DataFrame, keys: str | list[str] = "id,seqhash", unordered_duplicates: bool = False, ctx: Context | None = None) -> DataFrame:
-    """Full outer comparison: ``category`` (common, unique1, unique2) with both sides' id, seq and ``_ord``.
+    """Full outer comparison: ``category`` (common, unique1, unique2) and ``key``, as printed, with both sides' id, seq and ``_ord``.
 
     A key that occurs twice on a side is an error; with ``unordered_duplicates`` the n-th occurrences of a key
     on both sides belong together. Undefined keys are equal to each other.
     """
-    a, ka = _keyed(left, keys, ctx, "a")
-    b, kb = _keyed(right, keys, ctx, "b")
+    shown = lambda: F.concat_ws(",", *(v.printed() for v in compile_keys(ctx or Context(), keys)))
+    a, ka = _keyed(left.withColumn("_key", shown()), keys, ctx, "a")
+    b, kb = _keyed(right.withColumn("_key", shown()), keys, ctx, "b")
 
     def side(df: DataFrame, ks: list[str], s: str) -> DataFrame:
         df = df.withColumn(f"_n{s}", F.row_number().over(Window.partitionBy(*ks).orderBy("_ord")))
         if not unordered_duplicates:
             df = df.withColumn(f"_n{s}", F.when(F.col(f"_n{s}") > 1, F.raise_error(F.concat(F.lit("key occurs twice: "), F.col("id"))).cast("int")).otherwise(F.col(f"_n{s}")))
-        return df.select(*ks, f"_n{s}", *(F.col(c).alias(f"{c}{s}") for c in ("id", "seq")), F.col("_ord").alias(f"_ord{s}"))
+        return df.select(*ks, f"_n{s}", *(F.col(c).alias(f"{c}{s}") for c in ("id", "seq")), F.col("_ord").alias(f"_ord{s}"), F.col("_key").alias(f"_key{s}"))
 
     j = side(a, ka, "1").join(side(b, kb, "2"), _same([*ka, "_n1"], [*kb, "_n2"]), "full_outer")
     category = F.when(F.col("_ord2").isNull(), "unique1").when(F.col("_ord1").isNull(), "unique2").otherwise("common")
-    return j.select("id1", "seq1", "_ord1", "id2", "seq2", "_ord2", category.alias("category"), F.when(category == "common", "c").otherwise(F.regexp_replace(category, "nique", "")).alias("category_short"))
+    return j.select("id1", "seq1", "_ord1", "id2", "seq2", "_ord2", category.alias("category"), F.when(category == "common", "c").otherwise(F.regexp_replace(category, "nique", "")).alias("category_short"), F.coalesce("_key1", "_key2").alias("key"))
 
 
 def compare_stats(left: DataFrame, right: DataFrame, keys: str | list[str] = "id,seqhash", ctx: Context | None = None) -> DataFrame:

@@ -82,6 +82,19 @@ def parse_lines(lines: list[str | None], delim: list[str | None], n_cols, seq_co
     return text, reason, first, fs, fe
 
 
+def cut_quoted(lines: list[str], delim: str) -> list[list[str]]:
+    """The fields of each line, unquoted; delimiters and line feeds within quotes are content. Wrong quoting is an error."""
+    n = len(lines)
+    none = np.full(n, -1)
+    text, reason, first, fs, fe = parse_lines(lines, [delim] * n, np.zeros(n, np.int64), none, none, np.zeros(n, np.uint32))
+    if (reason == 1).any():
+        raise ValueError(f"wrong quotes: {lines[int(np.flatnonzero(reason == 1)[0])][:80]!r}")
+    joined = "".join(t + "\n" for t in text)
+    cells = [v[1:-1].replace('""', '"') if (v := joined[a:b])[:1] == '"' else v for a, b in zip(fs.tolist(), fe.tolist())]
+    bounds = [*first.tolist(), len(cells)]
+    return [cells[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
 REASONS = [None, "quoting", "columns", "seq", "qual", "layout"]
 
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lang.ranges import Range
@@ -75,6 +75,21 @@ class Search:
         return not self.regex and not self.ignore_case and all(not self.budget(p) and not set(p) & set(codes) for _, p in self.patterns)
 
 
+def read_patterns(spark: SparkSession, spec: str) -> tuple[tuple[str, str], ...]:
+    """The patterns of an argument: one pattern, or with ``file:`` the records of a FASTA file, whose ids are the names.
+
+    A file of patterns is part of the plan like the pattern of an argument, so it is read to the driver.
+    """
+    if not spec.startswith("file:"):
+        return pattern_of(spec)
+    from ..sources.files import read_records
+
+    rows = read_records(spark, spec.removeprefix("file:"), "fasta").orderBy("_input", "_ord").collect()
+    if not rows:
+        raise ExpressionError(f"no patterns in {spec}")
+    return tuple((r["id"], r["seq"]) for r in rows)
+
+
 def pattern_of(text: str, name: str = "<pattern>") -> tuple[tuple[str, str], ...]:
     return ((name, text),)
 

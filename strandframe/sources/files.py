@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import glob
 import io
+import itertools
 import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -39,38 +43,48 @@ class Piece(InputPartition):
         self.path, self.number, self.start, self.end = path, number, start, end
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI (file, hdfs, s3 and the like) and the path within it."""
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
 def expand(path: str | list[str]) -> list[str]:
     """Files of paths with wildcards or folders, in the given order; marks of finished jobs left out."""
     out: list[str] = []
+    hidden = lambda f: os.path.basename(f).startswith(("_", "."))
     for p in [path] if isinstance(path, str) else path:
         p = p.removeprefix("file://")
+        if "://" in p:
+            fs, inner = file_system(p)
+            info = fs.get_file_info(inner)
+            root = p[: len(p) - len(inner)] if p.endswith(inner) else p.partition("://")[0] + "://"
+            out += sorted(root + f.path for f in fs.get_file_info(pafs.FileSelector(inner, recursive=True)) if f.is_file and not hidden(f.path)) if info.type == pafs.FileType.Directory else [p]
+            continue
         found = sorted(glob.glob(os.path.join(p, "**"), recursive=True)) if os.path.isdir(p) else sorted(glob.glob(p)) or [p]
-        out += [f for f in found if os.path.isfile(f) and not os.path.basename(f).startswith(("_", "."))] if found != [p] or os.path.exists(p) else [p]
+        out += [f for f in found if os.path.isfile(f) and not hidden(f)] if found != [p] or os.path.exists(p) else [p]
     return out
 
 
 def open_file(path: str) -> io.BufferedIOBase:
     """The file's bytes without its compression."""
+    fs, inner = file_system(path)
+    raw = io.BufferedReader(fs.open_input_file(inner), 1 << 20)
     kind = COMPRESSION.get(path.rsplit(".", 1)[-1].lower())
     if kind == "gz":
         import gzip
 
-        return gzip.open(path)
+        return gzip.open(raw)
     if kind == "bz2":
         import bz2
 
-        return bz2.open(path)
+        return bz2.open(raw)
     if kind == "zstd":
         import zstandard
 
-        return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(open(path, "rb"), read_across_frames=True))
+        return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True))
     if kind == "lz4":
-        try:
-            import lz4.frame
-        except ImportError as e:
-            raise RuntimeError("lz4 files need the lz4 package") from e
-        return lz4.frame.open(path)
-    return open(path, "rb")
+        return io.BufferedReader(pa.CompressedInputStream(fs.open_input_file(inner), "lz4"))
+    return raw
 
 
 def fasta_records(f: io.BufferedIOBase, start: int, end: int | None, glue: bytes = b"") -> Iterator[tuple[int, str, str, None]]:
@@ -141,7 +155,8 @@ class RecordReader(DataSourceReader):
     def partitions(self) -> list[Piece]:
         out = []
         for i, p in enumerate(self.paths):
-            size = os.path.getsize(p)
+            fs, inner = file_system(p)
+            size = fs.get_file_info(inner).size
             if p.rsplit(".", 1)[-1].lower() in COMPRESSION or size <= self.split:
                 out.append(Piece(p, i, 0, None))
             else:
@@ -184,12 +199,12 @@ def _source(spark: SparkSession, kind: str, files: list[str], split_bytes: int)
     return raw.select(i.alias("id"), d.alias("desc"), "seq", "qual", "_ord", "_input", "_path")
 
 
-def read_records(spark: SparkSession, path: str | list[str], fmt: str | None = None, qual: str | list[str] | None = None, fields: str = "id,desc,seq", header: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read_records(spark: SparkSession, path: str | list[str], fmt: str | None = None, qual: str | list[str] | None = None, fields: str = "id,desc,seq", header: bool = False, split_bytes: int = SPLIT_BYTES, quoted: bool = False) -> DataFrame:
     """Records of one or several files with ``_input``, ``_path`` and ``_ord``. ``qual`` has the files of a FASTA's scores."""
     files = expand(path)
     f = resolve_input(files[0], fmt)
     if f.delimiter:
-        return read_delimited(spark, files, f.delimiter, fields, header)
+        return read_delimited(spark, files, f.delimiter, fields, header, quoted)
     df = _source(spark, f.name if f.name == "fastq" else "fasta", files, split_bytes)
     return with_scores(df, _qual_source(spark, expand(qual), split_bytes)) if qual else df
 
@@ -225,24 +240,93 @@ def column_map(fields: str, names: list[str] | None) -> dict[str, int | str]:
     return out
 
 
-def read_delimited(spark: SparkSession, files: list[str], delim: str, fields: str = "id,desc,seq", header: bool = False) -> DataFrame:
-    """Lines cut at the delimiter, without quoting; short lines are filled with ''. Blank lines are left out."""
+def _numbered(files: list[str], header: bool):
+    """(value, path, block) of lines, in the order of the files, to (value, _ord, _input, _path); blank lines and the first line of each file with a header are left out."""
+    plain = lambda p: unquote(p.removeprefix("file:")).lstrip("/") if p.startswith("file:") else p.lstrip("/")
+    number = {plain(p): i for i, p in enumerate(files)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n = None, 0
+        for b in batches:
+            rows = []
+            for value, path, block in zip(*(c.to_pylist() for c in b.columns)):
+                if key != (path, block):
+                    key, n = (path, block), 0
+                # a line takes a byte at least, so places in a block never reach the next one
+                if value and (n or block or not header):
+                    i = number[plain(path)]
+                    rows.append((value, block + n, i, files[i]))
+                n += 1
+            if rows:
+                cols = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())], names=["value", "_ord", "_input", "_path"])
+
+    return run
+
+
+def quoted_lines(f: io.BufferedIOBase) -> Iterator[tuple[int, str]]:
+    """(place, text) of the records of a file with quoted fields. A line whose quotes don't pair is joined with the next ones until they do."""
+    at, held, quotes = 0, [], 0
+    for line in f:
+        held.append(line)
+        quotes += line.count(b'"')
+        if quotes % 2 == 0:
+            whole = b"".join(held)
+            if text := whole.decode().removesuffix("\n").removesuffix("\r"):
+                yield at, text
+            at, held, quotes = at + len(whole), [], 0
+    if held:
+        raise ValueError(f"a quote isn't closed: {held[0][:60]!r}")
+
+
+def read_quoted(spark: SparkSession, files: list[str], delim: str, fields: str = "id,desc,seq", header: bool = False) -> DataFrame:
+    """As ``read_delimited``, with quoted fields. A file is read by one task, as only its start tells which quotes open."""
+    from ..operators.rejects import cut_quoted
+
     mapped = column_map(fields, None)
     header = header or any(isinstance(v, str) for v in mapped.values())
-    # lines keep their order within a file by file, split and place in the split
-    lines = None
-    for i, p in enumerate(files):
-        one = spark.read.text(p).select("value", F.lit(i).alias("_input"), F.lit(p).alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
-        one = one.withColumn("_ord", F.col("_block") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).drop("_block")
-        if header:
-            with open_file(p) as f:
-                names = f.readline().decode().rstrip("\r\n").split(delim)
-            one = one.where(F.col("value") != F.lit(delim.join(names)))
-        lines = one if lines is None else lines.union(one)
+
+    kinds = [pa.string()] * 4 + [pa.int64(), pa.int32(), pa.string()]
+    names = [*FIELDS[:4], "_ord", "_input", "_path"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, p in zip(*(c.to_pylist() for c in b.columns)):
+                at = None if header else mapped
+                with open_file(p) as f:
+                    lines_ = quoted_lines(f)
+                    while part := list(itertools.islice(lines_, BATCH)):
+                        cells = cut_quoted([t for _, t in part], delim)
+                        if at is None:
+                            at = {k: cells[0].index(v) if isinstance(v, str) else v for k, v in mapped.items()}
+                            part, cells = part[1:], cells[1:]
+                        of = lambda k: [None] * len(cells) if k not in at else [c[at[k]] if at[k] < len(c) else "" for c in cells]  # noqa: B023, E731
+                        cols = [*(of(k) for k in FIELDS[:4]), [x for x, _ in part], [i] * len(part), [p] * len(part)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+    paths = spark.createDataFrame(list(enumerate(files)), "i int, p string").repartition(max(1, len(files)), "i")
+    return paths.mapInArrow(run, "id string, desc string, seq string, qual string, _ord bigint, _input int, _path string")
+
+
+def read_delimited(spark: SparkSession, files: list[str], delim: str, fields: str = "id,desc,seq", header: bool = False, quoted: bool = False) -> DataFrame:
+    """Lines cut at the delimiter, without quoting unless ``quoted``; short lines are filled with ''. Blank lines are left out.
+
+    All files are one scan. With a header the first line of each file is left out, whatever other lines look like it.
+    """
+    if quoted:
+        return read_quoted(spark, files, delim, fields, header)
+    mapped = column_map(fields, None)
+    header = header or any(isinstance(v, str) for v in mapped.values())
+    names: list[str] = []
+    if header:
+        with open_file(files[0]) as f:
+            names = f.readline().decode().rstrip("\r\n").split(delim)
+    raw = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    numbered = raw.mapInArrow(_numbered(files, header), "value string, _ord bigint, _input int, _path string")
     cols = F.split(F.regexp_replace("value", "\r$", ""), "\\Q" + delim + "\\E", -1)
     at = lambda v: names.index(v) if isinstance(v, str) else v
     pick = lambda f: F.coalesce(F.get(cols, F.lit(at(mapped[f]))), F.lit("")) if f in mapped else F.lit(None).cast("string")
-    return lines.where(F.col("value") != "").select(*(pick(f).alias(f) for f in FIELDS[:4]), "_ord", "_input", "_path")
+    return numbered.select(*(pick(f).alias(f) for f in FIELDS[:4]), "_ord", "_input", "_path")
 
 
 def as_fasta(df: DataFrame, wrap: int | None = None) -> DataFrame:
@@ -270,15 +354,19 @@ def as_delimited(df: DataFrame, delim: str, fields: str = "id,desc,seq", ctx: Co
     return df.select(F.concat_ws(delim, *(compile_template(ctx or Context(), f, raw=True).printed() for f in split_list(fields))).alias("value"))
 
 
-def write_records(df: DataFrame, path: str, source: Format | None = None, fmt: str | None = None, fields: str = "id,desc,seq", wrap: int | None = None, qual_path: str | None = None, mode: str = "errorifexists", ctx: Context | None = None) -> Format:
-    """Writes a folder of text parts in input order; gz and bz2 by Spark's codecs. Returns the format written."""
+def write_records(df: DataFrame, path: str, source: Format | None = None, fmt: str | None = None, fields: str = "id,desc,seq", wrap: int | None = None, qual_path: str | None = None, mode: str = "errorifexists", level: int | None = None, ctx: Context | None = None) -> Format:
+    """Writes a folder of text parts in input order. Returns the format written.
+
+    gz and bz2 are written by Spark's codecs; lz4 and zstd, and any codec with a ``level``, by this library (mode errorifexists, overwrite or append).
+    """
     source = source or Format()
     f = resolve_output(path, source, fmt)
-    codec = {None: "none", "gz": "gzip", "bz2": "bzip2"}.get(f.compression)
-    if codec is None:
-        raise ValueError(f"Spark's text sink writes no {f.compression}; use write_one_file")
     ordered = df.orderBy("_ord") if "_ord" in df.columns else df
-    lines(ordered, f, source, fields, wrap, ctx).write.mode(mode).option("compression", codec).text(path)
+    text = lines(ordered, f, source, fields, wrap, ctx)
+    if f.compression in ("lz4", "zstd") or (f.compression and level is not None):
+        _write_parts(text.select(F.lit("part").alias("_out"), "value"), path, f.compression, level, mode, f.name)
+    else:
+        text.write.mode(mode).option("compression", {None: "none", "gz": "gzip", "bz2": "bzip2"}[f.compression]).text(path)
     if qual_path:
         as_scores(ordered, source.quality).write.mode(mode).text(qual_path)
     return f
@@ -296,8 +384,7 @@ def write_dropped(kept: DataFrame, dropped: DataFrame, path: str, dropped_path:
     write_records(dropped, dropped_path, **options)
 
 
-def _compress(path: str, data: bytes, level: int | None) -> bytes:
-    kind = COMPRESSION.get(path.rsplit(".", 1)[-1].lower())
+def _compress(kind: str | None, data: bytes, level: int | None) -> bytes:
     if kind == "gz":
         import gzip
 
@@ -311,36 +398,78 @@ def _compress(path: str, data: bytes, level: int | None) -> bytes:
 
         return zstandard.ZstdCompressor(level=3 if level is None else level).compress(data)
     if kind == "lz4":
-        raise ValueError("lz4 files need the lz4 package")
+        return pa.Codec("lz4", compression_level=level).compress(data, asbytes=True)
     return data
 
 
-def write_split(df: DataFrame, root: str, source: Format | None = None, level: int | None = None, **options) -> DataFrame:
-    """Each record of ``split_paths`` to the file its ``_out`` names under ``root``; returns (path, n).
+def _write_parts(rows: DataFrame, root: str, compression: str | None, level: int | None, mode: str, suffix: str = "") -> list[tuple[str, int]]:
+    """Writes rows (_out, value) below ``root``, a file for each path and task; returns the rows of each path.
 
-    Records are range-partitioned by path and place, so a large path spreads over tasks; a task appends its part of a path
-    as a file of its own (<path>.partN) but the first, and concatenated parts are valid files in all formats and codecs.
+    Tasks write to a folder of their attempt and tell what they wrote; only what the successful attempts told is moved to
+    its place, so a repeated or lost attempt leaves nothing. Concatenated parts are valid files in all formats and codecs.
     """
-    source = source or Format()
-
-    def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fs, inner = file_system(root)
+    there = fs.get_file_info(inner).type != pafs.FileType.NotFound
+    if there and mode == "errorifexists":
+        raise ValueError(f"{root} exists")
+    if there and mode == "overwrite":
+        fs.delete_dir(inner)
+    mark = uuid.uuid4().hex[:12]
+    temporary = f"{inner.rstrip('/')}/_temporary-{mark}"
+    ending = f".{suffix}.{ {'gz': 'gz', 'bz2': 'bz2', 'zstd': 'zst', 'lz4': 'lz4'}[compression]}" if suffix and compression else f".{suffix}" if suffix else ""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        task = TaskContext.get()
+        fs, _ = file_system(root)
+        part, attempt = task.partitionId(), f"{temporary}/{task.partitionId():05d}-{task.taskAttemptId()}"
         counts: dict[str, int] = {}
-        for b in rows:
+        open_: dict[str, pafs.FileSystem] = {}
+        for b in batches:
             groups: dict[str, list[str]] = {}
             for out, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 groups.setdefault(out, []).append(value)
             for out, values in groups.items():
-                stem, dot, ext = out.partition(".")
-                full = os.path.join(root, f"{stem}.part{part:05d}{dot}{ext}")
-                os.makedirs(os.path.dirname(full), exist_ok=True)
-                with open(full, "ab" if out in counts else "wb") as f:
-                    f.write(_compress(out, ("\n".join(values) + "\n").encode(), level))
+                # rows come sorted by path, so a path that is left doesn't come back
+                for other in [o for o in open_ if o not in groups]:
+                    open_.pop(other).close()
+                if out not in open_:
+                    stem, dot, ext = out.partition(".")
+                    name = f"{attempt}/{stem}-{mark}.part{part:05d}{dot}{ext}{ending}"
+                    fs.create_dir(os.path.dirname(name), recursive=True)
+                    open_[out] = fs.open_output_stream(name, compression=None)
+                kind = compression or COMPRESSION.get(out.rsplit(".", 1)[-1].lower())
+                open_[out].write(_compress(kind, ("\n".join(values) + "\n").encode(), level))
                 counts[out] = counts.get(out, 0) + len(values)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["path", "n"])
+        for f in open_.values():
+            f.close()
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([attempt] * len(counts), pa.string())], names=["path", "n", "attempt"])
+
+    try:
+        done = rows.mapInArrow(write, "path string, n bigint, attempt string").collect()  # a row a file, as committers keep them
+        for attempt in {r["attempt"] for r in done}:
+            for f in fs.get_file_info(pafs.FileSelector(attempt, recursive=True)):
+                if f.is_file:
+                    target = f"{inner.rstrip('/')}/{f.path[f.path.index(attempt) + len(attempt) + 1 :]}"
+                    fs.create_dir(os.path.dirname(target), recursive=True)
+                    fs.move(f.path, target)
+    finally:
+        if fs.get_file_info(temporary).type != pafs.FileType.NotFound:
+            fs.delete_dir(temporary)
+    total: dict[str, int] = {}
+    for r in done:
+        total[r["path"]] = total.get(r["path"], 0) + r["n"]
+    return sorted(total.items())
+
+
+def write_split(df: DataFrame, root: str, source: Format | None = None, level: int | None = None, mode: str = "append", **options) -> DataFrame:
+    """Each record of ``split_paths`` to the file its ``_out`` names under ``root``; returns (path, n).
 
+    Records are range-partitioned by path and place, so a large path spreads over tasks; each task writes its part of a path
+    as a file of its own. The number of paths is small against the rows, as each is at least a file.
+    """
+    source = source or Format()
     # all paths share the format of the records; templates give the name alone
     f = resolve_output(options.pop("like", "x"), source, options.pop("fmt", None))
     keyed = df.select("_out", "_ord", *(c for c in ("id", "desc", "seq", "qual")))
@@ -352,4 +481,5 @@ def write_split(df: DataFrame, root: str, source: Format | None = None, level: i
     else:
         line = F.concat(head, F.lit("\n"), F.col("seq"))
     placed = keyed.select("_out", "_ord", line.alias("_line")).repartitionByRange("_out", "_ord").sortWithinPartitions("_out", "_ord").select("_out", "_line")
-    return placed.mapInArrow(write, "path string, n bigint").groupBy("path").agg(F.sum("n").alias("n"))
+    counts = _write_parts(placed.select("_out", F.col("_line").alias("value")), root, None, level, mode)
+    return df.sparkSession.createDataFrame(counts, "path string, n bigint")

@@ -9,7 +9,8 @@ from dataclasses import dataclass
 EXTENSIONS = {"fasta": "fasta", "fa": "fasta", "fna": "fasta", "fastq": "fastq", "fq": "fastq", "csv": "csv", "tsv": "tsv", "txt": "tsv", "qual": "qual"}
 COMPRESSION = {"gz": "gz", "gzip": "gz", "bz2": "bz2", "bzip2": "bz2", "lz4": "lz4", "zst": "zstd", "zstd": "zstd"}
 DEFAULT = "fasta"
-ENVIRONMENT = "ST_FORMAT"
+#: The variable of the environment that names a format where none is given.
+ENVIRONMENT = "STRANDFRAME_FORMAT"
 
 
 @dataclass(frozen=True)
