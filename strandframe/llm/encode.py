@@ -7,8 +7,9 @@ query: rows of token positions join the merge table, each word's leftmost pair o
 rank is contracted, and this repeats until no word has a pair left. Ids of words are then
 gathered back in text order. Texts are never cut short; ids of null and empty texts are [].
 
-A worker keeps at most ``CACHE_WORDS`` words. A word of more than ``LONG_WORD`` bytes goes to
-the tokenizers library, as the recursive query takes time in proportion to the square of its length.
+A worker keeps at most ``CACHE_WORDS`` words. A round of the query contracts one pair of each word, so its time grows
+with the square of a word's length; a word of more than ``LONG_WORD`` bytes is contracted by array
+operations that take all of its pairs of lowest rank at once. The result is the same: a merge makes no pair of lower rank than its own.
 """
 
 from __future__ import annotations
@@ -106,6 +107,9 @@ class Encoder:
         vocab, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         letters = byte_letters()
         self.byte_id = np.array([vocab[x] for x in letters], np.int32)
+        pairs = np.array([vocab[a] << 16 | vocab[b] for a, b in merges], np.int64)
+        self.by_pair = np.argsort(pairs)  # the ranks in the order of their pairs
+        self.pairs, self.merged = pairs[self.by_pair], np.array([vocab[a + b] for a, b in merges], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         table = pa.table({"pair": pa.array([vocab[a] * 65536 + vocab[b] for a, b in merges], pa.int64()), "rank": pa.array(range(len(merges)), pa.int64()), "id": pa.array([vocab[a + b] for a, b in merges], pa.int32())})
         self.db.register("m", table)
@@ -125,17 +129,30 @@ class Encoder:
         self.known: dict[bytes, int] = {}
         self.starts, self.lens, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _long(self, word: bytes) -> np.ndarray:
-        from tokenizers import Tokenizer
-
-        if not hasattr(self, "library"):
-            self.library = Tokenizer.from_file(self.path)
-            self.library.encode_special_tokens = True
-        return np.array(self.library.encode(word.decode(), add_special_tokens=False).ids, np.int32)
+    def contract(self, word: bytes) -> np.ndarray:
+        """Ids of a word of any length: each round merges the pairs of lowest rank, from the left where they overlap."""
+        ids, none = self.byte_id[np.frombuffer(word, np.uint8)], len(self.pairs)
+        while len(ids) > 1:
+            pair = ids[:-1].astype(np.int64) << 16 | ids[1:]
+            at = np.minimum(np.searchsorted(self.pairs, pair), none - 1)
+            rank = np.where(self.pairs[at] == pair, self.by_pair[at], none)
+            least = int(rank.min())
+            if least == none:
+                break
+            hit = np.flatnonzero(rank == least)
+            # of pairs that follow one another (as in aaa) every second one
+            run = np.concatenate([[True], np.diff(hit) > 1])
+            begin = np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
+            hit = hit[(np.arange(len(hit)) - begin) % 2 == 0]
+            ids = ids.copy()
+            ids[hit] = self.merged[least]
+            ids = np.delete(ids, hit + 1)
+        return ids
 
     def learn(self, words: list[bytes]) -> None:
         """Merges words that aren't known yet."""
         short = [w for w in words if len(w) <= LONG_WORD]
+        names, lens, ids = [], [], []
         for i in range(0, len(short), WORDS_AT_ONCE):
             part = short[i : i + WORDS_AT_ONCE]
             offsets = np.concatenate([[0], np.cumsum([len(w) for w in part])])
@@ -143,11 +160,16 @@ class Encoder:
             self.db.register("words", pa.table({"w": pa.array(np.arange(len(part)), pa.int64()), "ids": first}))
             merged = self.db.sql(MERGE).to_arrow_table().column("ids").combine_chunks()
             self.db.unregister("words")
-            self._keep(part, np.diff(merged.offsets.to_numpy()), merged.flatten().to_numpy())
+            names += part
+            lens.append(np.diff(merged.offsets.to_numpy()))
+            ids.append(merged.flatten().to_numpy())
         for w in words:
             if len(w) > LONG_WORD:
-                ids = self._long(w)
-                self._keep([w], np.array([len(ids)]), ids)
+                names.append(w)
+                ids.append(self.contract(w))
+                lens.append([len(ids[-1])])
+        if names:
+            self._keep(names, np.concatenate(lens), np.concatenate(ids))
 
     def _keep(self, words: list[bytes], lens: np.ndarray, ids: np.ndarray) -> None:
         at = len(self.known)

@@ -252,6 +252,16 @@ def test_encode_against_library(texts):
     assert encode.decode(encode.TOKENIZER, got) == texts
 
 
+def test_long_words(library):
+    rng = random.Random(4)
+    coder = encode.Encoder.of(encode.TOKENIZER)
+    words = ["a" * n for n in (1, 2, 3, 513, 514, 515, 2047)] + ["".join(rng.choices("abcdefgh", k=3000)), "".join(rng.choices("ACGT", k=20_000)), "=-" * 700, "é" * 600, "ab" * 2000 + "b" * 999]
+    for w in words:
+        assert coder.contract(w.encode()).tolist() == library.encode(w, add_special_tokens=False).ids
+    offsets, ids = coder.encode(words)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [library.encode(w, add_special_tokens=False).ids for w in words]
+
+
 def test_encode_frame(spark, library):
     texts = ["", None, "Hello <|endoftext|> world's", "x" * 3000, " " * 700, "a b " * 5000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
