@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,24 +12,37 @@ LOWEST = -(1 << 30)
 
 
 def global_alignment(a: str, b: str) -> tuple[str, str]:
-    """Both texts with gaps. Three layers: pair (0), gap in b (1), gap in a (2); a pair is preferred in ties."""
+    """Both texts with gaps. Three layers: pair (0), gap in b (1), gap in a (2); a pair is preferred in ties.
+
+    Each row is a few array operations; a byte a cell keeps the layers that the cell's three layers come from.
+    """
     n, m = len(a), len(b)
-    best = [[[LOWEST] * (m + 1) for _ in range(n + 1)] for _ in range(3)]
-    back = [[[0] * (m + 1) for _ in range(n + 1)] for _ in range(3)]
-    best[0][0][0] = 0
+    other = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
+    column, new = np.arange(m + 1), GAP_OPEN + GAP_EXTEND
+    back = np.zeros((n + 1, m + 1), np.uint8)
+    above = np.full((3, m + 1), LOWEST)
     for i in range(n + 1):
-        for j in range(m + 1):
-            for layer, di, dj in ((0, 1, 1), (1, 1, 0), (2, 0, 1)):
-                if i < di or j < dj or (i, j) == (0, 0):
-                    continue
-                gain = (MATCH if a[i - 1] == b[j - 1] else MISMATCH) if layer == 0 else 0
-                options = [best[k][i - di][j - dj] + gain + (0 if layer == 0 else GAP_EXTEND if k == layer else GAP_OPEN + GAP_EXTEND) for k in range(3)]
-                k = max(range(3), key=options.__getitem__)
-                best[layer][i][j], back[layer][i][j] = options[k], k
-    layer = max(range(3), key=lambda k: best[k][n][m])
+        row = np.full((3, m + 1), LOWEST)
+        source = np.zeros((3, m + 1), np.uint8)
+        if i:
+            pair = np.where(other == ord(a[i - 1]), MATCH, MISMATCH)
+            source[0, 1:] = above[:, :-1].argmax(axis=0)
+            row[0, 1:] = above[:, :-1].max(axis=0) + pair
+            down = np.stack([above[0] + new, above[1] + GAP_EXTEND, above[2] + new])
+            source[1], row[1] = down.argmax(axis=0), down.max(axis=0)
+        else:
+            row[0, 0] = 0
+        # a gap in a begins after the best cell to the left, less its length
+        best = np.maximum(row[0], row[1]) - GAP_EXTEND * column
+        row[2, 1:] = np.maximum(np.maximum.accumulate(best)[:-1] + GAP_OPEN + GAP_EXTEND * column[1:], LOWEST)
+        along = np.stack([row[0, :-1] + new, row[1, :-1] + new, row[2, :-1] + GAP_EXTEND])
+        source[2, 1:] = along.argmax(axis=0)
+        back[i] = source[0] | source[1] << 2 | source[2] << 4
+        above = row
+    layer = int(above[:, m].argmax())
     i, j, x, y = n, m, [], []
     while i or j:
-        before = back[layer][i][j]
+        before = int(back[i, j]) >> 2 * layer & 3
         x.append(a[i - 1] if layer != 2 else "-")
         y.append(b[j - 1] if layer != 1 else "-")
         i, j = i - (layer != 2), j - (layer != 1)

@@ -149,10 +149,10 @@ def sort_seq(s, d):
     return basic.sort(reads(s, d), "seq").limit(200).select("id", "seq")
 
 
-@query(f"WITH {A} SELECT id, regexp_extract(\"desc\", 'size=(\\d+)', 1)::DOUBLE AS size FROM a WHERE \"desc\" LIKE '%size=%' ORDER BY 2 DESC, ord LIMIT 200")
+@query(f"WITH {A} SELECT id, CASE WHEN \"desc\" LIKE '%size=%' THEN regexp_extract(\"desc\", 'size=(\\d+)', 1)::DOUBLE END AS size FROM a ORDER BY 2 DESC NULLS FIRST, ord LIMIT 200")
 def sort_attr(s, d):
     ctx = Context(attr_format=AttrFormat(";", "="))
-    a = amplicons(s, d).where(F.col("desc").contains("size=")).withColumn("desc", F.concat(F.lit(";"), F.col("desc")))
+    a = amplicons(s, d).withColumn("desc", F.concat(F.lit(";"), F.col("desc")))
     return basic.stat(basic.sort(a, "{num(opt_attr('size'))}", True, ctx).limit(200), ["{num(opt_attr('size'))}"], ctx, ["size"])
 
 
@@ -188,19 +188,18 @@ def unique_count(s, d):
     return basic.stat(u, ["n_duplicates", "n_duplicates(false)"], keyed.unique_context(), ["n_duplicates", "others"])
 
 
-@query(f"WITH {A} SELECT min_by(id, ord) AS id, string_agg(id, ',' ORDER BY ord) AS duplicates_list FROM a WHERE seq <> '' GROUP BY upper(seq)")
+@query(f"WITH {A} SELECT min_by(id, ord) AS id, string_agg(id, ',' ORDER BY ord) AS duplicates_list FROM a GROUP BY upper(seq)")
 def unique_list(s, d):
-    return keyed.unique(amplicons(s, d).where("seq <> ''"), "upper_seq", with_list=True).select("id", "duplicates_list")
-
-
-@query(f"WITH {A}, k AS (SELECT id, ord, least(seq, {COMPLEMENT}) AS s FROM (SELECT id, ord, upper(seq) AS seq FROM a WHERE regexp_full_match(seq, '[ACGTacgt]+'))) SELECT min_by(id, ord) AS id, count(*) AS n FROM k GROUP BY s")
-def unique_strand(s, d):
-    a = amplicons(s, d).where(F.col("seq").rlike("^[ACGTacgt]+$"))
-    return keyed.unique(a, "seqhash_min(true)").select("id", F.col("n_duplicates").alias("n"))
+    return keyed.unique(amplicons(s, d), "upper_seq", with_list=True).select("id", "duplicates_list")
 
 
 @query(f"WITH {A}, k AS (SELECT id, ord, least(seq, {ANY_COMPLEMENT}) AS s FROM (SELECT id, ord, upper(seq) AS seq FROM a)) SELECT min_by(id, ord) AS id, count(*) AS n FROM k GROUP BY s")
 def unique_strand_all(s, d):
+    return unique_strand(s, d)
+
+
+@query(SQL["unique_strand_all"])
+def unique_strand(s, d):
     return keyed.unique(amplicons(s, d), "seqhash_min(true)").select("id", F.col("n_duplicates").alias("n"))
 
 
@@ -214,22 +213,22 @@ def map_long_star(s, d):
     return keyed.unique_map(reads(s, d), "seq", "long-star")
 
 
-WIDE = f"WITH {A} SELECT {{}} AS value FROM a WHERE seq <> '' GROUP BY seq"
+WIDE = f"WITH {A} SELECT {{}} AS value FROM a GROUP BY seq"
 
 
 @query(WIDE.format("string_agg(id, chr(9) ORDER BY ord)"))
 def map_wide(s, d):
-    return keyed.unique_map(amplicons(s, d).where("seq <> ''"), "seq", "wide")
+    return keyed.unique_map(amplicons(s, d), "seq", "wide")
 
 
 @query(WIDE.format("min_by(id, ord) || chr(9) || string_agg(id, ',' ORDER BY ord)"))
 def map_wide_comma(s, d):
-    return keyed.unique_map(amplicons(s, d).where("seq <> ''"), "seq", "wide-comma")
+    return keyed.unique_map(amplicons(s, d), "seq", "wide-comma")
 
 
 @query(WIDE.format("min_by(seq, ord) || chr(9) || string_agg(id, chr(9) ORDER BY ord)"))
 def map_wide_key(s, d):
-    return keyed.unique_map(amplicons(s, d).where("seq <> ''"), "seq", "wide-key")
+    return keyed.unique_map(amplicons(s, d), "seq", "wide-key")
 
 
 CONDITION = "(length(seq) - length(translate(seq, 'ACGT', ''))) / greatest(length(seq), 1) >= 0.99 AND length(seq) >= 60"
@@ -337,14 +336,13 @@ def interleave(s, d):
     return keyed.interleave(a, a).select("id", "seq", F.col("_ord").alias("ord"))
 
 
-@query(ZIP + f" SELECT id, seq || 'NNN' || {COMPLEMENT} AS seq, p AS ord FROM z WHERE NOT regexp_matches(seq, '[Uu]')")
-def concat(s, d):
-    a = amplicons(s, d).where(~F.col("seq").rlike("[Uu]"))
-    return keyed.concat(a, basic.revcomp(a), spacer=3).select("id", "seq", F.col("_ord").alias("ord"))
-
-
 @query(ZIP + f" SELECT id, seq || 'NNN' || {ANY_COMPLEMENT} AS seq, p AS ord FROM z")
 def concat_all(s, d):
+    return concat(s, d)
+
+
+@query(SQL["concat_all"])
+def concat(s, d):
     a = amplicons(s, d)
     return keyed.concat(a, basic.revcomp(a), spacer=3).select("id", "seq", F.col("_ord").alias("ord"))
 
@@ -364,9 +362,9 @@ def revcomp(s, d):
     return basic.revcomp(reads(s, d), "dna").select("id", "seq", "qual")
 
 
-@query(f"WITH {R} SELECT id, substr(seq, 3, greatest(length(seq) - 4, 0)) || right(seq, 3) AS seq FROM r WHERE length(seq) >= 8")
+@query(f"WITH {R} SELECT id, substr(seq, 3, greatest(length(seq) - 4, 0)) || right(seq, 3) AS seq FROM r")
 def trim(s, d):
-    return basic.trim(reads(s, d).where(F.length("seq") >= 8), "3:-3,-3:").select("id", "seq")
+    return basic.trim(reads(s, d), "3:-3,-3:").select("id", "seq")
 
 
 @query(f"WITH {R} SELECT id, substr(seq, 1, 4) || translate(substr(seq, 5, 6), '{UP}', '{LOW}') || substr(seq, 11) AS seq FROM r")
@@ -456,7 +454,7 @@ REGEX = r"seqtable@(\d+)\.(\d+)"
 @query(f"WITH {D} SELECT id, regexp_extract(seq, '{REGEX}', 1) AS major, regexp_extract(seq, '{REGEX}', 2) AS minor FROM d WHERE regexp_matches(seq, '{REGEX}')")
 def find_group(s, d):
     se = search.Search(search.pattern_of(REGEX), regex=True)
-    f = search.matched(search.find(documents(s, d).where(search.has_match(se)), se))
+    f = search.matched(search.find(documents(s, d), se))
     return basic.stat(f, "match_group(1),match_group(2)", search.find_context(se), ["major", "minor"])
 
 

@@ -300,10 +300,46 @@ def test_samples_and_slices(spark):
         basic.slice_records(df, 0, 3)
 
 
+def score(x, y):
+    """The score of an alignment, counted column by column."""
+    total, gap = 0, None
+    for p, q in zip(x, y):
+        own = "x" if p == "-" else "y" if q == "-" else None
+        total += (align.GAP_EXTEND + (align.GAP_OPEN if own != gap else 0)) if own else align.MATCH if p == q else align.MISMATCH
+        gap = own
+    return total
+
+
 def test_alignment():
-    assert align.global_alignment("ACGT", "ACGT") == ("ACGT", "ACGT")
-    a, b = align.global_alignment("AACCGGTTAACCGGTT", "AACCGGTTCCGGTT")
-    assert len(a) == len(b) == 16 and a.replace("-", "") == "AACCGGTTAACCGGTT" and b.replace("-", "") == "AACCGGTTCCGGTT"
+    def best(a, b):
+        """The best score, over all ways of going on."""
+        from functools import cache
+
+        @cache
+        def rest(i, j, gap):
+            if i == len(a) and j == len(b):
+                return 0
+            ways = []
+            if i < len(a) and j < len(b):
+                ways.append((align.MATCH if a[i] == b[j] else align.MISMATCH) + rest(i + 1, j + 1, None))
+            for own, di, dj in (("y", 1, 0), ("x", 0, 1)):
+                if i + di <= len(a) and j + dj <= len(b):
+                    ways.append(align.GAP_EXTEND + (align.GAP_OPEN if gap != own else 0) + rest(i + di, j + dj, own))
+            return max(ways)
+
+        return rest(0, 0, None)
+
+    rng = random.Random(3)
+    pairs = [("", ""), ("", "AC"), ("ACGT", ""), ("ACGT", "ACGT"), ("AACCGGTTAACCGGTT", "AACCGGTTCCGGTT"), ("é🧬A", "éA")]
+    for _ in range(60):
+        a = "".join(rng.choices("ACG", k=rng.randint(0, 14)))
+        pairs.append((a, "".join(c for c in a if rng.random() < 0.8) + "".join(rng.choices("ACG", k=rng.randint(0, 9)))))
+    for a, b in pairs:
+        x, y = align.global_alignment(a, b)
+        assert len(x) == len(y) and x.replace("-", "") == a and y.replace("-", "") == b and ("-", "-") not in zip(x, y)
+        assert score(x, y) == best(a, b)
+    x, y = align.global_alignment("ACGT" * 1000, "ACGT" * 990)
+    assert len(x) == len(y) == 4000
 
 
 def test_ranks_of_whole_tables(spark):
