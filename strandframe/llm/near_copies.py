@@ -141,17 +141,22 @@ def _windows(cp: np.ndarray, width: int) -> np.ndarray:
 
 def _two_bits(cp: np.ndarray, *widths: int) -> list[np.ndarray]:
     """Codes of the windows of each width below 32, two bits a character: the bits in which A, C, G and T differ."""
-    c = (cp >> 1 & 3).astype(np.uint64)
+    c = (cp >> 1 & 3).astype(np.uint32)
     later = lambda x, by: np.concatenate([x[by:], np.zeros(min(by, len(x)), x.dtype)]) if by else x
-    out, done, w = [np.zeros(len(c), np.uint64) for _ in widths], [0] * len(widths), 1
+    out: list[np.ndarray | None] = [None for _ in widths]
+    done, w = [0] * len(widths), 1
     while w < 32:
         for i, width in enumerate(widths):
             if width & w:
-                out[i] = (out[i] << np.uint64(2 * w)) | later(c, done[i])
+                part = later(c, done[i])
+                if out[i] is not None and w + done[i] > 16:
+                    out[i], part = out[i].astype(np.uint64), part.astype(np.uint64)
+                out[i] = part if out[i] is None else (out[i] << out[i].dtype.type(2 * w)) | part
                 done[i] += w
-        c = (c << np.uint64(2 * w)) | later(c, w)
+        if w < 16:  # 16 letters fill the 32 bits
+            c = (c << np.uint32(2 * w)) | later(c, w)
         w *= 2
-    return out
+    return [x.astype(np.uint64) for x in out]
 
 
 def _parts(codes: np.ndarray) -> np.ndarray:
@@ -404,6 +409,10 @@ def _forest(edges: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(center[at : at + (1 << 16)], pa.int64()), pa.array(ids[at : at + (1 << 16)], pa.int64())], names=["center", "id"])
 
 
+#: Edges that a task of ``components`` takes.
+FOREST = 1 << 22
+
+
 def _stars(most: int):
     """Rows of CHUNKS, sorted by bucket and falling kind, to (center, id); the center is the smallest id of a value, or -1 where the value is too common."""
 
@@ -454,12 +463,37 @@ def _star_edges(chunks: DataFrame, partitions: int) -> DataFrame:
     return chunks.repartitionById(partitions, F.col("bucket") % partitions).sortWithinPartitions("bucket", F.desc("kind")).mapInArrow(_stars(COMMON_TOTAL), "center bigint, id bigint")
 
 
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a task, as few as connect the same ids; no more than 2 * FOREST are held at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for b in batches:
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        if sum(len(a) for a, _ in held) > 2 * FOREST:
+            less = list(_forest(held))
+            held = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in less]
+            if sum(len(a) for a, _ in held) > FOREST:
+                yield from less
+                held = []
+    if held:
+        yield from _forest(held)
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of the nodes of ``edges`` (a, b), by contraction to the smallest neighbour.
+    """(id, component) of the nodes of ``edges`` (a, b), which aren't negative; the component is its smallest id.
 
-    Each round writes its edges; they at least halve the nodes of a component that is left.
+    Tasks of FOREST edges or so first keep what connects their ids. What they leave is contracted to the smallest neighbour; each
+    round writes its edges, and they at least halve the nodes of a component that is left. If all edges are no more than one
+    such task takes, nothing is left to contract.
     """
-    left = stage(edges.where("a <> b").distinct(), "edges")
+    first = stage(edges.where("a <> b").distinct(), "edges")
+    tasks = -(-first.count() // FOREST)
+    if not tasks:
+        return edges.sparkSession.createDataFrame([], "id bigint, component bigint")
+    left = stage(first.repartition(tasks, "a").mapInArrow(_forests, "a bigint, b bigint"), "edges")
+    release(first)
+    if tasks == 1:
+        whole = left.select(F.col("b").alias("id"), F.col("a").alias("component"))
+        return whole.union(left.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
     labels: DataFrame | None = None
     parents = []
     while left.head(1):
@@ -474,8 +508,6 @@ def components(edges: DataFrame) -> DataFrame:
             labels = parent.select(F.col("a").alias("id"), F.col("p").alias("component"))
         else:
             labels = labels.join(parent.withColumnRenamed("a", "component"), "component", "left").select("id", F.coalesce("p", "component").alias("component"))
-    if labels is None:
-        return edges.sparkSession.createDataFrame([], "id bigint, component bigint")
     out = stage(labels, "components")
     release(left, *parents)
     return out

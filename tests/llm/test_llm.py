@@ -385,3 +385,19 @@ def test_spans_that_overlap():
     (out,) = pii._cover([pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["abcdefghij"]), pa.array([[span("phone", 3, 8), span("person_name", 0, 4)]])], names=["doc_id", "text", "spans"])])
     assert out.column(1).to_pylist() == ["[PHONE]ij"]
     assert pii.united([span("email", 1, 3), span("phone", 3, 5)]) == [(1, 3, "email"), (3, 5, "phone")]
+
+
+def test_components_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "FOREST", 16)
+    rng = random.Random(13)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(3)
+    got = {r["id"]: r["component"] for r in near_copies.components(df).collect()}
+    parent = {x: x for e in edges for x in e}
+    for _ in range(500):
+        for a, b in edges:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    assert got == {x: p for x, p in parent.items() if any(x in e and e[0] != e[1] for e in edges)}
+    monkeypatch.undo()
+    assert {r["id"]: r["component"] for r in near_copies.components(df).collect()} == got
+    assert near_copies.components(df.limit(0)).collect() == []
