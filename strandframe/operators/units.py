@@ -11,12 +11,17 @@ formats of one offset apart (illumina and solexa, or numbers).
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 FORMATS = ("sanger", "illumina", "solexa", "phred")
 OFFSET = {"sanger": 33, "illumina": 64, "solexa": 64}
 
@@ -80,42 +85,65 @@ def phred_scores(scores: Column, fmt: Column) -> Column:
     )
 
 
+CODES = "struct<n:int,total:bigint,least:int,most:int,phred_sum:bigint>"
+_SOLEXA = np.floor(10.0 * np.log10(10.0 ** ((np.arange(128) - 64) / 10.0) + 1.0) + 0.5).astype(np.int64)
+
+
+def _code_sums(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """For scores that aren't empty and their format: the number of codes, their sum, least and most, and the sum of the Phred scores; all texts of a batch at once."""
+    for scores, fmt in batches:
+        texts, names = scores.to_pylist(), np.array(fmt.to_pylist(), object)
+        cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        n = np.fromiter(map(len, texts), np.int64, len(texts))
+        first = np.cumsum(n) - n
+        total, least, most = np.add.reduceat(cp, first), np.minimum.reduceat(cp, first), np.maximum.reduceat(cp, first)
+        # codes beyond ASCII have scores far above any other; the formula gives their distance from 64
+        solexa = np.add.reduceat(np.where(cp < 128, _SOLEXA[np.minimum(cp, 127)], cp - 64), first)
+        sums = np.select([names == "sanger", names == "illumina", names == "solexa"], [total - 33 * n, total - 64 * n, solexa], 0)
+        for i in np.flatnonzero(names == "phred"):
+            sums[i] = sum(map(int, re.findall(r"-?[0-9]+", texts[i])))
+        yield pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(total), pa.array(least, pa.int32()), pa.array(most, pa.int32()), pa.array(sums)], names=["n", "total", "least", "most", "phred_sum"])
+
+
+def _read(sets: DataFrame, runs: DataFrame, penalty: float, tolerance: float, scores: bool) -> DataFrame:
+    """(set_no, orig_format, phred_sum) of rows with a known format, with their ``scores`` if asked for; formats as the segments of their source leave them."""
+    time = F.col("measured_at").cast("timestamp") if "measured_at" in sets.columns else F.lit(None).cast("timestamp")
+    sets = sets.where(F.col("scores") != "").select("set_no", "run_id", "orig_format", "remark", "scores", F.unix_micros(time).alias("_at"))
+    named = with_format(sets, runs).where(F.col("fmt").isNotNull()).withColumn("_c", F.arrow_udf(_code_sums, CODES)("scores", "fmt"))
+    offset = F.when(F.col("fmt") == "sanger", 33).when(F.col("fmt").isin("illumina", "solexa"), 64)
+    # names and codes are read once
+    named = stage(named.select("set_no", F.coalesce("run_id", F.lit("")).alias("_run"), offset.alias("_offset"), "_at", "fmt", "_c.*", *(["scores"] if scores else [])), "levels")
+    level = F.log(F.greatest(F.lit(1.0), F.col("total") / F.col("n")))
+    levels = history(named.where("_offset IS NOT NULL AND _at IS NOT NULL"), ["_run", "_offset"], F.col("_at"), level)
+    # few segments are off, each is told by the blocks of time it reaches into
+    off = segments_of(levels, ["_run", "_offset"], penalty, tolerance).where("to IS NOT NULL")
+    off = off.select("_run", "_offset", "first_at", "last_at", "to", F.explode(F.sequence(F.shiftright("first_at", 36), F.shiftright("last_at", 36))).alias("_span")).alias("o")
+    rows = named.withColumn("_span", F.shiftright("_at", 36)).alias("r")
+    same = (F.col("r._run") == F.col("o._run")) & (F.col("r._offset") == F.col("o._offset")) & (F.col("r._span") == F.col("o._span")) & F.col("r._at").between(F.col("o.first_at"), F.col("o.last_at"))
+    # an exact check of what the segment says: some code can't be one of the named format
+    lowest = F.when(F.col("fmt") == "sanger", 33).when(F.col("fmt") == "illumina", 64).otherwise(59)
+    moved = F.col("to").isNotNull() & ((F.col("least") < lowest) | (F.col("most") > 126))
+    read = F.when(moved, F.when(F.col("to") == 33, "sanger").otherwise("illumina")).otherwise(F.col("fmt"))
+    phred_sum = F.when(moved, F.col("total") - F.col("n") * F.col("to")).otherwise(F.col("phred_sum"))
+    return rows.join(off, same, "left").select("set_no", read.alias("orig_format"), phred_sum.alias("phred_sum"), *(["scores"] if scores else []))
+
+
 def to_phred(sets: DataFrame, runs: DataFrame, penalty: float = 8.0, tolerance: float = 0.08) -> DataFrame:
     """(set_no, orig_format, phred) of rows with non-empty scores and a known format.
 
     Null or empty scores, unknown labels and runs that aren't listed leave a row out. Rows
     delivered twice stay two rows. Rows without a time belong to no history and keep the named format. ``runs`` has one row per run_id.
     """
-    time = F.col("measured_at").cast("timestamp") if "measured_at" in sets.columns else F.lit(None).cast("timestamp")
-    sets = sets.where(F.col("scores") != "").select("set_no", "run_id", "orig_format", "remark", "scores", time.alias("measured_at"))
-    named = with_format(sets, runs).where(F.col("fmt").isNotNull())
-    named = named.withColumn("_offset", F.when(F.col("fmt") == "sanger", 33).when(F.col("fmt").isin("illumina", "solexa"), 64)).withColumn("_run", F.coalesce("run_id", F.lit("")))
-    coded = named.where(F.col("_offset").isNotNull() & F.col("measured_at").isNotNull())
-    at = F.unix_micros("measured_at")
-    sources = segments_of(history(coded, ["_run", "_offset"], at, _codes(F.col("scores"))), ["_run", "_offset"], penalty, tolerance)
-    # few segments are off, each is told by the blocks of time it reaches into
-    off = sources.where("to IS NOT NULL").select("_run", "_offset", "first_at", "last_at", "to", F.explode(F.sequence(F.shiftright("first_at", 36), F.shiftright("last_at", 36))).alias("_span"))
-    off = off.select("_run", "_offset", "_span", "first_at", "last_at", "to").alias("o")
-    rows = named.withColumn("_at", at).withColumn("_span", F.shiftright("_at", 36)).alias("r")
-    same = F.col("r._run").eqNullSafe(F.col("o._run")) & (F.col("r._offset") == F.col("o._offset")) & (F.col("r._span") == F.col("o._span")) & F.col("r._at").between(F.col("o.first_at"), F.col("o.last_at"))
-    rows = rows.join(off, same, "left").select("r.set_no", "r.scores", "r.fmt", F.col("o.to").alias("to"))
-    read = F.when(F.col("to").isNotNull() & ~_possible(F.col("scores"), F.col("fmt")), F.when(F.col("to") == 33, "sanger").otherwise("illumina")).otherwise(F.col("fmt"))
-    return rows.select("set_no", read.alias("orig_format"), phred_scores(F.col("scores"), read).alias("phred"))
+    return _read(sets, runs, penalty, tolerance, True).select("set_no", "orig_format", phred_scores(F.col("scores"), F.col("orig_format")).alias("phred"))
 
 
 def _codes(scores: Column) -> Column:
     return F.transform(F.filter(F.split(scores, ""), lambda c: c != ""), F.ascii)
 
 
-def _possible(scores: Column, fmt: Column) -> Column:
-    """Whether every code is one that the format has."""
-    least, most = F.array_min(_codes(scores)), F.array_max(_codes(scores))
-    return (least >= F.when(fmt == "sanger", 33).when(fmt == "illumina", 64).otherwise(59)) & (most <= 126)
-
-
-def phred_sums(sets: DataFrame, runs: DataFrame) -> DataFrame:
-    total = F.aggregate("phred", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return to_phred(sets, runs).select("set_no", "orig_format", total.alias("phred_sum")).distinct()
+def phred_sums(sets: DataFrame, runs: DataFrame, penalty: float = 8.0, tolerance: float = 0.08) -> DataFrame:
+    """(set_no, orig_format, phred_sum) of the rows of ``to_phred``, without duplicate rows."""
+    return _read(sets, runs, penalty, tolerance, False).distinct()
 
 
 def segment(x: np.ndarray, w: np.ndarray, penalty: float) -> list[int]:
@@ -164,18 +192,15 @@ NUMBERS = r"^[\s\[({]*-?[0-9]{1,3}(?:[\s,;|]+-?[0-9]{1,3})*[\s\])}]*$"
 BLOCK = 20_000
 
 
-def history(rows: DataFrame, keys: list[str], at: Column, values: Column) -> DataFrame:
+def history(rows: DataFrame, keys: list[str], at: Column, level: Column) -> DataFrame:
     """(keys, at, n, x, v): one weighted log level for each time stamp, combined on the map side, so rows of one time are no larger task than one row."""
-    # numbers may be zero or less, which have no log
-    level = F.greatest(F.lit(1.0), F.aggregate("_values", F.lit(0.0), lambda a, c: a + c) / F.size("_values"))
-    x = rows.select(*keys, at.alias("at"), values.alias("_values")).select(*keys, "at", F.log(level).alias("x"))
-    return x.groupBy(*keys, "at").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.var_pop("x").alias("v"))
+    return rows.select(*keys, at.alias("at"), level.alias("x")).groupBy(*keys, "at").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.var_pop("x").alias("v"))
 
 
-def segments_of(levels: DataFrame, keys: list[str], penalty: float, tolerance: float) -> DataFrame:
+def segments_of(levels: DataFrame, keys: list[str], penalty: float, tolerance: float, block: int = BLOCK) -> DataFrame:
     """Segments of each history: (keys, segment, first_at, last_at, n_sets, level, shift, matched, to).
 
-    Histories are sorted in ranges over all tasks and searched in blocks of BLOCK stamps; a second search over the segments of a
+    Histories are sorted in ranges over all tasks and searched in blocks of ``block`` stamps; a second search over the segments of a
     history joins what the ends of blocks have cut. A history of one block is searched exactly, of a longer one all changes but those
     that only show across the end of a block. ``shift`` is the change of the log level from the segment before, ``matched`` the
     offset change (0 are numbers) that fits it best; ``to`` is the offset that the segment has instead of 33 or 64 by its level
@@ -202,8 +227,8 @@ def segments_of(levels: DataFrame, keys: list[str], penalty: float, tolerance: f
                 if held and any(held[-1][k].iloc[0] != part[k].iloc[0] for k in keys):
                     yield close(pd.concat(held))
                     held = []
-                while sum(map(len, held)) + len(part) >= BLOCK:
-                    room = BLOCK - sum(map(len, held))
+                while sum(map(len, held)) + len(part) >= block:
+                    room = block - sum(map(len, held))
                     yield close(pd.concat([*held, part.iloc[:room]]))
                     held, part = [], part.iloc[room:]
                 if len(part):
@@ -247,6 +272,8 @@ def level_segments(sets: DataFrame, penalty: float = 8.0, tolerance: float = 0.0
     """
     numbers = F.transform(F.regexp_extract_all(F.col("scores"), F.lit(r"-?[0-9]+"), F.lit(0)), lambda x: x.cast("int"))
     values = F.when(F.col("scores").rlike(NUMBERS), numbers).otherwise(_codes(F.col("scores")))
-    rows = sets.where((F.col("scores") != "") & F.col("run_id").isNotNull() & F.col("measured_at").isNotNull())
-    found = segments_of(history(rows, ["run_id"], F.unix_micros(F.col("measured_at").cast("timestamp")), values), ["run_id"], penalty, tolerance)
+    rows = sets.where((F.col("scores") != "") & F.col("run_id").isNotNull() & F.col("measured_at").isNotNull()).select("run_id", F.unix_micros(F.col("measured_at").cast("timestamp")).alias("at"), values.alias("values"))
+    # numbers may be zero or less, which have no log
+    level = F.greatest(F.lit(1.0), F.aggregate("values", F.lit(0.0), lambda a, c: a + c) / F.size("values"))
+    found = segments_of(history(rows, ["run_id"], F.col("at"), F.log(level)), ["run_id"], penalty, tolerance)
     return found.select("run_id", "segment", F.timestamp_micros("first_at").alias("first_at"), F.timestamp_micros("last_at").alias("last_at"), "n_sets", "level", "shift", "matched")

@@ -5,6 +5,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from strandframe.operators import rejects, units
 
 
@@ -121,3 +123,33 @@ def test_segments_shorter_than_a_span(spark):
     got = sorted(units.level_segments(df).collect(), key=lambda r: r["segment"])
     assert [(r["n_sets"], r["matched"]) for r in got] == [(1500, None), (6, "33->64"), (1394, "64->33"), (100, "33->0")]
     assert got[1]["first_at"] == begin + timedelta(minutes=1500)
+
+
+def test_rows_coded_otherwise_than_named(spark):
+    """A stretch of a run whose codes can't be those of the named format is read with the other offset; rows in between that are named otherwise don't hide it."""
+    begin, rng = datetime(2024, 1, 1), np.random.default_rng(2)
+    text = lambda offset: "".join(chr(offset + int(x)) for x in rng.integers(24, 38, 20))
+    rows = []
+    for i in range(900):
+        name = "sanger" if i % 3 == 0 else "illumina 1.5"
+        wrong = 600 <= i < 640 and name != "sanger"
+        rows.append((i, "r1", name, None, text(33 if name == "sanger" or wrong else 64), begin + timedelta(minutes=i)))
+    rows += [(1000, "r1", "illumina 1.5", None, text(33), None), (1001, "r1", "illumina 1.5", None, "^^^^", begin + timedelta(minutes=610, seconds=30)), (1002, None, "illumina 1.5", None, "hhhh", begin)]
+    sets = spark.createDataFrame(rows, "set_no bigint, run_id string, orig_format string, remark string, scores string, measured_at timestamp").withColumn("to", F.lit(1)).withColumn("_span", F.lit("x")).repartition(5)
+    runs = spark.createDataFrame([("r1", "solexa")], "run_id string, qual_fmt string")
+    got = {r["set_no"]: (r["orig_format"], r["phred_sum"]) for r in units.phred_sums(sets, runs).collect()}
+    for i, _, name, _, scores, _ in rows:
+        wrong = 600 <= i < 640 and name != "sanger"
+        offset = 33 if name == "sanger" or wrong else 64
+        assert got[i] == ("sanger" if offset == 33 else "illumina", sum(ord(c) - offset for c in scores))
+
+
+def test_segments_across_blocks(spark):
+    """Blocks of a history are joined: changes within them are found, ends of blocks aren't changes."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(m, 0.05, n) for m, n in ((0, 330), (0.6, 75), (0, 401), (-0.7, 194))])
+    rows = [(k, i, 1, float(v) + k, 0.0) for k in (1, 2) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k int, at bigint, n bigint, x double, v double").repartition(4)
+    for block in (100, 1 << 20):
+        got = sorted(tuple(r) for r in units.segments_of(df, ["k"], 8.0, 0.08, block).select("k", "first_at", "last_at", "n_sets").collect())
+        assert got == [(k, a, b, b - a + 1) for k in (1, 2) for a, b in ((0, 329), (330, 404), (405, 805), (806, 999))]

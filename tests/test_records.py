@@ -369,3 +369,55 @@ def test_lists_longer_than_a_million(spark):
     u = spark.range(1).select(F.lit("a").alias("id"), F.concat(F.repeat(F.lit("a,"), n), F.lit("b")).alias("duplicates_list"), F.lit("").alias("key"), F.lit(n + 1).alias("n_duplicates"))
     got = basic.stat(u, ["duplicates_list(false)"], keyed.unique_context(), ["others"]).select(F.length("others"), F.substring("others", -1, 1)).first()
     assert tuple(got) == (2 * n - 1, "b")
+
+
+def test_attributes_taken_out(spark):
+    from strandframe.operators import basic as ops
+
+    df = make(spark, [("s", "a=2 b=3", "ATGCA"), ("t", "a=1", "AC")])
+    assert [(r["id"], r["desc"]) for r in ops.set_fields(df, id="{id}_{attr_del(a)}").collect()] == [("s_2", "b=3"), ("t_1", "")]
+    assert [r["desc"] for r in ops.set_attrs(df, append={"c": "{opt_attr_del('b')}"}).collect()] == ["a=2 c=3", "a=1 c=undefined"]
+    assert [(r["seq"], r["desc"]) for r in ops.trim(df, "{attr_del(a)}:").collect()] == [("TGCA", "b=3"), ("AC", "")]
+    assert [(r["id"], r["desc"]) for r in ops.filter_records(df, "attr_del('a') > 1").collect()] == [("s", "b=3")]
+    with pytest.raises(Exception, match="no attribute"):
+        ops.set_fields(df, id="{attr_del(b)}").collect()
+
+
+def test_scripts(spark, tmp_path):
+    from strandframe.lang import script
+
+    (tmp_path / "f.js").write_text("/* two */\nconst k = 2;\nfunction twice(x) { return x * k; }\nfunction kind(n, word) { if (twice(n) > 9) { return word + '}'; } else return 'no'; }")
+    ctx = script.load(Context(), f"file:{tmp_path}/f.js")
+    (tmp_path / "e.js").write_text("if (seqlen > 4) return 'big'; return 'small';")
+    df = make(spark, [("s", None, "ATGCA"), ("t", None, "AC")])
+    assert table(df, ["{kind(seqlen, 'yes')}", "{twice(seqlen)}", f"{{file:{tmp_path}/e.js}}"], ctx) == ["yes},10,big", "no,4,small"]
+    for bad in ("x = 1;", "function f(a) { return a;", "1 + 1"):
+        with pytest.raises(ExpressionError):
+            script.define(Context(), bad)
+    with pytest.raises(ExpressionError):
+        table(df, ["{twice(1, 2)}"], ctx)
+
+
+def test_view(spark):
+    from strandframe import show
+
+    df = make(spark, [("s", None, "ACGU-N"), ("t", None, "acgt" * 50)])
+    text = show.view(df, width=10, color=False).split("\n")
+    assert text[0].split() == ["s", "ACGU-N"] and text[1].endswith("acgtacgtac...")
+    assert "38;5;71mA" in show.view(df) and show.view(df, palette="grey") != show.view(df)
+    good = df.withColumn("qual", F.lit("IIIIII"))
+    assert "48;5;46" in show.view(good, quality="sanger") and "38;5;160" in show.view(make(spark, [("p", None, "MDEL")]))
+
+
+def test_keys_and_pattern_files(spark, tmp_path):
+    df = make(spark, READS)
+    x, ctx = basic.with_key(df, "seqlen,opt_attr(w)")
+    assert table(x, "key", ctx)[0] == "14,7"
+    got = keyed.compare(df, df.limit(3), "id").select("key", "category").collect()
+    assert {r["key"]: r["category"] for r in got} == {r[0]: "common" if i < 3 else "unique1" for i, r in enumerate(READS)}
+    (tmp_path / "p.fasta").write_text(">one first\nGATT\nACA\n>two\nCCGG\n")
+    assert search.read_patterns(spark, f"file:{tmp_path}/p.fasta") == (("one", "GATTACA"), ("two", "CCGG"))
+    assert search.read_patterns(spark, "ACG") == (("<pattern>", "ACG"),)
+    (tmp_path / "none.fasta").write_text("")
+    with pytest.raises(ExpressionError):
+        search.read_patterns(spark, f"file:{tmp_path}/none.fasta")

@@ -76,3 +76,39 @@ def test_streams(spark, tmp_path):
     once = streams.run_available(streams.unique_stream(src, "seq").select("seq"), "once", "append", str(tmp_path / "_c2"))
     assert sorted(r[0] for r in once.collect()) == ["AC", "G"]
     assert F is not None
+
+
+def test_lines_like_the_header_are_data(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.tsv").write_text("id\tseq\n1\tAC\nid\tseq\n\n2\tGG\r\n")
+    rows = files.read_records(spark, str(tmp_path), "tsv", fields="id:id,seq:seq").orderBy("_input", "_ord").collect()
+    assert [(r["_input"], r["id"], r["seq"]) for r in rows] == [(k, i, s) for k in (0, 1) for i, s in (("1", "AC"), ("id", "seq"), ("2", "GG"))]
+
+
+def test_quoted_files(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('id,text,seq\n1,"a, ""b""\nc",AC\n"2",,"G\r\nG"\n3\n')
+    rows = files.read_records(spark, str(tmp_path / "q.csv"), fields="id:id,desc:text,seq:seq", quoted=True).orderBy("_ord").collect()
+    assert [(r["id"], r["desc"], r["seq"]) for r in rows] == [("1", 'a, "b"\nc', "AC"), ("2", "", "G\r\nG"), ("3", "", "")]
+    (tmp_path / "w.csv").write_text('1,a"b,"AC"\n2,"x,y\n')
+    with pytest.raises(Exception, match="quotes|closed"):
+        files.read_records(spark, str(tmp_path / "w.csv"), quoted=True).collect()
+
+
+@pytest.mark.parametrize(("ext", "level"), [("gz", 1), ("gz", None), ("bz2", 3), ("zst", None), ("zst", 12), ("lz4", None), ("lz4", 9)])
+def test_codecs_and_levels(spark, tmp_path, ext, level):
+    df = spark.createDataFrame([(str(i), None, "ACGT" * (i % 5), None, i) for i in range(200)], "id string, desc string, seq string, qual string, _ord bigint").repartition(3)
+    path = str(tmp_path / f"o.fasta.{ext}")
+    files.write_records(df, path, level=level)
+    with pytest.raises(Exception, match="exist"):
+        files.write_records(df, path, level=level)
+    assert [r["seq"] for r in files.read_records(spark, path, "fasta").orderBy(F.col("id").cast("int")).collect()] == ["ACGT" * (i % 5) for i in range(200)]
+    files.write_records(df.limit(1), path, level=level, mode="overwrite")
+    assert files.read_records(spark, path, "fasta").count() == 1
+    assert not [p for p in tmp_path.rglob("*") if "_temporary" in p.name]
+
+
+def test_failed_writes_leave_nothing(spark, tmp_path):
+    df = spark.range(100).select(F.lit("x.fa").alias("_out"), F.when(F.col("id") == 99, F.raise_error(F.lit("broken")).cast("string")).otherwise(F.col("id").cast("string")).alias("value"))
+    with pytest.raises(Exception, match="broken"):
+        files._write_parts(df.repartition(4), str(tmp_path / "out"), None, None, "append")
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
