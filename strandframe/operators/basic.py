@@ -32,7 +32,9 @@ def number_records(df: DataFrame, spans: int = 1024) -> DataFrame:
     x = x.join(bounds, "_input").withColumn("_span", F.floor((F.col("_ord") - F.col("_lo")) / width)).drop("_lo", "_hi")
     counts = x.groupBy("_input", "_span").agg(F.count(F.lit(1)).alias("_n"))
     before = lambda w: F.sum("_n").over(w) - F.col("_n")
-    offsets = counts.select("_input", "_span", before(Window.partitionBy("_input").orderBy("_span")).alias("_in_file"), before(Window.orderBy("_input", "_span")).alias("_in_all"))
+    # the numbers before an input need one row an input, those before a span the rows of its input
+    inputs = counts.groupBy("_input").agg(F.sum("_n").alias("_n")).select("_input", before(Window.orderBy("_input")).alias("_before"))
+    offsets = counts.select("_input", "_span", before(Window.partitionBy("_input").orderBy("_span")).alias("_in_file")).join(inputs, "_input").select("_input", "_span", "_in_file", (F.col("_before") + F.col("_in_file")).alias("_in_all"))
     row = F.row_number().over(Window.partitionBy("_input", "_span").orderBy("_ord"))
     out = x.withColumn("_row", row).join(offsets, ["_input", "_span"]).withColumn("_num", F.col("_in_all") + F.col("_row")).withColumn("_file_num", F.col("_in_file") + F.col("_row"))
     return out.drop("_span", "_row", "_in_file", "_in_all", *([] if own else ["_input"]))

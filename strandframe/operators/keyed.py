@@ -90,6 +90,22 @@ def _same(a: list[str], b: list[str]) -> Column:
     return out
 
 
+def _occurrences(df: DataFrame, keys: list[str], name: str, spans: int = 1024) -> DataFrame:
+    """Adds the number of each row among those of its key, by ``_ord``.
+
+    Rows are numbered within spans of ``_ord``, and spans by their counts, so a key that holds most of the rows is many tasks.
+    """
+    bounds = df.agg(F.min("_ord").alias("_lo"), F.max("_ord").alias("_hi"))
+    lo, hi = bounds.select("_lo").scalar(), bounds.select("_hi").scalar()
+    width = F.greatest(F.lit(1), F.ceil((hi - lo + 1) / F.lit(spans)).cast("bigint"))
+    x = df.withColumn("_span", F.floor((F.col("_ord") - lo) / width))
+    counts = x.groupBy(*keys, "_span").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_span")) - F.col("_n")).select(*(F.col(k).alias(f"_b{k}") for k in keys), F.col("_span").alias("_bspan"), "_before")
+    row = F.row_number().over(Window.partitionBy(*keys, "_span").orderBy("_ord"))
+    numbered = x.withColumn("_row", row).join(before, _same([*keys, "_span"], [*(f"_b{k}" for k in keys), "_bspan"]))
+    return numbered.withColumn(name, F.col("_before") + F.col("_row")).drop("_row", "_before", "_bspan", "_span", *(f"_b{k}" for k in keys))
+
+
 def compare(left: DataFrame, right: DataFrame, keys: str | list[str] = "id,seqhash", unordered_duplicates: bool = False, ctx: Context | None = None) -> DataFrame:
     """Full outer comparison: ``category`` (common, unique1, unique2) and ``key``, as printed, with both sides' id, seq and ``_ord``.
 
@@ -101,10 +117,12 @@ def compare(left: DataFrame, right: DataFrame, keys: str | list[str] = "id,seqha
     b, kb = _keyed(right.withColumn("_key", shown()), keys, ctx, "b")
 
     def side(df: DataFrame, ks: list[str], s: str) -> DataFrame:
-        df = df.withColumn(f"_n{s}", F.row_number().over(Window.partitionBy(*ks).orderBy("_ord")))
-        if not unordered_duplicates:
-            df = df.withColumn(f"_n{s}", F.when(F.col(f"_n{s}") > 1, F.raise_error(F.concat(F.lit("key occurs twice: "), F.col("id"))).cast("int")).otherwise(F.col(f"_n{s}")))
-        return df.select(*ks, f"_n{s}", *(F.col(c).alias(f"{c}{s}") for c in ("id", "seq")), F.col("_ord").alias(f"_ord{s}"), F.col("_key").alias(f"_key{s}"))
+        fields = [F.col(c).alias(f"{c}{s}") for c in ("id", "seq", "_ord", "_key")]
+        if unordered_duplicates:
+            return _occurrences(df, ks, f"_n{s}").select(*ks, f"_n{s}", *fields)
+        one = df.select(*ks, F.struct(*fields).alias("_f")).groupBy(*ks).agg(F.first("_f").alias("_f"), F.count(F.lit(1)).alias("_c"))
+        number = F.when(F.col("_c") > 1, F.raise_error(F.concat(F.lit("key occurs twice: "), F.col(f"_f.id{s}"))).cast("int")).otherwise(1)
+        return one.select(*ks, number.alias(f"_n{s}"), "_f.*")
 
     j = side(a, ka, "1").join(side(b, kb, "2"), _same([*ka, "_n1"], [*kb, "_n2"]), "full_outer")
     category = F.when(F.col("_ord2").isNull(), "unique1").when(F.col("_ord1").isNull(), "unique2").otherwise("common")
