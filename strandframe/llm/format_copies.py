@@ -173,13 +173,14 @@ def copy_groups(records: DataFrame, id_col: str = "rec_no", seq_col: str = "seq"
     return tries.select(digest, "first_no", "copies"), partials.select(digest, "members")
 
 
-def copies_found(records: DataFrame, id_col: str = "rec_no", salts: int = 16, heavy: int = 100, **options) -> DataFrame:
+def copies_found(records: DataFrame, id_col: str = "rec_no", salts: int | None = None, heavy: int = 100, **options) -> DataFrame:
     """(first_<id>, <id>) of each record but the first of its copies; ids are unique.
 
     Members come as one row per task run. Runs with more than ``heavy`` members of a key
     are salted and the one row of a group so large is repeated for each salt, so a hot
-    group spreads over tasks.
+    group spreads over tasks; there are as many salts as shuffle partitions, 16 at least.
     """
+    salts = salts or max(16, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     groups, partials = copy_groups(records, id_col, **options)
     salt_of = F.when(F.size("members") > heavy, F.pmod(F.xxhash64(F.element_at("members", 1)), F.lit(salts))).otherwise(F.lit(0)).cast("int")
     all_salts = F.when(F.col("copies") > heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

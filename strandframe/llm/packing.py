@@ -109,11 +109,13 @@ def _ranked(df: DataFrame, key: str, id_col: str, salts: int) -> DataFrame:
     return salted.withColumn("row", row).join(before, [key, "salt"]).withColumn("rank", F.col("before") + F.col("row")).drop("salt", "before", "row")
 
 
-def pack_sizes(sizes: DataFrame, id_col: str, capacity: int, salts: int = 64) -> DataFrame:
+def pack_sizes(sizes: DataFrame, id_col: str, capacity: int, salts: int | None = None) -> DataFrame:
     """(id, part, container, position, n_ids) of each part of each row of ``sizes`` (id, n_ids > 0); ids are unique.
 
-    ``position`` is the place of the part's first id in its container, from 0.
+    ``position`` is the place of the part's first id in its container, from 0. Rows of one size are ranked in ``salts`` pieces, as many as
+    shuffle partitions and 64 at least.
     """
+    salts = salts or max(64, int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = sizes.where("n_ids > 0").select(id_col, "n_ids", F.expr(f"n_ids div {capacity}").alias("full"), F.expr(f"n_ids % {capacity}").alias("size"))
     items = parts.where("size > 0").select(id_col, "full", "size")
     counts = {int(r["size"]): int(r["n"]) for r in items.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
