@@ -357,6 +357,19 @@ def find_one_edit(s, d):
     return basic.stat(f, ["match_diffs"], search.find_context(se), ["diffs"])
 
 
+PRIMER = "GTCTCGAGTTTGACTAATTG"
+
+
+@query(
+    f"WITH {A}, e AS (SELECT id, min(levenshtein('{PRIMER}', substr(seq, s, n))) AS diffs FROM a, range(1, 6) AS x(s), range(16, 25) AS y(n) WHERE s + n - 1 <= length(seq) GROUP BY 1) SELECT id, diffs FROM e WHERE diffs <= 4"
+)
+def find_approx_diffs(s, d):
+    """The primer of find_approx: all records that begin with it within four letters, and its least differences."""
+    se = search.Search(search.pattern_of(PRIMER, "fwd"), max_diffs=4, anchor_start=4)
+    f = search.matched(search.find(amplicons(s, d), se))
+    return basic.stat(f, ["match_diffs"], search.find_context(se), ["diffs"])
+
+
 @query(f"WITH {A} SELECT id FROM a WHERE regexp_matches(seq, '{ONE_EDIT}')")
 def find_rate(s, d):
     se = search.Search(search.pattern_of(NEAR), max_rate=0.2)
