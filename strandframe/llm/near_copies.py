@@ -322,6 +322,7 @@ class _Chunks:
             if not values:
                 continue
             t, i = (np.concatenate(x) for x in zip(*values))
+            t = t * np.uint64(0x9E3779B97F4A7C15)  # the values of sketches are small numbers; buckets are cut by the first bits
             order = np.lexsort((i, t)) if kind == STARS else np.argsort(t)
             t, i = t[order], i[order]
             new = np.concatenate([[True], t[1:] != t[:-1]])
