@@ -288,17 +288,24 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _learn_names(graph: DataFrame, given: DataFrame, family: DataFrame, rounds: int, support: int, confidence: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(given, family, patterns) after ``rounds`` rounds over the graph (pattern, part_a, part_b, n)."""
+    """(given, family, patterns) after ``rounds`` rounds over the graph (pattern, part_a, part_b, n); each round writes one table of parts."""
     initial = F.col("part_a").rlike(r"^.\.$")
-    for _ in range(rounds):
+
+    def marked() -> DataFrame:
         known = graph.join(given.withColumn("ka", F.lit(True)), "part_a", "left").join(family.withColumn("kb", F.lit(True)), "part_b", "left")
-        known = known.withColumn("ka", F.coalesce("ka", F.lit(False))).withColumn("kb", F.coalesce("kb", F.lit(False)))
+        return known.withColumn("ka", F.coalesce("ka", F.lit(False))).withColumn("kb", F.coalesce("kb", F.lit(False)))
+
+    def scored(known: DataFrame) -> DataFrame:
         both = F.col("kb") & (F.col("ka") | initial)
         one = F.col("kb") | F.col("ka")
-        patterns = stage(
-            known.groupBy("pattern").agg(F.sum(F.when(both, F.col("n")).when(one, F.col("n") * 0.5).otherwise(0)).alias("hit"), F.sum("n").alias("n"), F.count(F.when(one, 1)).alias("distinct_hits")).select("pattern", "distinct_hits", (F.col("hit") / F.col("n")).alias("score")),
-            "patterns",
-        )
+        hit = F.sum(F.when(both, F.col("n")).when(one, F.col("n") * 0.5).otherwise(0))
+        return known.groupBy("pattern").agg(hit.alias("hit"), F.sum("n").alias("n"), F.count_if(one).alias("distinct_hits")).select("pattern", "distinct_hits", (F.col("hit") / F.col("n")).alias("score"))
+
+    for last in [False] * (rounds - 1) + [True]:
+        known = marked()
+        patterns = scored(known)
+        if last:
+            patterns = stage(patterns, "patterns")
         good = patterns.where((F.col("distinct_hits") >= support) & (F.col("score") >= confidence)).select("pattern").withColumn("good", F.lit(True))
         seen = known.join(good, "pattern", "left").withColumn("good", F.coalesce("good", F.lit(False)))
 
@@ -307,7 +314,9 @@ def _learn_names(graph: DataFrame, given: DataFrame, family: DataFrame, rounds:
             x = seen.groupBy(col).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("in_good"), F.max(other).alias("beside"))  # noqa: B023
             return x.where((F.col("in_good") >= 0.6 * F.col("n")) & F.col("beside") & (F.length(col) > 2)).select(col)
 
-        given, family = stage(given.union(parts("part_a", "kb")).distinct(), "given"), stage(family.union(parts("part_b", "ka")).distinct(), "family")
+        of = lambda kind, x, y: x.union(y).distinct().toDF("part").withColumn("kind", F.lit(kind))
+        both_kinds = stage(of("given", given, parts("part_a", "kb")).union(of("family", family, parts("part_b", "ka"))), "parts")
+        given, family = (both_kinds.where(F.col("kind") == k).select(F.col("part").alias(c)) for k, c in (("given", "part_a"), ("family", "part_b")))
     return given, family, patterns
 
 
