@@ -5,6 +5,7 @@ Queries of sources and sinks write the records of a whole table to the shared fo
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +17,17 @@ from ..lang.variables import Context
 from ..model import records, union_inputs
 from ..operators import align, basic, keyed, search
 from ..report import observed
-from ..session import shared_dir, table
+from ..session import drop_path, shared_dir, table
 from ..sources import files
 from ..streaming import records as streams
 from .record_queries import ANY_COMPLEMENT, A, D, PATTERN, R, STARTS, TILE, UP, LOW, amplicons, documents, query, reads
 
 
 def folder(s: SparkSession, name: str) -> str:
-    return f"{shared_dir(s).removeprefix('file://')}/{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder, dropped when the process ends."""
+    own = f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(drop_path, s, own)
+    return f"{own.removeprefix('file://')}/{name}"
 
 
 def scored(s: SparkSession, d: str) -> DataFrame:
