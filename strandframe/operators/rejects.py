@@ -98,6 +98,25 @@ def cut_quoted(lines: list[str], delim: str) -> list[list[str]]:
 REASONS = [None, "quoting", "columns", "seq", "qual", "layout"]
 
 
+def _fields(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: np.ndarray, has: np.ndarray) -> pa.Array:
+    """The text of one field of each line that has it, unquoted; null for the others."""
+    k = np.where(has, which, 0)
+    s, e = np.where(has, starts[k], 0), np.where(has, ends[k], 0)
+    quoted = has & (e > s) & (cp[s] == QUOTE)
+    s, n = s + quoted, e - s - 2 * quoted
+    row = np.repeat(np.arange(len(n)), n)
+    letters = cp[np.arange(len(row)) + np.repeat(s - (np.cumsum(n) - n), n)]
+    # within quotes they come in pairs, of which one stays
+    pair = (letters == QUOTE) & quoted[row]
+    if pair.any():
+        keep = ~pair | (np.cumsum(pair) % 2 == 1)
+        letters, row = letters[keep], row[keep]
+    width = 1 + (letters >= 0x80).astype(np.int64) + (letters >= 0x800) + (letters >= 0x10000)
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, width, len(n)))]).astype(np.int32)
+    data = letters.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    return pa.StringArray.from_buffers(len(n), pa.py_buffer(offsets), pa.py_buffer(data), pa.py_buffer(np.packbits(has, bitorder="little")))
+
+
 def _split(with_records: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,20 +124,16 @@ def _split(with_records: bool):
             n = b.num_rows
             if not n:
                 continue
-            num = lambda f: np.array(c[f].fill_null(-1).to_pylist(), np.int64)
+            num = lambda f: c[f].fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             lowest = np.array([LOWEST_CODE.get(f, LOWEST_CODE["sanger"]) for f in c["qual_fmt"].to_pylist()], np.uint32)
             text, reason, first, fs, fe = parse_lines(c["raw_line"].to_pylist(), c["delim"].to_pylist(), num("n_cols"), num("seq_col"), num("qual_col"), lowest)
-            out = {f: [None] * n for f in ("id", "descr", "seq", "qual")}
+            out = {f: pa.nulls(n, pa.string()) for f in ("id", "descr", "seq", "qual")}
             if with_records:
-                offset = np.concatenate([[0], np.cumsum([len(t) + 1 for t in text])])
+                cp = np.frombuffer("".join(t + "\n" for t in text).encode("utf-32-le", "surrogatepass"), np.uint32)
+                n_fields = np.diff(np.append(first, len(fs)))
                 for f, col in (("id", num("id_col")), ("descr", num("desc_col")), ("seq", num("seq_col")), ("qual", num("qual_col"))):
-                    to = out[f]
-                    for i in np.flatnonzero((reason == 0) & (col >= 0)):
-                        k = first[i] + col[i]
-                        if fs[k] <= offset[i + 1]:
-                            v = text[i][fs[k] - offset[i] : fe[k] - offset[i]]
-                            to[i] = v[1:-1].replace('""', '"') if v[:1] == '"' else v
-            yield pa.RecordBatch.from_arrays([c["line_no"].cast(pa.int64()), c["layout_id"].cast(pa.int32()), pa.array([REASONS[r] for r in reason], pa.string()), *(pa.array(out[f], pa.string()) for f in ("id", "descr", "seq", "qual"))], schema=OUT_ARROW)
+                    out[f] = _fields(cp, fs, fe, first + col, (reason == 0) & (col >= 0) & (col < n_fields))
+            yield pa.RecordBatch.from_arrays([c["line_no"].cast(pa.int64()), c["layout_id"].cast(pa.int32()), pa.array([REASONS[r] for r in reason], pa.string()), *out.values()], schema=OUT_ARROW)
 
     return run
 
