@@ -9,17 +9,21 @@ Two records are linked if the distinct substrings of ``k`` characters common to
 3. Each representative gets a sketch: the smallest hashes of its windows of ``width`` letters of which common ones cover at most
    ``COVERED`` (a window of some letters beside a shared end would tell little more than the end).
    ``width`` follows from the letters of the whole table, so that unrelated records share a value by chance in less than
-   ``CHANCE`` cases a record; the more windows are left out, the larger the sketch (see ``sketch_size``). Records that are short,
-   have fewer distinct windows than that or would need more than ``SKETCH_MOST`` values get ``BANDS`` min-hash bands
-   of ``ROWS`` values each of the substrings of ``k`` characters instead.
-4. Records with a value in common are joined to the smallest id among them, never in all pairs. A sketch value of more than
-   ``COMMON_TOTAL`` records joins none of them; all its records get bands. Connected components of these stars are candidates.
+   ``CHANCE`` cases a record; the more windows are left out, the larger the sketch (see ``sketch_size``). A record with fewer windows
+   than that gives all of them, so no link is left to chance. Records that are short, repeat themselves or have too little
+   beside common windows get ``BANDS`` min-hash bands of ``ROWS`` values each of the substrings of ``k`` characters instead.
+4. Records with a sketch value in common are pairs. Two that share more than one value are joined, so are the records of a value of
+   more than ``GROUP`` records or of a band (to the smallest number among them, never in all pairs). A sketch value of more than
+   ``COMMON_TOTAL`` records joins none of them; all its records get bands. Connected components of what is joined are candidates.
 5. Components are compared in blocks by bit planes (see ``bitplanes``), then exactly by their sets. A component
    larger than a block is cut into blocks by hash, and each pair of blocks is a task of its own.
+6. Pairs of one shared value whose records are in different components are mostly chance. Each is compared on its own, so chance
+   adds pairs in proportion to the records, but never joins components.
 
 Values travel in chunks: a task sorts the values of many records, closes what is common in it already (a band becomes a star on
 the spot, a value above ``COMMON_TOTAL`` a mark) and writes the rest as byte planes, one row a bucket of values. So a hot value
-costs each task some rows at most, and no value is a row of its own.
+costs each task some rows at most, and no value is a row of its own. Records are numbered in the order in which they are stored,
+so those of a chunk are a few runs of numbers, and only the bits of a value are kept that tell apart all values of the table.
 
 Step 3 is the only one that may miss a link: two records just at the threshold whose edits are spread as evenly as
 can be have no value in common with a probability of about 1e-4, far less elsewhere (measured recall: see the README).
@@ -38,22 +42,29 @@ from pyspark.sql import functions as F
 from ..session import release, stage
 from .bitplanes import parities, planes_for, within
 
-SKETCH, SKETCH_MOST, PART, LEAST_WIDTH = 24, 80, 12, 16
+SKETCH, SKETCH_MOST, PART, LEAST_WIDTH = 24, 128, 12, 16
 #: Letters of a window that common parts may cover.
 COVERED = 4
-MISS, CHANCE = 1e-4, 0.1
+MISS, CHANCE = 1e-4, 0.5
+#: Share of the windows that a link must leave to both, in the worst case, if sketches are to find it.
+LEAST_BOTH = 0.02
 BANDS, ROWS = 64, 4
 SHORT = 96
 COMMON_LEAST = 256
 #: A sketch value of more records than this joins none of them; all its records get bands.
 COMMON_TOTAL = 512
+#: Records of a value that are taken in pairs.
+GROUP = 16
 BLOCK = 1024
 #: Sets marked at once, and pairs looked up at once, in the exact comparison.
 TABLE, PAIRS = 32, 2048
 #: Records whose values a task sorts together, and values a bucket is meant to hold.
 CHUNK, BUCKET = 1 << 16, 1 << 21
+#: Values of a record, for the size of a table of values; bits of a value beyond those that number all; runs of numbers a chunk may have.
+MEAN, SPARE, RUNS = 80, 10, 64
 PARTS, SLICES = 1 << 20, 64
 
+GROUPS = "center bigint, id bigint, part int, sizes binary, ids binary"
 PACKED = "id bigint, digest binary, packed binary, text string, n int"
 CHUNKS = "bucket int, kind int, n int, tokens binary, ids binary"
 SKETCHES, STARS, HOT = 0, 1, 2
@@ -224,16 +235,16 @@ def window_width(letters: int) -> int:
 
 
 def sketch_size(excluded: float, k: int, threshold: float, width: int) -> int:
-    """The sketch values a record needs so that it shares one with a linked record but for a chance of MISS; more than SKETCH_MOST where no sketch does.
+    """The sketch values a record needs so that it shares one with a linked record but for a chance of MISS; 0 where no sketch does.
 
     The worst case: all of the excluded share is common to both, and edits are spread evenly over the rest.
     """
     kept = (2 * threshold / (1 + threshold) - excluded) / max(1 - excluded, 1e-9)
     both = min(1 - (1 - kept) * width / k, 1.0)
-    if both <= 0:
-        return SKETCH_MOST + 1
+    if both < LEAST_BOTH:
+        return 0
     similar = both / (2 - both)
-    return SKETCH if similar > 0.99 else min(max(SKETCH, math.ceil(math.log(MISS) / math.log(1 - similar))), SKETCH_MOST + 1)
+    return SKETCH if similar > 0.99 else max(SKETCH, math.ceil(math.log(MISS) / math.log(1 - similar)))
 
 
 _MULT = np.random.default_rng(20).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -280,9 +291,10 @@ def sketches(b: pa.RecordBatch, frequent: np.ndarray, width: int, k: int, sizes:
         bounds = np.searchsorted(key, np.arange(len(n) + 1, dtype=np.uint64) << np.uint64(64 - PIECE)) if len(n) < 1 << PIECE else np.append(np.searchsorted(key, np.arange(len(n), dtype=np.uint64) << np.uint64(64 - PIECE)), len(key))
         own = np.diff(bounds)
         size = np.array(sizes)[-(-100 * excluded // np.maximum(1, excluded + own))]
-        enough = (size <= SKETCH_MOST) & (own >= size) & (n - (k - 1) >= SHORT)
+        whole = (own >= SKETCH) & (2 * own >= np.maximum(n - width + 1, 0) - excluded)  # all windows are as good as any number of them
+        enough = (size > 0) & ((own >= size) | whole) & (n - (k - 1) >= SHORT)
         key <<= np.uint64(PIECE)
-        take = np.minimum(np.minimum(size, SKETCH_MOST), own)
+        take = np.minimum(np.where(enough, size, SKETCH_MOST), own)
         tokens += [key[a : a + m] for a, m in zip(bounds.tolist(), take.tolist())]
         few = np.flatnonzero(~enough)
         small = _windows(cp, k) if len(few) else None
@@ -305,12 +317,35 @@ def _of_planes(data: bytes, n: int) -> np.ndarray:
     return eight.view(">u8").ravel().astype(np.uint64)
 
 
+def _runs(ids: np.ndarray) -> np.ndarray:
+    """(first number, numbers before) of the runs of consecutive numbers in ``ids``; one run from the smallest where there would be more than RUNS."""
+    own = _distinct(ids)
+    new = np.flatnonzero(np.concatenate([[True], np.diff(own) != 1]))
+    if len(new) > RUNS:
+        new = new[:1]
+    return np.stack([own[new], new])
+
+
+def _by_runs(i: np.ndarray, runs: np.ndarray) -> bytes:
+    at = np.searchsorted(runs[0], i, "right") - 1
+    return runs.shape[1].to_bytes(8, "little") + runs.tobytes() + _planes((i - runs[0][at] + runs[1][at]).view(np.uint64))
+
+
+def _of_runs(data: bytes, n: int) -> np.ndarray:
+    k = int.from_bytes(data[:8], "little")
+    first, before = np.frombuffer(data, np.int64, 2 * k, 8).reshape(2, k)
+    rank = _of_planes(data[8 + 16 * k :], n).view(np.int64)
+    at = np.searchsorted(before, rank, "right") - 1
+    return rank - before[at] + first[at]
+
+
 class _Chunks:
     """Collects values of records and gives them as rows of CHUNKS."""
 
-    def __init__(self, buckets: int) -> None:
-        self.buckets, self.rows = buckets, 0
+    def __init__(self, buckets: int, bits: int) -> None:
+        self.buckets, self.shift, self.rows = buckets, np.uint64(64 - bits), 0
         self.values: dict[int, list] = {SKETCHES: [], STARS: []}
+        self.own: list[np.ndarray] = []
 
     def add(self, kind: int, tokens: np.ndarray, ids: np.ndarray) -> None:
         self.values[kind].append((tokens, ids))
@@ -318,6 +353,7 @@ class _Chunks:
     def flush(self) -> pa.RecordBatch | None:
         out: list[tuple] = []
         edges: list[tuple[np.ndarray, np.ndarray]] = []
+        self.runs = _runs(np.concatenate(self.own)) if self.own else None
         for kind, values in self.values.items():
             if not values:
                 continue
@@ -338,7 +374,7 @@ class _Chunks:
                 out += self._cut(HOT, t[hot & new], i[hot & new])
                 t, i = t[~hot], i[~hot]
             out += self._cut(kind, t, i)
-        self.values, self.rows = {SKETCHES: [], STARS: []}, 0
+        self.values, self.own, self.rows = {SKETCHES: [], STARS: []}, [], 0
         for a, b in edges:
             for at in range(0, len(a), BUCKET):
                 out.append((int(b[at] % self.buckets), -1, len(a[at : at + BUCKET]), a[at : at + BUCKET].astype(np.int64).tobytes(), b[at : at + BUCKET].astype(np.int64).tobytes()))
@@ -352,23 +388,24 @@ class _Chunks:
         bounds = [*np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(t)] if len(t) else []
         out = []
         for a, b in zip(bounds, bounds[1:]):
-            low = int(i[a:b].min())
-            # steps between sorted values are small, so their upper bytes compress; the last byte of a value isn't kept
-            steps = np.diff(t[a:b] >> np.uint64(8), prepend=np.uint64(0))
-            out.append((int(bucket[a]), kind, int(b - a), _planes(steps), low.to_bytes(8, "little", signed=True) + _planes((i[a:b] - low).view(np.uint64))))
+            # steps between sorted values are small, so their upper bytes compress; the last bits of a value aren't kept
+            short = t[a:b] >> self.shift
+            out.append((int(bucket[a]), kind, int(b - a), short[:1].tobytes() + _planes(np.diff(short, prepend=short[:1])), _by_runs(i[a:b], self.runs)))
         return out
 
 
-def _values(common_bits: np.ndarray, width: int, k: int, threshold: float, buckets: int, all_bands: bool):
+def _values(common_bits: np.ndarray, width: int, k: int, threshold: float, buckets: int, bits: int, all_bands: bool):
     """(id, packed, text, n) to CHUNKS: sketches, and bands of records that need them, or only bands of all."""
     sizes = [sketch_size(x / 100, k, threshold, width) for x in range(101)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, chunks = np.unpackbits(common_bits).astype(bool), _Chunks(buckets)
+        frequent, chunks = np.unpackbits(common_bits).astype(bool), _Chunks(buckets, bits)
         for b in batches:
             if not len(b):
                 continue
             ids = b.column(0).to_numpy()
+            if chunks.rows and chunks.rows + len(ids) > CHUNK and (out := chunks.flush()):
+                yield out
             texts = pa.RecordBatch.from_arrays(b.columns[1:], names=["packed", "text", "n"])
             if all_bands:
                 cp, first, n = _letters(*texts.columns)
@@ -380,9 +417,8 @@ def _values(common_bits: np.ndarray, width: int, k: int, threshold: float, bucke
             banded = [x is not None for x in bands]
             if any(banded):
                 chunks.add(STARS, np.concatenate([x for x in bands if x is not None]), np.repeat(ids[banded], BANDS))
+            chunks.own.append(ids)
             chunks.rows += len(ids)
-            if chunks.rows >= CHUNK and (out := chunks.flush()):
-                yield out
         if out := chunks.flush():
             yield out
 
@@ -414,27 +450,56 @@ def _forest(edges: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBat
 FOREST = 1 << 22
 
 
-def _stars(most: int):
-    """Rows of CHUNKS, sorted by bucket and falling kind, to (center, id); the center is the smallest id of a value, or -1 where the value is too common."""
+def _edges(center: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(ids))
+    return pa.RecordBatch.from_arrays([pa.array(center, pa.int64()), pa.array(ids, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary())], names=["center", "id", "part", "sizes", "ids"])
+
+
+def _stars(most: int, parts: int):
+    """Rows of CHUNKS, sorted by bucket and falling kind, to GROUPS.
+
+    A row has an edge (center, id); the center is the smallest id of a value, or -1 where the value is too common. Or it has the
+    ids of many values, each in 2 to GROUP records; the smallest decides the part.
+    """
+    of_part = lambda x: (_mix(x.view(np.uint64)) % np.uint64(parts)).view(np.int64)
 
-    def close(kind: int, t: np.ndarray, i: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def close(kind: int, t: np.ndarray, i: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
         order = np.argsort(t, kind="stable")
         t, i = t[order], i[order]
         start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         size = np.diff(np.append(start, len(t)))
         center = np.minimum.reduceat(i, start)
-        if kind == SKETCHES:
-            center = np.where((size > most) | np.isin(t[start], hot), -1, center)
-        return np.repeat(center, size), i
+        if kind != SKETCHES:
+            return np.repeat(center, size), i, []
+        center = np.where((size > most) | np.isin(t[start], hot), -1, center)
+        few = (center >= 0) & (size > 1) & (size <= GROUP)
+        whole = np.repeat(~few, size)
+        which = np.flatnonzero(few)
+        which = which[np.lexsort((center[which], of_part(center[which])))]
+        part, n = of_part(center[which]), size[which]
+        first = np.cumsum(n) - n
+        members = i[np.repeat(start[which] - first, n) + np.arange(n.sum())]
+        cut = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else [], len(part)).astype(int)
+        ends = np.append(first, len(members))
+        groups = []
+        for a, b in zip(cut, cut[1:]):
+            own = members[ends[a] : ends[b]]
+            low = int(own.min())
+            groups.append((int(part[a]), n[a:b].astype(np.uint8).tobytes(), low.to_bytes(8, "little", signed=True) + _planes((own - low).view(np.uint64))))
+        return np.repeat(center, size)[whole], i[whole], groups
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, hot = None, [], np.zeros(0, np.uint64)
         edges: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def done() -> None:
+        def done() -> Iterator[pa.RecordBatch]:
             if held:
-                a, b = close(key[1], np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), hot)
+                a, b, groups = close(key[1], np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), hot)
                 edges.append((a[a != b], b[a != b]))
+                if groups:
+                    none = pa.nulls(len(groups), pa.int64())
+                    part, sizes, ids = zip(*groups)
+                    yield pa.RecordBatch.from_arrays([none, none, pa.array(part, pa.int32()), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["center", "id", "part", "sizes", "ids"])
 
         for b in batches:
             for bucket, kind, n, tokens, ids in zip(*(c.to_pylist() for c in b.columns)):
@@ -442,26 +507,66 @@ def _stars(most: int):
                     edges.append((np.frombuffer(tokens, np.int64), np.frombuffer(ids, np.int64)))
                 else:
                     if key != (bucket, kind):
-                        done()
+                        yield from done()
                         hot = hot if key and key[0] == bucket else np.zeros(0, np.uint64)
                         key, held = (bucket, kind), []
-                    t = np.cumsum(_of_planes(tokens, n))
+                    t = np.cumsum(_of_planes(tokens[8:], n)) + np.frombuffer(tokens, np.uint64, 1)
                     if kind == HOT:
                         hot = np.append(hot, t)
                     else:
-                        held.append((t, _of_planes(ids[8:], n).view(np.int64) + int.from_bytes(ids[:8], "little", signed=True)))
+                        held.append((t, _of_runs(ids, n)))
                 if sum(len(a) for a, _ in edges) > 8 * BUCKET:
-                    yield from _forest(edges)
-                    edges = []
-        done()
+                    yield from (_edges(*x.columns) for x in _forest(edges))
+                    edges.clear()
+        yield from done()
         if edges:
-            yield from _forest(edges)
+            yield from (_edges(*x.columns) for x in _forest(edges))
 
     return run
 
 
-def _star_edges(chunks: DataFrame, partitions: int) -> DataFrame:
-    return chunks.repartitionById(partitions, F.col("bucket") % partitions).sortWithinPartitions("bucket", F.desc("kind")).mapInArrow(_stars(COMMON_TOTAL), "center bigint, id bigint")
+def _groups(chunks: DataFrame, partitions: int) -> DataFrame:
+    return chunks.repartitionById(partitions, F.col("bucket") % partitions).sortWithinPartitions("bucket", F.desc("kind")).mapInArrow(_stars(COMMON_TOTAL, partitions), GROUPS)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, sizes, ids) of groups, sorted by part, to (a, b, sure): edges of records that share two values or more, as few as connect them, and pairs of one shared value that those don't connect."""
+
+    def of(sizes: list[np.ndarray], ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        size, (nodes, i) = np.concatenate(sizes), np.unique(np.concatenate(ids), return_inverse=True)
+        start = np.cumsum(size) - size
+        keys = []
+        for m in np.unique(size).tolist():
+            own = np.sort(i[start[size == m][:, None] + np.arange(m)].astype(np.uint64), axis=1)
+            x, y = np.triu_indices(m, 1)
+            keys.append((own[:, x] << np.uint64(32) | own[:, y]).ravel())
+        key = np.sort(np.concatenate(keys))
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n, key = np.diff(np.append(first, len(key))), key[first]
+        a, b = (key >> np.uint64(32)).view(np.int64), (key & np.uint64(0xFFFFFFFF)).view(np.int64)
+        label = np.arange(len(nodes))
+        if (n > 1).any():
+            for x in _forest([(a[n > 1], b[n > 1])]):
+                center, node = x.column(0).to_numpy(), x.column(1).to_numpy()
+                label[node] = center
+                yield row(nodes[center], nodes[node], True)
+        apart = (n == 1) & (label[a] != label[b])
+        yield row(nodes[a[apart]], nodes[b[apart]], False)
+
+    def row(a: np.ndarray, b: np.ndarray, sure: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), sure), pa.bool_())], names=["a", "b", "sure"])
+
+    key, sizes, ids = None, [], []
+    for batch in batches:
+        for part, size, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if sizes and part != key:
+                yield from of(sizes, ids)
+                sizes, ids = [], []
+            key = part
+            sizes.append(np.frombuffer(size, np.uint8).astype(np.int64))
+            ids.append(_of_planes(data[8:], int(sizes[-1].sum())).view(np.int64) + int.from_bytes(data[:8], "little", signed=True))
+    if sizes:
+        yield from of(sizes, ids)
 
 
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -612,6 +717,26 @@ def _shared(x: np.ndarray, y: np.ndarray, code: np.ndarray, start: np.ndarray, c
     return out
 
 
+def _verify(k: int, threshold: float):
+    """(a, b, texts of a, texts of b) to the pairs (a, b) that are linked, a < b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), PAIRS):
+                b = whole.slice(at, PAIRS)
+                m = len(b)
+                both = [pa.concat_arrays([b.column(2 + c), b.column(5 + c)]) for c in range(3)]
+                row, code, _ = _numbers(*_letters(*both), k)
+                count = np.bincount(row, minlength=2 * m)
+                key = np.sort((row % m).astype(np.uint64) << np.uint64(40) | code.view(np.uint64))
+                shared = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(40)).view(np.int64), minlength=m)
+                near = shared >= threshold * (count[:m] + count[m:] - shared) - 1e-9
+                x, y = b.column(0).to_numpy()[near], b.column(1).to_numpy()[near]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return run
+
+
 def near_copies(df: DataFrame, id_col: str, text_col: str, k: int = 8, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """(links, copies): links (a, b, a < b) between representatives, copies (id, rep) of exact copies but their representative.
 
@@ -622,29 +747,41 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, k: int = 8, threshold
     text = F.upper(F.col(text_col))
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("digest"), text.alias("text")).where(F.length("text") >= k)
     one = rows.mapInArrow(_pack, PACKED).groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("packed", "text", "n")).alias("t"))
-    reps = stage(one.select("id", F.when(F.col("copies") > 1, F.col("digest")).alias("digest"), "t.*"), "texts")
+    reps = stage(one.select(F.monotonically_increasing_id().alias("num"), "id", F.when(F.col("copies") > 1, F.col("digest")).alias("digest"), "t.*"), "texts")
     classes = reps.where("digest IS NOT NULL").select("digest", F.col("id").alias("rep"))
     copies = stage(rows.select("id", "digest").join(classes, "digest").where("id <> rep").select("id", "rep"), "copies")
 
-    texts = reps.select("id", "packed", "text", "n")
+    texts = reps.select("num", "packed", "text", "n")
     common, number, letters = common_parts(reps)
     width = window_width(letters)
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-number * SKETCH_MOST // BUCKET))
-    buckets = partitions
-    stars = stage(_star_edges(texts.mapInArrow(_values(common, width, k, threshold, buckets, False), CHUNKS), partitions), "stars")
-    edges = stars.where("center <> -1")
-    if stars.where("center = -1").head(1):
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(shuffled, -(-number * MEAN // BUCKET))
+    bits = min(56, (max(1, number) * MEAN).bit_length() + SPARE)
+    values = lambda of, all_bands: of.mapInArrow(_values(common, width, k, threshold, partitions, bits, all_bands), CHUNKS)
+    groups = stage(_groups(values(texts, False), partitions), "groups")
+    pairs = stage(groups.where("part IS NOT NULL").select("part", "sizes", "ids").repartitionById(partitions, "part").sortWithinPartitions("part").mapInArrow(_pairs, "a bigint, b bigint, sure boolean"), "pairs")
+    edges = groups.where("center <> -1").select(F.col("center").alias("a"), F.col("id").alias("b")).union(pairs.where("sure").select("a", "b"))
+    if groups.where("center = -1").head(1):
         # two records that share a value too common for a star both hold it, so both get bands
-        often = texts.join(stars.where("center = -1").select("id").distinct(), "id", "left_semi")
-        edges = edges.union(_star_edges(often.mapInArrow(_values(common, width, k, threshold, buckets, True), CHUNKS), partitions))
-    member = components(edges.select(F.col("center").alias("a"), F.col("id").alias("b")))
-    release(stars)
+        often = texts.join(groups.where("center = -1").select(F.col("id").alias("num")).distinct(), "num", "left_semi")
+        edges = edges.union(_groups(values(often, True), partitions).select(F.col("center").alias("a"), F.col("id").alias("b")))
+    member = components(edges)
+    release(groups)
     size = member.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     blocks = F.ceil(F.col("size") / F.lit(2 * BLOCK)).cast("int")
-    placed = member.join(size, "component").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int"))
-    placed = placed.select("id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    full = placed.join(texts, "id").select("component", "i", "j", "own", "id", "packed", "text", "n")
-    links = full.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), number // (32 * BLOCK)), "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_compare(k, threshold), "a bigint, b bigint")
+    placed = member.withColumnRenamed("id", "num").join(size, "component").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("num"), F.col("blocks").cast("bigint")).cast("int"))
+    placed = placed.select("num", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("num", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    full = placed.join(reps, "num").select("component", "i", "j", "own", "id", "packed", "text", "n")
+    links = full.repartition(max(shuffled, number // (32 * BLOCK)), "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_compare(k, threshold), "a bigint, b bigint")
+
+    single = pairs.where("NOT sure").select("a", "b").distinct()
+    for c in "ab":
+        single = single.join(member.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
+    single = single.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    for c in "ab":
+        single = single.join(reps.select(F.col("num").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("id", "packed", "text", "n"))), c)
+    alone = single.select("id_a", "id_b", *(f"{x}_{c}" for c in "ab" for x in ("packed", "text", "n"))).mapInArrow(_verify(k, threshold), "a bigint, b bigint")
+    links = links.union(alone)
     return links, copies
 
 

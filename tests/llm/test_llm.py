@@ -217,6 +217,70 @@ def test_large_components_are_cut_into_blocks(spark, monkeypatch):
     assert got == brute(rows, 8, 0.6)
 
 
+def test_sketches_suffice_in_large_tables():
+    # texts with shared ends, windows as wide as 6 GB of such texts make them
+    rng = random.Random(12)
+    dna = lambda n: "".join(rng.choices("ACGT", k=n))
+    ends = dna(20), dna(20)
+    texts = [ends[0] + dna(n) + ends[1] for n in range(110, 400, 5)]
+    common = np.zeros(near_copies.PARTS, bool)
+    for e in ends:
+        common[near_copies._parts(near_copies._two_bits(np.frombuffer(e.encode(), np.uint8), near_copies.PART)[0][: 21 - near_copies.PART])] = True
+    tokens, bands = sketched(texts, near_copies.window_width(11_300_000_000), common)
+    assert all(x is None for x in bands) and np.mean([len(t) for t in tokens]) < 80
+
+
+def test_chunks_are_small_and_whole():
+    rng = np.random.default_rng(5)
+    ids = np.concatenate([np.arange(20_000), (3 << 33) + np.arange(20_000)])
+    values, owners = rng.integers(0, 1 << 62, 40 * len(ids), dtype=np.uint64), np.repeat(ids, 40)
+    chunks = near_copies._Chunks(12, 37)
+    chunks.add(near_copies.SKETCHES, values, owners)
+    chunks.own.append(ids)
+    out = chunks.flush().to_pylist()
+    assert sum(len(x["tokens"]) + len(x["ids"]) for x in out) < 6 * len(owners)
+    got = [(t, i) for x in out for t, i in zip((np.cumsum(near_copies._of_planes(x["tokens"][8:], x["n"])) + np.frombuffer(x["tokens"], np.uint64, 1)).tolist(), near_copies._of_runs(x["ids"], x["n"]).tolist())]
+    assert sorted(got) == sorted(zip((values * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(27)).tolist(), owners.tolist()))
+
+
+def test_chance_joins_no_components(spark, monkeypatch):
+    # windows so narrow that most texts share one with an unrelated text
+    monkeypatch.setattr(near_copies, "window_width", lambda letters: 11)
+    sizes, whole = [], near_copies.components
+
+    def components(edges):
+        out = whole(edges)
+        sizes.append(max(Counter(r["component"] for r in out.collect()).values()))
+        return out
+
+    monkeypatch.setattr(near_copies, "components", components)
+    rng = random.Random(14)
+    rows = [(i, "".join(rng.choices("ACGT", k=300))) for i in range(3000)]
+    rows += [(3000 + i, s[: 40 + i] + "A" + s[41 + i :]) for i, s in rows[:100]]
+    got = {tuple(r) for r in near_copies.near_pairs(spark.createDataFrame(rows, "amp_no bigint, seq string"), "amp_no", "seq").collect()}
+    assert got == {(i, 3000 + i) for i in range(100)}
+    assert max(sizes) < 200
+
+
+def test_pairs_of_one_value_are_compared(spark, monkeypatch):
+    # each text of a pair shares few of its windows, so many pairs have no more than one value in common
+    monkeypatch.setattr(near_copies, "sketch_size", lambda *a: 8)
+    monkeypatch.setattr(near_copies, "window_width", lambda letters: 20)
+    rng = random.Random(15)
+    rows = []
+    for g in range(0, 400, 2):
+        base = "".join(rng.choices("ACGT", k=290))
+        s = list(base)
+        for at in range(28, 290, 30):
+            s[at] = "ACGT"["TGCA".index(s[at])]
+        rows += [(g, base), (g + 1, "".join(s))]
+    tokens, _ = sketched([s for _, s in rows], 20)  # of 8 values
+    shared = [len(set(a.tolist()) & set(b.tolist())) for a, b in zip(tokens[::2], tokens[1::2])]
+    want = {(2 * g, 2 * g + 1) for g, n in enumerate(shared) if n and brute(rows[2 * g : 2 * g + 2], 8, 0.6)}
+    got = {tuple(r) for r in near_copies.near_pairs(spark.createDataFrame(rows, "amp_no bigint, seq string"), "amp_no", "seq").collect()}
+    assert got == want and shared.count(1) > 5
+
+
 def test_bit_planes_lose_no_pair():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 40, 200, dtype=np.uint64)
