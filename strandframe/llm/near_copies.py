@@ -5,7 +5,7 @@ Two records are linked if the distinct substrings of ``k`` characters common to
 
 1. Texts are packed (two bits a letter where only A, C, G and T occur); exact copies become one class with one representative.
 2. Windows of ``PART`` letters are counted in a table of fixed size over all representatives. A window more frequent than
-   ``COMMON_LEAST`` and than twice what chance puts into its place of the table is common (shared ends and the like).
+   ``COMMON_LEAST`` and than twice what chance puts into its place of the table is common (shared ends and the like) where the next or the last one is too.
 3. Each representative gets a sketch: the smallest hashes of its windows of ``width`` letters of which common ones cover at most
    ``COVERED`` (a window of some letters beside a shared end would tell little more than the end).
    ``width`` follows from the letters of the whole table, so that unrelated records share a value by chance in less than
@@ -280,7 +280,9 @@ def sketches(b: pa.RecordBatch, frequent: np.ndarray, width: int, k: int, sizes:
     for at in range(0, len(b), 1 << PIECE):
         cp, first, n = _letters(*b.slice(at, 1 << PIECE).columns)
         part, h = _two_bits(cp, PART, width)
-        begun = np.concatenate([np.zeros(PART, np.int64), np.cumsum(frequent[_parts(part)] & _inside(len(cp), first, n))])
+        often = np.concatenate([[False], frequent[_parts(part)] & _inside(len(cp), first, n), [False]])
+        # a rare part that has its place of the table in common with a frequent one stands alone
+        begun = np.concatenate([np.zeros(PART, np.int64), np.cumsum(often[1:-1] & (often[:-2] | often[2:]))])
         covered = np.concatenate([[0], np.cumsum(begun[PART:] > begun[:-PART]), np.zeros(width, np.int64)])
         common = covered[width : len(cp) + width] - covered[: len(cp)] > COVERED
         row, place = _rows_of(first, n, width)

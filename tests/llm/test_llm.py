@@ -226,8 +226,9 @@ def test_sketches_suffice_in_large_tables():
     common = np.zeros(near_copies.PARTS, bool)
     for e in ends:
         common[near_copies._parts(near_copies._two_bits(np.frombuffer(e.encode(), np.uint8), near_copies.PART)[0][: 21 - near_copies.PART])] = True
+    common |= np.random.default_rng(2).random(near_copies.PARTS) < 0.004  # places that other shared parts take
     tokens, bands = sketched(texts, near_copies.window_width(11_300_000_000), common)
-    assert all(x is None for x in bands) and np.mean([len(t) for t in tokens]) < 80
+    assert sum(x is not None for x in bands) < 3 and np.mean([len(t) for t in tokens]) < 80
 
 
 def test_chunks_are_small_and_whole():
