@@ -342,6 +342,30 @@ def test_alignment():
     assert len(x) == len(y) == 4000
 
 
+def test_alignments_at_once(spark, monkeypatch):
+    """Many pairs at once give what each gives on its own, and don't go one by one."""
+    rng = random.Random(8)
+    pairs = [("", ""), ("", "AC"), ("ACGT", ""), ("~-A", "-"), ("".join(map(chr, range(0x4E00, 0x4E50))), "丁七丈"), ("A" * 90, "A" * 7)]
+    for _ in range(150):
+        letters = rng.choice(["A", "AC", "ACGT", "é🧬Aß"])
+        a = "".join(rng.choices(letters, k=rng.randint(0, 60)))
+        b = "".join(c for c in a if rng.random() < 0.8) + "".join(rng.choices(letters, k=rng.choice([0, 3, 90])))
+        pairs.append((a, b) if rng.random() < 0.5 else (b, a))
+    one = align.global_alignment
+    want = [one(a, b) for a, b in pairs]
+    for lanes, cells in ((512, 10_000_000), (7, 10_000_000), (512, 20_000), (512, 400)):
+        monkeypatch.setattr(align, "LANES", lanes)
+        monkeypatch.setattr(align, "CELLS", cells)
+        alone = []
+        monkeypatch.setattr(align, "global_alignment", lambda a, b, alone=alone: alone.append((a, b)) or one(a, b))
+        assert align.global_alignments(pairs) == want
+        assert bool(alone) == (cells == 400) and len(alone) < len(pairs)
+    assert align.global_alignments([]) == []
+    df = spark.createDataFrame([(a, b, k) for k, (a, b) in enumerate(pairs[6:30])] + [(None, "A", 97), ("A", None, 98), ("", "", 99)], "a string, b string, k int")
+    got = df.select("k", align.aligned(F.col("a"), F.col("b")).alias("x")).orderBy("k").select("x.*").collect()
+    assert [tuple(r) for r in got] == [*want[6:30], (None, None), (None, None), ("", "")]
+
+
 def test_ranks_of_whole_tables(spark):
     rows = [(f"r{i}", None if i % 5 == 0 else f"p={i * 7 % 11}", "ACGT"[i * 3 % 4] * (i % 3)) for i in range(300)]
     df = make(spark, rows, 7)
